@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import license_scan, sharding
+from graphloom.llm import bpe, license_scan, quality_rules, sharding
 from graphloom.llm.common import table
 
 
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    spec = bpe.load_spec(vocabulary or f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("hits")
 
@@ -20,7 +34,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_license_scan, op9_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_quality_rules, op8_license_scan, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
