@@ -7,10 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, license_scan, quality_rules, sharding
+from graphloom.llm import bpe, license_scan, line_dedup, quality_rules, sharding, simhash
 from graphloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+
+
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
@@ -24,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("hits")
 
@@ -34,7 +43,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_quality_rules, op8_license_scan, op9_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op7_simhash, op8_license_scan, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
