@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, license_scan, line_dedup, quality_rules, sharding, simhash
+from graphloom.llm import bpe, decontamination, license_scan, line_dedup, quality_rules, sharding, simhash
 from graphloom.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), tree, sharding.grown_tree(tree, 16))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.flag(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op7_simhash, op8_license_scan, op9_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op7_simhash, op8_license_scan, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
