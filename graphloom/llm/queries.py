@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, quality_classifier, quality_rules, sharding, simhash
+from graphloom.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, pii, quality_classifier, quality_rules, sharding, simhash
 from graphloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op5_quality_classifier, op6_lm_scoring, op7_simhash, op8_license_scan, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op4_pii, op5_quality_classifier, op6_lm_scoring, op7_simhash, op8_license_scan, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
