@@ -144,14 +144,12 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_tid")).agg(F.min(good).alias("_good")).where("_good").select("_tid")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each row of docs: doc_id, lang, perplexity, limit (of its language and length), kept.
+#: Languages whose limits travel with the code; more of them are joined.
+LISTED_LANGUAGES = 1000
 
-    A null text counts as empty; an empty text has perplexity 1 and is kept, as
-    nothing speaks against it. A null language is a language of its own.
-    Repeated rows are judged each. Without trusted texts all is kept. Other
-    columns are ignored; empty tables give an empty result.
-    """
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, DataFrame, DataFrame, float | None]:
+    """The model; (doc_id, lang, nll, chars) of all rows; (lang, q) of languages with enough trusted texts; the q of all."""
     good = trusted_ids(labels)
     some = good.orderBy(F.xxhash64("_tid"), "_tid").limit(TRUSTED_TEXTS)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
@@ -159,12 +157,47 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = cut(base.select("doc_id", "lang", perplexities(base, F.col("t"), model).alias("p")).select("doc_id", "lang", "p.*"))
     trusted = scored.where("chars > 0").join(good, F.col("doc_id") == F.col("_tid"), "left_semi").select("lang", (F.col("nll") - NOISE / F.sqrt("chars")).alias("x"))
     sketch = trusted.groupBy("lang", sketch_bucket(F.greatest(F.col("x"), F.lit(0.0))).alias("bucket")).agg(F.count("*").alias("n"))
-    by_lang = sketch_quantiles(sketch, ["lang"], {"q": QUANTILE}).where(F.col("n") >= MIN_TEXTS).select(F.col("lang").alias("_l"), "q")
+    by_lang = sketch_quantiles(sketch, ["lang"], {"q": QUANTILE}).where(F.col("n") >= MIN_TEXTS).select("lang", "q")
     whole = sketch.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("k", F.lit(1))
-    every = sketch_quantiles(whole, ["k"], {"q": QUANTILE}).select(F.col("q").alias("q_all"))
-    limits = scored.select("lang").distinct().join(by_lang, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l").withColumnRenamed("lang", "_l")
-    fallback = every.first()  # one row
-    limit = F.coalesce("q", F.lit(fallback["q_all"] if fallback else None).cast("double")) + MARGIN + NOISE / F.sqrt(F.greatest("chars", F.lit(1)))
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_l")), "left")
-    kept = F.coalesce((F.col("chars") == 0) | (F.col("nll") <= limit), F.lit(True))
-    return out.select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp(limit).alias("limit"), kept.alias("kept"))
+    every = sketch_quantiles(whole, ["k"], {"q": QUANTILE}).first()  # one row
+    return model, scored, by_lang, every["q"] if every else None
+
+
+def _with_limit(rows: DataFrame, by_lang: DataFrame, q_all: float | None) -> DataFrame:
+    """rows (lang, nll, chars, ...) with ``limit``, the largest nll that is kept, or null."""
+    listed = by_lang.limit(LISTED_LANGUAGES + 1).collect()
+    if len(listed) <= LISTED_LANGUAGES:
+        q = F.lit(None).cast("double")
+        if named := [r for r in listed if r["lang"] is not None]:
+            q = F.try_element_at(F.create_map(*[F.lit(x) for r in named for x in (r["lang"], r["q"])]), F.col("lang"))
+        for r in listed:
+            if r["lang"] is None:
+                q = F.when(F.col("lang").isNull(), F.lit(r["q"])).otherwise(q)
+    else:
+        rows = rows.join(by_lang.select(F.col("lang").alias("_l"), F.col("q").alias("_q")), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
+        q = F.col("_q")
+    return rows.withColumn("limit", F.coalesce(q, F.lit(q_all).cast("double")) + MARGIN + NOISE / F.sqrt(F.greatest("chars", F.lit(1))))
+
+
+def _kept() -> Column:
+    return F.coalesce((F.col("chars") == 0) | (F.col("nll") <= F.col("limit")), F.lit(True))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row for each row of docs: doc_id, lang, perplexity, limit (of its language and length), kept.
+
+    A null text counts as empty; an empty text has perplexity 1 and is kept, as
+    nothing speaks against it. A null language is a language of its own.
+    Repeated rows are judged each. Without trusted texts all is kept. Other
+    columns are ignored; empty tables give an empty result.
+    """
+    _, scored, by_lang, q_all = _fitted(docs, labels, id_col, text_col, lang_col)
+    return _with_limit(scored, by_lang, q_all).select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp("limit").alias("limit"), _kept().alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns. No text is sent around: rows are scored again where they are."""
+    model, _, by_lang, q_all = _fitted(docs, labels, id_col, text_col, lang_col)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = packed.select("_row", F.col(f"_row.{lang_col}").alias("lang"), perplexities(packed, F.col(f"_row.{text_col}"), model).alias("_p")).select("_row", "lang", "_p.*")
+    return _with_limit(rows, by_lang, q_all).where(_kept()).select("_row.*")

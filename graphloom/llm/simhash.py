@@ -202,3 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(linked, "fp", "left").join(least, "component", "left").select(F.col("fp"), F.coalesce("component_id", "least").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns. Of rows that share this id one stays."""
+    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    out = docs.join(kept.select("_kept"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    # Texts are only compared by id where an id is not the row's own.
+    return out.dropDuplicates([id_col]) if kept.where("_n > 1").limit(1).count() else out
