@@ -51,7 +51,8 @@ def _marked(text: Column, keep: bool) -> Column:
 
 
 def _tokens(template: Column) -> Column:
-    return F.when(template == "", F.array().cast("array<string>")).otherwise(F.split(template, " "))
+    """Tokens of a template; one empty token, which is in no window, if it has none."""
+    return F.split(template, " ")
 
 
 def _window_hashes(tokens: Column) -> Column:
