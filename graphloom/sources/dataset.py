@@ -59,6 +59,11 @@ def _named(df: DataFrame, columns: dict[str, Column], extra: dict[str, Column])
     return df.select(*[c.alias(n) for n, c in columns.items()], *[c.alias(n) for n, c in extra.items()])
 
 
+#: A quoted triple and its parts; how deep they may be nested.
+QUOTED_TRIPLE = r"^<< (<[^<>]*>|_:\S+|<<.*>>) (<[^<>]*>) (.*) >>$"
+QUOTE_DEPTH = 3
+
+
 @dataclass
 class TripleStore:
     """Triples and quads of term ids, and the terms. An id is its term's hash, so constants need no lookup.
@@ -79,6 +84,12 @@ class TripleStore:
         triples = spark.createDataFrame([], "s string, p string, o string") if triples is None else triples.select("s", "p", "o").distinct()
         quads = spark.createDataFrame([], "g string, s string, p string, o string") if quads is None else quads.select("g", "s", "p", "o").distinct()
         every = triples.select(F.explode(F.array("s", "p", "o")).alias("term")).union(quads.select(F.explode(F.array("g", "s", "p", "o")).alias("term"))).distinct()
+        inner = every
+        for _ in range(QUOTE_DEPTH):  # the terms within quoted triples are terms too
+            quoted = inner.where(F.startswith("term", F.lit("<<")))
+            inner = quoted.select(F.explode(F.array(*[F.regexp_extract("term", QUOTED_TRIPLE, k) for k in (1, 2, 3)])).alias("term"))
+            every = every.union(inner)
+        every = every.distinct()
         ids = lambda df, cols: df.select(*[node_id(F.col(c)).alias(c) for c in cols])
         return TripleStore(spark, ids(triples, ["s", "p", "o"]), ids(quads, ["g", "s", "p", "o"]), every.select(node_id(F.col("term")).alias("id"), "term"), name)
 
@@ -144,9 +155,8 @@ class TripleStore:
 
     def _quoted(self) -> DataFrame:
         """Ids of quoted triples and of their parts."""
-        pattern = r"^<< (<[^>]*>|_:\S+|<<.*>>) (<[^>]*>) (.*) >>$"
         q = self.nodes.where(F.startswith("term", F.lit("<<")))
-        return q.select(F.col("id").alias("_q"), *[node_id(F.regexp_extract("term", pattern, k)).alias(n) for k, n in ((1, "_qs"), (2, "_qp"), (3, "_qo"))])
+        return q.select(F.col("id").alias("_q"), *[node_id(F.regexp_extract("term", QUOTED_TRIPLE, k)).alias(n) for k, n in ((1, "_qs"), (2, "_qp"), (3, "_qo"))])
 
     def units(self, triples: tuple[Triple, ...]) -> list[tuple[Triple, ...]]:
         return [(t,) for t in triples]
