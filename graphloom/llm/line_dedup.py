@@ -9,10 +9,7 @@ occurrences cover, merged over overlapping windows, are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lines in a window.
@@ -39,7 +36,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Rows stay, even if nothing of their text does. Rows with equal id and equal
     text are one occurrence: if another row has their lines first, all lose
     them, else none does. A null text stays null. Null ids come first. Lines
-    without a word stay unless all others go. Other columns pass through,
+    without a word go with the line before them. Other columns pass through,
     whatever their names (``_n_lines`` and ``_n_removed`` excepted). An empty
     table gives an empty result.
     """
@@ -52,31 +49,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     # A document's own window numbers, as many as it has lines at most.
     covered = later.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_at"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-
-    @F.pandas_udf("text string, lines int, removed int")
-    def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
-            yield pd.DataFrame([_without(t, s, width) for t, s in zip(texts, starts)], columns=["text", "lines", "removed"])
-
     joined = docs.join(covered, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    edited = joined.withColumn("_e", remove(F.col(text_col), F.col("_at")))
-    out = [F.col("_e.text").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return edited.select(*out, F.col("_e.lines").alias("_n_lines"), F.col("_e.removed").alias("_n_removed"))
+    lines = F.split(docs[text_col], "\n", -1)
+    # Numbers of the lines with a word; the lines without one that follow belong to them.
+    solid = F.array_compact(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(_SPACE)) != "", i)))
+    changed = joined.withColumn("_solid", F.when(F.col("_at").isNotNull(), solid)).withColumn("_lines", F.when(F.col("_at").isNotNull(), lines))
+    gaps = changed.withColumn("_gaps", _gaps(F.array_sort("_at"), F.size("_solid"), width))
+    left = F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["b"] - g["a"])
+    edge = lambda k: F.when(k <= 0, 0).when(k >= F.size("_solid"), F.size("_lines")).otherwise(F.try_element_at("_solid", k + 1))
+    kept = F.flatten(F.transform("_gaps", lambda g: F.slice(F.col("_lines"), edge(g["a"]) + 1, edge(g["b"]) - edge(g["a"]))))
+    new_text = F.when(F.col("_at").isNull(), docs[text_col]).when(left == 0, "").otherwise(F.array_join(kept, "\n"))
+    full = F.coalesce(F.regexp_count(docs[text_col], F.lit(r"(?m)^[^\n]*?[^ \t\x0B\f\r\n]")), F.lit(0))
+    out = [new_text.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    return gaps.select(*out, full.alias("_n_lines"), F.when(F.col("_at").isNull(), 0).otherwise(F.size("_solid") - left).alias("_n_removed"))
 
 
-def _without(text: str | None, starts: list[int] | None, width: int) -> tuple[str | None, int, int]:
-    """The text without the lines that windows at starts cover, its lines with a word, and how many went."""
-    if text is None:
-        return None, 0, 0
-    lines = text.split("\n")
-    number, solid = [], 0
-    for line in lines:
-        full = line.strip(_SPACE) != ""
-        number.append(solid if full else -1)
-        solid += full
-    if starts is None or len(starts) == 0:
-        return text, solid, 0
-    gone = {p + k for p in starts for k in range(width)}
-    kept = [line for line, n in zip(lines, number) if n not in gone]
-    left = solid - sum(n in gone for n in range(solid))
-    return "\n".join(kept) if left else "", solid, solid - left
+def _gaps(starts: Column, n: Column, width: int) -> Column:
+    """The runs [a, b) of n lines that windows at the sorted starts leave."""
+    before = F.concat(F.array(F.lit(0)), F.transform(starts, lambda s: s + width))
+    after = F.concat(starts, F.array(n))
+    runs = F.transform(F.arrays_zip(before.alias("a"), after.alias("b")), lambda g: F.struct(F.least(g["a"], n).alias("a"), F.least(g["b"], n).alias("b")))
+    return F.filter(runs, lambda g: g["a"] < g["b"])
