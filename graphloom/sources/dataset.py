@@ -261,6 +261,7 @@ class TableGraph:
     refs: dict[str, str]
     graphs: dict[str, Column] = field(default_factory=dict)
     name: str = "tables"
+    sizes: dict[str, int] = field(default_factory=dict)  # row counts known so far, shared by copies
     as_terms: bool = field(default=False, init=False)
 
     def with_graphs(self, default: tuple[str, ...], named: tuple[str, ...]) -> TableGraph:
@@ -310,11 +311,9 @@ class TableGraph:
         return [tuple(x) for x in stars.values()]
 
     def size(self, table: str) -> int:
-        if not hasattr(self, "_sizes"):
-            self._sizes: dict[str, int] = {}
-        if table not in self._sizes:
-            self._sizes[table] = self.tables[table].count()
-        return self._sizes[table]
+        if table not in self.sizes:
+            self.sizes[table] = self.tables[table].count()
+        return self.sizes[table]
 
     def cardinality(self, unit: tuple[Triple, ...], graph: Node | str | None) -> float:
         if isinstance(unit[0].s, Const):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,20 @@ REFS = {
 PREFIXES = {"": "urn:t:", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 
 
+_OPEN: dict[tuple[str, str], TableGraph] = {}
+
+
 def table_graph(spark: SparkSession, sf_dir: str) -> TableGraph:
-    """All tables of a folder; documents are in named graphs by source, orders by year."""
+    """All tables of a folder; documents are in named graphs by source, orders by year.
+
+    A folder is opened once in a session, which fixes its schemas and row counts.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = _open(spark, sf_dir)
+    return replace(_OPEN[key])
+
+
+def _open(spark: SparkSession, sf_dir: str) -> TableGraph:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in KEYS}
     return TableGraph(spark, tables, KEYS, REFS, {"documents": F.col("source"), "orders": F.year("o_orderdate").cast("string")}, name=sf_dir)
