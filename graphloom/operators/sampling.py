@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lineage import cut
+from graphloom.plans.algebra import BGP, Node, Triple, triple_vars
+from graphloom.plans.optimizer import greedy_order
+from graphloom.sources.dataset import Dataset
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -94,3 +97,31 @@ def distinct_weighted(sample: DataFrame, frequency: DataFrame, on: str, total: i
 def accept(walks: DataFrame, total: int, draw: Column) -> DataFrame:
     """Accept or reject walks so that those left are uniform: with probability (1 / total) / p."""
     return walks.where(draw <= (1.0 / total) / F.col("p"))
+
+
+def walk_pattern(data: Dataset, triples: tuple[Triple, ...], n: int, seed: int = 1, graph: Node | str | None = None) -> DataFrame:
+    """n random walks through a pattern: each triple in turn draws among the rows that fit what is bound. Failed walks are dropped.
+
+    Variables are in columns v_NAME. A walk's p is the probability with which it
+    was drawn, so 1 / p weighs it.
+    """
+    walks = walkers(data.spark, n)
+    known: list[str] = []
+    for k, unit in enumerate(greedy_order(data.units(triples), lambda u: data.cardinality(u, graph), lambda u: set().union(*[triple_vars(t) for t in u]))):
+        rel = data.scan(unit, graph, False)
+        shared = [v for v in rel.vars if v in known]
+        fresh = [v for v in rel.vars if v not in known]
+        table = ranked(rel.df, shared, fresh or shared)
+        walks = step(walks, table.select(*[F.col(v).alias(f"v_{v}" if v in fresh else f"_on_{v}") for v in rel.vars], "_rank", "_cnt"), [(f"v_{v}", f"_on_{v}") for v in shared], seeded(seed + k))
+        walks = walks.drop(*[f"_on_{v}" for v in shared])
+        known += fresh
+    return walks
+
+
+def estimate_pattern(data: Dataset, triples: tuple[Triple, ...], n: int | None, seed: int = 1, graph: Node | str | None = None) -> float:
+    """Estimated number of solutions of a pattern from n walks; exact if n is None."""
+    if n is None:
+        from graphloom.plans.compiler import compile_select
+
+        return float(compile_select(BGP(triples, graph), data, decode=False).df.count())
+    return float(estimate(walk_pattern(data, triples, n, seed, graph), n).first()[0])

@@ -2,6 +2,10 @@
 
 import json
 import random
+import threading
+import urllib.error
+import urllib.parse
+import urllib.request
 
 import duckdb
 import pytest
@@ -14,6 +18,7 @@ from graphloom.plans.algebra import BGP, Const, Triple, Var, node_vars, triple_v
 from graphloom.plans.compiler import compile_select
 from graphloom.plans.optimizer import graph_per_pattern, greedy_order, union_default_graph
 from graphloom.plans.parser import ParseError, parse
+from graphloom.server import make_server
 from graphloom.sources import ntriples, results
 from graphloom.sources.dataset import TripleStore
 from graphloom.sources.tables import PREFIXES, table_graph
@@ -166,6 +171,50 @@ def test_walks_and_estimates(spark):
     assert abs(every.agg(F.sum(1 / F.col("f"))).first()[0] - 40) < 1e-9
 
 
+def test_estimates_of_patterns(spark):
+    data, chain = _skewed(spark)
+    q = parse("SELECT * { ?p :is_a :Prof . ?p :teaches ?s . ?s :belongs_to ?g }", P).op.child.triples
+    assert sampling.estimate_pattern(data, q, None) == chain
+    assert abs(sampling.estimate_pattern(data, q, 4000, seed=5) - chain) < 0.15 * chain
+    none = parse("SELECT * { ?p :is_a :Dean }", P).op.child.triples
+    assert sampling.estimate_pattern(data, none, 50) == 0
+    single = parse("SELECT * { :prof3 :is_a ?x }", P).op.child.triples
+    assert sampling.estimate_pattern(data, single, 50) == 1
+
+
+def test_server(spark):
+    data = store(spark, PETS)
+    with make_server(data, 0, Budget(2, None), P) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_address[1]}/query?"
+        ask = lambda **x: json.load(urllib.request.urlopen(url + urllib.parse.urlencode(x)))
+        rows, token = [], None
+        while True:
+            got = ask(query="SELECT * { ?p :own ?o }", limit=100, **({"token": token} if token else {}))
+            rows += got["results"]["bindings"]
+            token = got.get("next")
+            if token is None:
+                break
+        assert sorted(r["o"]["value"] for r in rows) == ["http://e/cat", "http://e/dog", "http://e/snake"]
+        assert ask(query="ASK { :alice :own :cat }")["boolean"] is True
+        assert len(ask(query="CONSTRUCT { ?o :of ?p } WHERE { ?p :own ?o }")["triples"]) == 2
+        for bad in ({"query": "nonsense"}, {"query": "SELECT * { ?p :own ?o }", "token": "x"}):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                ask(**bad)
+            assert e.value.code == 400
+        server.shutdown()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from graphloom import __main__ as cli
+
+    (tmp_path / "a.nt").write_text("<http://e/a> <http://e/p> <http://e/b> .\n<http://e/a> <http://e/p> \"x\" .\n")
+    cli.main(["load", str(tmp_path / "a.nt"), str(tmp_path / "db")])
+    cli.main(["query", str(tmp_path / "db"), "SELECT ?o { ?s ?p ?o }", "--limit", "1"])
+    out = json.loads(capsys.readouterr().out)
+    assert len(out["results"]["bindings"]) == 1 and out["next"]
+
+
 def _norm(v):
     return repr(v) if isinstance(v, float) else str(v)
 
