@@ -8,20 +8,23 @@ of the texts, so that what is gathered grows with the input: each task trains
 on its own texts, and the weights are averaged between rounds.
 
 The output is factored: a subword belongs to a leaf (frequent ones have their
-own), leaves belong to groups, and log P(subword) = log P(group) + log P(leaf in
-group) + log P(subword in leaf). The model sees windows of WINDOW subwords
-that overlap; each subword is scored once, in the window that gives it at least
-OVERLAP subwords of context. A word's probability is the product of its
+own), leaves belong to groups of those with like neighbours, and log P(subword) =
+log P(group) + log P(leaf in group) + log P(subword in leaf). Attention decides
+on the group; the other two are by counts. The model sees windows of WINDOW
+subwords that overlap; each subword is scored once, in the window that gives it
+at least OVERLAP subwords of context. A word's probability is the product of its
 subwords'; for words of the training texts it is mixed with their frequency, so
 that the whole stays a probability.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bpe import PATTERN
 from graphloom.llm.common import ascii_lower, cut
 
-WINDOW, OVERLAP = 32, 8
-WIDTH, GROUPS, LEAVES = 16, 32, 1024
-PER_GROUP = LEAVES // GROUPS
+WINDOW, OVERLAP = 16, 4
+WIDTH, GROUPS, LEAVES = 8, 32, 1024
 #: One training text in so many fits the attention weights, by a hash of its id.
-SHARE, ROUNDS, RATE = 48, 3, 0.01
+SHARE, ROUNDS, RATE = 64, 2, 0.01
 #: A word with at least this share of all tokens travels with the code; there can't be more than 1 / HEAVY of them.
-HEAVY = 1 / 2000
+HEAVY = 1 / 200_000
 #: Words that a task keeps the subwords of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Windows per step of training and of scoring.
-TRAIN_BATCH, SCORE_BATCH = 32, 256
+TRAIN_BATCH, SCORE_BATCH = 64, 512
 #: Part of the attention model in the probability of a word that the training texts have; the rest is the word's own frequency.
 MIXED = 0.5
 _PRIOR = 20.0  # weight of the unigram distribution in that of pairs
@@ -49,54 +52,73 @@ _PRIOR = 20.0  # weight of the unigram distribution in that of pairs
 
 @dataclass
 class Vocabulary:
-    """Leaves of subwords. The two ids past the tokenizer's are the end and what it has no subword for."""
+    """Leaves of subwords. The id past the vocabulary's is the end."""
 
     leaf: np.ndarray  # of each subword
     in_leaf: np.ndarray  # log P(subword in its leaf)
+    group: np.ndarray | None = None  # of each leaf
     by_group: np.ndarray | None = None  # log P(group after leaf), for LEAVES + 1 contexts, the last a word's start
-    by_leaf: np.ndarray | None = None  # log P(leaf in group after leaf), contexts x GROUPS x PER_GROUP
+    in_group: np.ndarray | None = None  # log P(leaf in its group after leaf), contexts x LEAVES
 
 
-@dataclass
-class Splitter:
-    """Subwords of words, kept for those seen last."""
+class _Numbers(dict):
+    """Words to numbers; a new word gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
 
-    spec: str
-    heavy: dict[bytes, float] = field(default_factory=dict)  # log10 of (count + 0.1)
-    ids: dict[bytes, int] = field(default_factory=dict)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Splitter:
+    """Subwords of words, kept for those seen last. spec: a file of byte-pair ranks (base64 of a token, its rank)."""
 
-    def __post_init__(self) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, spec: str, heavy: dict[bytes, float] | None = None) -> None:
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_str(self.spec)
-        self.end = self.tokenizer.get_vocab_size()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in spec.splitlines() if line)}
+        self._encode = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.end = max(ranks.values()) + 1
+        self.heavy = heavy or {}  # log10 of (count + 0.1)
         self._clear()
 
     def _clear(self) -> None:
-        self.ids.clear()
-        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.hash, self.known = np.zeros(0, np.int64), np.zeros(0)
-
-    def split(self, words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [e.ids or [self.end + 1] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.ids = _Numbers()
+        self.used = self.filled = 0
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hash, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+
+    def split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The subwords of words in a row, and how many each word has."""
+        encode = self._encode
+        parts = [encode(" " + w.decode("utf-8", "replace")) for w in words]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        return np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(lengths.sum())), lengths
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words, which index start, length, hash and known; valid until the next call."""
         if len(self.ids) > CACHE_WORDS:
             self._clear()
-        fresh = list(dict.fromkeys(w for w in words if w not in self.ids))
+        out = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        fresh = self.ids.fresh
         if fresh:
-            parts = self.split(fresh)
-            n = np.array([len(p) for p in parts], dtype=np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.flat = np.concatenate([self.flat, np.array([i for p in parts for i in p], dtype=np.int32)])
-            self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], dtype=np.uint64).view(np.int64)])
-            self.known = np.concatenate([self.known, np.array([self.heavy.get(w, np.nan) for w in fresh])])
-            self.ids.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
-        return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+            flat, n = self.split(fresh)
+            while self.filled + len(flat) + 1 > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while self.used + len(fresh) > len(self.start):
+                self.start, self.length, self.hash, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hash, self.known))
+            at = slice(self.used, self.used + len(fresh))
+            self.flat[self.filled : self.filled + len(flat)] = flat
+            self.start[at], self.length[at] = self.filled + np.cumsum(n) - n, n
+            self.hash[at] = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], dtype=np.uint64).view(np.int64)
+            heavy = self.heavy.get
+            self.known[at] = [heavy(w, np.nan) for w in fresh]
+            self.used, self.filled = self.used + len(fresh), self.filled + len(flat)
+            self.ids.fresh = []
+        return out
 
     def stream(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Subwords of all texts, each text closed by the end; whether each starts a word; bounds of texts; word numbers; words in each text."""
@@ -106,8 +128,9 @@ class Splitter:
         length, start = self.length[number], self.start[number]
         # One more, of length 1, for the end of each text.
         ends = np.cumsum(counts)
-        length, start = np.insert(length, ends, 1), np.insert(start, ends, len(self.flat))
-        flat = np.append(self.flat, np.int32(self.end))
+        length, start = np.insert(length, ends, 1), np.insert(start, ends, self.filled)
+        flat = self.flat  # which has room for one more
+        flat[self.filled] = self.end
         cum = np.cumsum(length)
         out = flat[np.repeat(start - (cum - length), length) + np.arange(cum[-1] if len(cum) else 0)]
         first = np.zeros(len(out), dtype=bool)
@@ -131,7 +154,7 @@ def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     make = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
     d = WIDTH
     # The output starts at nought, so that the model starts as its bias.
-    return {"embed": make(LEAVES + 1, d, scale=0.3), "place": make(WINDOW, d, scale=0.1), "q": make(d, d, scale=d**-0.5), "k": make(d, d, scale=d**-0.5), "v": make(d, d, scale=d**-0.5), "o": make(d, d, scale=d**-0.5), "group": np.zeros((d, GROUPS), np.float32), "leaf": np.zeros((GROUPS, d, PER_GROUP), np.float32)}
+    return {"embed": make(LEAVES + 1, d, scale=0.3), "place": make(WINDOW, d, scale=0.1), "q": make(d, d, scale=d**-0.5), "k": make(d, d, scale=d**-0.5), "v": make(d, d, scale=d**-0.5), "o": make(d, d, scale=d**-0.5), "group": np.zeros((d, GROUPS), np.float32)}
 
 
 _CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
@@ -152,26 +175,14 @@ def _hidden(w: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, .
     return x + (z.reshape(-1, WIDTH) @ w["o"]).reshape(x.shape), x, q, k, v, a, z
 
 
-def _outputs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """log P(target leaf) for places with hidden state h, bias context and target leaf; and what backward() needs."""
-    g, m = target // PER_GROUP, target % PER_GROUP
+def _outputs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log P(target group) for places with hidden state h, bias context and target leaf; the groups, and all groups' probabilities."""
+    g = voc.group[target]
     one = h @ w["group"]
     one += voc.by_group[context]
     np.exp(one, out=one)
-    sum1 = one.sum(axis=1)
-    order = np.argsort(g, kind="stable")
-    cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
-    two = voc.by_leaf[context[order], g[order]]
-    sorted_h = h[order]
-    for i in range(GROUPS):
-        if cuts[i] < cuts[i + 1]:
-            two[cuts[i] : cuts[i + 1]] += sorted_h[cuts[i] : cuts[i + 1]] @ w["leaf"][i]
-    np.exp(two, out=two)
-    sum2 = two.sum(axis=1)
-    at = np.arange(len(g))
-    log2 = np.empty(len(g), np.float32)
-    log2[order] = np.log(two[at, m[order]] / sum2)
-    return np.log(one[at, g] / sum1) + log2, (g, m, one, sum1, two, sum2, order, cuts, sorted_h)
+    one /= one.sum(axis=1, keepdims=True)
+    return np.log(one[np.arange(len(g)), g]), g, one
 
 
 def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -191,26 +202,17 @@ def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
         h = _hidden(w, before[np.minimum(at, len(ids) - 1)])[0]
         pick = at[due]
         out[pick] += _outputs(w, voc, h[due], context[pick], leaf[pick])[0]
-    return out
+    return out + voc.in_group[context, leaf]
 
 
 def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradients for a batch of windows."""
+    """Mean loss of the groups and its gradients for a batch of windows."""
     h, x, q, k, v, a, z = _hidden(w, before)
-    logp, (g, m, one, sum1, two, sum2, order, cuts, sorted_h) = _outputs(w, voc, h[due], context, target)
-    n, at = max(1, len(target)), np.arange(len(target))
-    d1 = one / sum1[:, None]
-    d1[at, g] -= 1
-    d2 = two / sum2[:, None]
-    d2[at, m[order]] -= 1
-    out = {"group": h[due].T @ d1 / n, "leaf": np.zeros_like(w["leaf"])}
+    logp, g, d1 = _outputs(w, voc, h[due], context, target)
+    n = max(1, len(target))
+    d1[np.arange(len(target)), g] -= 1
+    out = {"group": h[due].T @ d1 / n}
     dh = d1 @ w["group"].T
-    back = np.empty_like(dh)
-    for i in range(GROUPS):
-        part = slice(cuts[i], cuts[i + 1])
-        out["leaf"][i] = sorted_h[part].T @ d2[part] / n
-        back[part] = d2[part] @ w["leaf"][i].T
-    dh[order] += back
     full = np.zeros_like(h)
     full[due] = dh / n
     flat = full.reshape(-1, WIDTH)
@@ -275,29 +277,47 @@ def _word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
+def group_leaves(two: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
+    """Group of each leaf, from counts two (contexts x leaves), by what comes before and after it: k-means on directions, the same each time."""
+    after = two[: two.shape[1]]
+    x = np.hstack([np.sqrt(c / c.sum(axis=1, keepdims=True)) for c in (after, two.T)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    weight = two.sum(axis=0)[:, None]
+    often = x[np.argsort(-weight[:, 0], kind="stable")[: 8 * groups]]
+    centres = often[:1]
+    while len(centres) < groups:  # next the frequent leaf that is furthest from all
+        centres = np.vstack([centres, often[(often @ centres.T).max(axis=1).argmin()]])
+    for _ in range(rounds):
+        group = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([(weight * x)[group == g].sum(axis=0) if (group == g).any() else centres[g] for g in range(groups)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return (x @ centres.T).argmax(axis=1)
+
+
 def learn_vocabulary(counts: DataFrame, n_texts: int, spec: str) -> Vocabulary:
-    """Leaves and output bias from word counts (word, c). The tables that come to the driver have a row for each subword, or pair of leaves, at most."""
+    """Leaves, groups and output bias from word counts (word, c). What comes to the driver has a row for each subword, or pair of leaves, at most."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[int]], np.ndarray]]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(spec)
+        size = splitter.end + 2
         for b in batches:
-            if b.num_rows:
-                yield splitter.split([x.encode() for x in b.column(0).to_pylist()]), b.column(1).to_numpy()
-
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for split, c in parts(batches):
-            flat = np.array([i for p in split for i in p])
-            n = np.bincount(flat, weights=np.repeat(c, [len(p) for p in split]))
-            for i in np.flatnonzero(n).tolist():
-                total[i] = total.get(i, 0) + int(n[i])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
-
-    size = Splitter(spec).end + 2
+            # A few thousand words at a time: pairs are summed by Spark, not held here.
+            for k in range(0, b.num_rows, 20_000):
+                part = b.slice(k, 20_000)
+                now, lengths = splitter.split([x.encode() for x in part.column(0).to_pylist()])
+                now = now.astype(np.int64)
+                before = np.concatenate([[size - 1], now[:-1]])
+                before[np.cumsum(lengths) - lengths] = size - 1
+                both, at = np.unique(before * size + now, return_inverse=True)
+                n = np.bincount(at, weights=np.repeat(part.column(1).to_numpy(), lengths)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((both // size).astype(np.int32)), pa.array((both % size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+
+    size = Splitter(spec).end + 1
+    found = cut(counts.mapInArrow(pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     n = np.zeros(size)
-    found = counts.mapInArrow(unigrams, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    n[found["id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    n[size - 2] += n_texts
+    single = found.groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    n[single["b"].to_numpy(dtype=np.int64)] = single["n"].to_numpy(dtype=np.float64)
+    n[size - 1] += n_texts
     order = np.argsort(-n, kind="stable")
     own = LEAVES - 64
     leaf = np.zeros(size, dtype=np.int64)
@@ -306,27 +326,29 @@ def learn_vocabulary(counts: DataFrame, n_texts: int, spec: str) -> Vocabulary:
     weight = n + 0.1
     by_leaf = np.bincount(leaf, weights=weight, minlength=LEAVES)
     voc = Vocabulary(leaf, np.log(weight / by_leaf[leaf]).astype(np.float32))
+    with_start = np.append(leaf, LEAVES)  # the id past all stands for a word's start
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((LEAVES + 1) * LEAVES)
-        for split, c in parts(batches):
-            lengths = np.array([len(p) for p in split])
-            now = leaf[np.array([i for p in split for i in p])]
-            before = np.concatenate([[LEAVES], now[:-1]])
-            before[np.cumsum(lengths) - lengths] = LEAVES
-            total += np.bincount(before * LEAVES + now, weights=np.repeat(c, lengths), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
-
-    found = counts.mapInArrow(pairs, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((with_start[b.column(0).to_numpy()] * LEAVES + leaf[b.column(1).to_numpy()]).astype(np.int32)), b.column(2)], names=["id", "n"])
+
+    summed = found.mapInArrow(leaves, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     two = np.zeros((LEAVES + 1) * LEAVES)
-    two[found["id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    two[summed["id"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.float64)
     two = two.reshape(LEAVES + 1, LEAVES)
-    two[LEAVES, leaf[size - 2]] += n_texts
+    two[LEAVES, leaf[size - 1]] += n_texts
+    return with_bias(voc, two, by_leaf)
+
+
+def with_bias(voc: Vocabulary, two: np.ndarray, by_leaf: np.ndarray) -> Vocabulary:
+    """voc with groups and output bias from counts of pairs and of leaves."""
     two = two + _PRIOR * by_leaf / by_leaf.sum()
-    joint = (two / two.sum(axis=1, keepdims=True)).reshape(LEAVES + 1, GROUPS, PER_GROUP)
-    group = joint.sum(axis=2)
-    voc.by_group, voc.by_leaf = np.log(group).astype(np.float32), np.log(joint / group[:, :, None]).astype(np.float32)
+    voc.group = group_leaves(two, GROUPS)
+    joint = two / two.sum(axis=1, keepdims=True)
+    group = np.stack([joint[:, voc.group == g].sum(axis=1) for g in range(GROUPS)], axis=1)
+    group = np.maximum(group, 1e-30)  # a group without a leaf
+    voc.by_group = np.log(group).astype(np.float32)
+    voc.in_group = (np.log(joint) - np.log(group)[:, voc.group]).astype(np.float32)
     return voc
 
 
@@ -376,6 +398,17 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, rounds: int = RO
     return w
 
 
+_SPLITTERS: dict[str, Splitter] = {}
+
+
+def _shared_splitter(run_id: str, spec: str, heavy: dict[bytes, float]) -> Splitter:
+    """A worker's splitter for one run, which its tasks share one after the other."""
+    if run_id not in _SPLITTERS:
+        _SPLITTERS.clear()
+        _SPLITTERS[run_id] = Splitter(spec, heavy)
+    return _SPLITTERS[run_id]
+
+
 _DOC = "struct<n_tokens:bigint,score:double,heavy:double,n_heavy:bigint,rows:bigint>"
 
 
@@ -402,9 +435,11 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
     few = cut(train.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("th")), F.lit(SHARE)) == 0).select("t"))
     shared = spark.sparkContext.broadcast((train_weights(few, voc, spec), voc, heavy))
 
+    run_id = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, voc, heavy = shared.value
-        splitter = Splitter(spec, heavy)
+        splitter = _shared_splitter(run_id, spec, heavy)
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 rows = b.slice(k, 64)

@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    spec = bpe.load_spec(vocabulary or f"{TOKENIZERS}/word_bpe_49k.json")
+    spec = bpe.load_spec(vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
 
 
