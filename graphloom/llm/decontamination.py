@@ -127,4 +127,4 @@ def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
     found = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_th")), "left_anti")
+    return docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["_th"]), "left_anti")

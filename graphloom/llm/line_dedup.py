@@ -48,9 +48,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     later = found.join(repeated, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where(~F.col("first").eqNullSafe(at))
     # A document's own window numbers, as many as it has lines at most.
     covered = later.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_at"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(covered, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    lines = F.split(docs[text_col], "\n", -1)
+    # Rows travel as one column, so that their own columns may have any names.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    text = F.col(f"_row.{text_col}")
+    joined = rows.join(covered, F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_th")), "left")
+    lines = F.split(text, "\n", -1)
     # Numbers of the lines with a word; the lines without one that follow belong to them.
     solid = F.array_compact(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(_SPACE)) != "", i)))
     changed = joined.withColumn("_solid", F.when(F.col("_at").isNotNull(), solid)).withColumn("_lines", F.when(F.col("_at").isNotNull(), lines))
@@ -58,9 +60,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     left = F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["b"] - g["a"])
     edge = lambda k: F.when(k <= 0, 0).when(k >= F.size("_solid"), F.size("_lines")).otherwise(F.try_element_at("_solid", k + 1))
     kept = F.flatten(F.transform("_gaps", lambda g: F.slice(F.col("_lines"), edge(g["a"]) + 1, edge(g["b"]) - edge(g["a"]))))
-    new_text = F.when(F.col("_at").isNull(), docs[text_col]).when(left == 0, "").otherwise(F.array_join(kept, "\n"))
-    full = F.coalesce(F.regexp_count(docs[text_col], F.lit(r"(?m)^[^\n]*?[^ \t\x0B\f\r\n]")), F.lit(0))
-    out = [new_text.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    new_text = F.when(F.col("_at").isNull(), text).when(left == 0, "").otherwise(F.array_join(kept, "\n"))
+    full = F.coalesce(F.regexp_count(text, F.lit(r"(?m)^[^\n]*?[^ \t\x0B\f\r\n]")), F.lit(0))
+    out = [new_text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return gaps.select(*out, full.alias("_n_lines"), F.when(F.col("_at").isNull(), 0).otherwise(F.size("_solid") - left).alias("_n_removed"))
 
 

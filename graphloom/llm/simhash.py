@@ -208,6 +208,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each component, that with the smallest id, with all its columns. Of rows that share this id one stays."""
     found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
-    out = docs.join(kept.select("_kept"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    # Texts are only compared by id where an id is not the row's own.
+    ids = kept.select("_kept")
+    out = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept"]), "left_semi")
+    # Only repeated ids need a second pass.
     return out.dropDuplicates([id_col]) if kept.where("_n > 1").limit(1).count() else out
