@@ -369,16 +369,14 @@ class Compiler:
     # Aggregates.
 
     def group(self, op: Group) -> Rel:
-        rel = self.compile(op.child)
-        own = Compiler(self.data, False, self.optimize).compile(op.child) if self.keys else rel
+        # A group's key is its own: the rows' keys end here.
+        rel = Compiler(self.data, False, self.optimize).compile(op.child)
         plain = {k for k, e in op.keys if e == ("var", k)}
-        rel = own
         for k, e in op.keys:
             if k not in plain:
                 rel = self.extend(k, e, rel)
         needed = {v for _, f, arg, distinct, _ in op.aggregates if arg is not None and not (f == "COUNT" and arg[0] == "var") for v in expr_vars(arg)}
         rel = self.data.decode(rel, [v for v in sorted(needed) if v in rel.kinds])
-        rel = replace(rel, kinds=dict(rel.kinds))
         aggs, kinds = [], {}
         for name, f, arg, distinct, separator in op.aggregates:
             col, kind = self._aggregate(rel, f, arg, distinct, separator)

@@ -124,7 +124,7 @@ class TripleStore:
 
     def with_graphs(self, default: tuple[str, ...], named: tuple[str, ...]) -> TripleStore:
         """FROM and FROM NAMED."""
-        pick = lambda terms: self.quads.where(F.col("g").isin([self._hash(t) for t in terms]) if terms else F.lit(False))
+        pick = lambda terms: self.quads.where(F.col("g").isin(*[node_id(F.lit(t)) for t in terms]) if terms else F.lit(False))
         if not default and not named:
             return self
         return replace_store(self, pick(default).select("s", "p", "o").distinct(), pick(named))
@@ -142,6 +142,7 @@ class TripleStore:
         return {}
 
     def _hash(self, term: str) -> int:
+        """A term's id here on the driver, for looking up statistics."""
         if term not in self._hashes:
             self._hashes[term] = self.spark.range(1).select(node_id(F.lit(term))).first()[0]
         return self._hashes[term]
@@ -189,7 +190,7 @@ class TripleStore:
         pending = [(F.col(c), n) for c, n in places]
         for k, (col, n) in enumerate(pending):
             if isinstance(n, Const):
-                df = df.where(col == F.lit(self._hash(n.term)))
+                df = df.where(col == node_id(F.lit(n.term)))  # folded to a constant, and pushed down
             elif isinstance(n, Var):
                 if n.name in columns:
                     df = df.where(col == columns[n.name])
@@ -205,12 +206,12 @@ class TripleStore:
     def links(self, predicate: str, graph: Node | str | None) -> Rel:
         df = self._source(graph)
         if isinstance(graph, Const):
-            df = df.where(F.col("g") == self._hash(graph.term))
-        df = df.where(F.col("p") == self._hash(predicate)).select(F.col("s").alias("a"), F.col("o").alias("b"))
+            df = df.where(F.col("g") == node_id(F.lit(graph.term)))
+        df = df.where(F.col("p") == node_id(F.lit(predicate))).select(F.col("s").alias("a"), F.col("o").alias("b"))
         return Rel(df, {"a": "id", "b": "id"}, frozenset("ab"))
 
     def links_except(self, predicates: list[str], graph: Node | str | None) -> Rel:
-        df = self._source(graph).where(~F.col("p").isin([self._hash(p) for p in predicates])).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        df = self._source(graph).where(~F.col("p").isin(*[node_id(F.lit(p)) for p in predicates])).select(F.col("s").alias("a"), F.col("o").alias("b"))
         return Rel(df, {"a": "id", "b": "id"}, frozenset("ab"))
 
     def all_nodes(self, graph: Node | str | None) -> Rel:
