@@ -17,21 +17,30 @@ from graphloom.sources.dataset import Dataset
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with ``_rank`` (from 0, by order) and ``_cnt`` within keys. order must tell rows apart.
+    """df with ``_rank`` (from 0, by order) and ``_cnt`` within keys, or of the whole table without keys. order must tell rows apart.
 
-    Without keys the whole table is ranked: range parts are numbered by
-    themselves and shifted by the rows before them, so no task sees all rows.
+    Range parts are numbered by themselves and shifted by the rows of their key
+    in earlier parts, so no task sees all rows of a frequent key. A key that
+    lies in several parts holds a border between two of them: there are at most
+    two rows for each part to tell about such keys.
     """
-    if keys:
-        w = Window.partitionBy(*keys)
-        return df.withColumn("_rank", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_cnt", F.count("*").over(w))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(total).alias("_cnt"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    placed = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *keys)
+    sizes = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    if keys:
+        spread = sizes.withColumn("_parts", F.count("*").over(Window.partitionBy(*keys))).where("_parts > 1")
+    else:
+        spread = sizes
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = spread.select(
+        F.col("_part").alias("_bp"), *[F.col(k).alias(f"_b_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    own = placed.withColumn("_own", F.row_number().over(here.orderBy(*order)) - 1).withColumn("_here", F.count("*").over(here))
+    on = [F.col("_part") == F.col("_bp"), *[F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]]
+    joined = own.join(F.broadcast(before), on, "left")
+    return joined.select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("_rank"), F.coalesce("_total", "_here").alias("_cnt"))
 
 
 def walkers(spark: SparkSession, n: int) -> DataFrame:

@@ -171,6 +171,14 @@ def test_walks_and_estimates(spark):
     assert abs(every.agg(F.sum(1 / F.col("f"))).first()[0] - 40) < 1e-9
 
 
+def test_ranks_of_a_frequent_key(spark):
+    rows = [("hot" if i % 3 else f"k{i % 40}", i) for i in range(3000)]
+    got = sampling.ranked(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"]).collect()
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key)
+        assert [(x["v"], x["_rank"], x["_cnt"]) for x in sorted(got, key=lambda x: x["v"]) if x["k"] == key] == [(v, n, len(values)) for n, v in enumerate(values)]
+
+
 def test_estimates_of_patterns(spark):
     data, chain = _skewed(spark)
     q = parse("SELECT * { ?p :is_a :Prof . ?p :teaches ?s . ?s :belongs_to ?g }", P).op.child.triples
