@@ -13,7 +13,7 @@ from graphloom.functions.exprs import Val, as_term, compile_expr, null_, num, te
 from graphloom.functions.terms import node_id
 from graphloom.operators.paths import path_pairs
 from graphloom.plans.algebra import (
-    BGP, UNIT, Const, Distinct, Extend, Filter, Group, Join, LeftJoin, Minus, Op, OrderBy, Path, Project, Slice, Triple, Union, Values, Var, triple_vars, visible,
+    BGP, Const, Distinct, Extend, Filter, Group, Join, LeftJoin, Minus, Op, OrderBy, Path, Project, Slice, Triple, Union, Values, triple_vars, visible,
 )
 from graphloom.plans.optimizer import greedy_order
 from graphloom.sources.dataset import Dataset, Key, Rel
@@ -78,9 +78,6 @@ class Compiler:
                 return self.project(names, self.compile(child))
             case Distinct(child):
                 r = self.compile(child)
-                sort = [k for k in r.keys if k[0].startswith("_sort")]
-                if sort:  # an order by what is projected stays; by anything else it can't
-                    r = replace(r, keys=())
                 df = r.df.select(*r.vars).distinct()
                 return Rel(df, r.kinds, r.certain, tuple((v, True) for v in r.vars) if self.keys else ())
             case OrderBy(keys, child):
@@ -153,7 +150,7 @@ class Compiler:
             out = out & part
         return out
 
-    def _merged(self, l: Rel, r: Rel, lt: str, rt: str, outer: bool) -> tuple[dict[str, Column], dict[str, str]]:  # noqa: E741
+    def _merged(self, l: Rel, r: Rel, lt: str, rt: str) -> tuple[dict[str, Column], dict[str, str]]:  # noqa: E741
         cols: dict[str, Column] = {}
         kinds: dict[str, str] = {}
         for v in l.vars:
@@ -161,7 +158,7 @@ class Compiler:
             if v in r.kinds and v not in l.certain:
                 if l.kinds[v] == r.kinds[v]:
                     cols[v] = F.coalesce(F.col(lt + v), F.col(rt + v))
-                elif r.kinds[v] != l.kinds[v] and "id" not in (l.kinds[v], r.kinds[v]):
+                elif "id" not in (l.kinds[v], r.kinds[v]):
                     raise ValueError(f"?{v} is a {l.kinds[v]} on one side and a {r.kinds[v]} on the other")
         for v in r.vars:
             if v not in cols:
@@ -178,7 +175,7 @@ class Compiler:
         shared = [v for v in l.vars if v in r.kinds]
         loose_l, loose_r = frozenset(v for v in shared if v not in l.certain), frozenset(v for v in shared if v not in r.certain)
         lt, rt = self._tag(), self._tag()
-        cols, kinds = self._merged(l, r, lt, rt, False)
+        cols, kinds = self._merged(l, r, lt, rt)
         keys = tuple((lt + c, up) for c, up in l.keys) + tuple((rt + c, up) for c, up in r.keys)
 
         def one(a: DataFrame, b: DataFrame, x: frozenset[str], y: frozenset[str]) -> DataFrame:
@@ -207,7 +204,7 @@ class Compiler:
         shared = [v for v in l.vars if v in r.kinds]
         loose_l, loose_r = frozenset(v for v in shared if v not in l.certain), frozenset(v for v in shared if v not in r.certain)
         lt, rt = self._tag(), self._tag()
-        cols, kinds = self._merged(l, r, lt, rt, True)
+        cols, kinds = self._merged(l, r, lt, rt)
         keys = tuple((lt + c, up) for c, up in l.keys) + tuple((rt + c, up) for c, up in r.keys)
         a, b = _rename(l, lt), _rename(r, rt)
         frames = []
@@ -222,11 +219,9 @@ class Compiler:
         """Values of the variables of a merged row, before the merge."""
 
         def value(rel: Rel, tag: str, v: str) -> Val:
-            plain = replace(rel, df=rel.df)
-            out = self.data.value(plain, v)
             if rel.kinds[v].startswith("ref:"):
                 return Val(self.data.iri_of(rel.kinds[v][4:], F.col(tag + v)), "iri")
-            return Val(F.col(tag + v), out.kind)
+            return Val(F.col(tag + v), self.data.value(rel, v).kind)
 
         def get(v: str) -> Val:
             if v in l.kinds:
@@ -320,7 +315,6 @@ class Compiler:
             conds.append(pattern.expr)
             pattern = pattern.child
         inner = Compiler(self.data, False, self.optimize).compile(pattern)
-        rel0 = rel
         rel, inner = self._align(rel, inner)
         for e in conds:
             need = sorted(expr_vars(e))
@@ -332,7 +326,7 @@ class Compiler:
             on = on & F.coalesce(truth(compile_expr(e, self._env(rel, inner, lt, rt), self.data.as_terms)), F.lit(False))
         used = [*shared, *sorted({v for e in conds for v in expr_vars(e)} & set(inner.vars) - set(shared))]
         b = _rename(inner, rt).select(*[rt + v for v in used]).distinct() if used else _rename(inner, rt).limit(1)
-        return self._back(rel if rel is not rel0 else rel0, _rename(rel, lt).join(b, on, "left_anti" if negated else "left_semi"), lt)
+        return self._back(rel, _rename(rel, lt).join(b, on, "left_anti" if negated else "left_semi"), lt)
 
     def extend(self, v: str, e: tuple, rel: Rel) -> Rel:
         if e[0] == "var":
@@ -463,6 +457,3 @@ def compile_select(op: Op, data: Dataset, keys: bool = False, optimize: bool = T
     """Solutions of an operator, with terms for ids."""
     rel = Compiler(data, keys, optimize).compile(op)
     return data.decode(rel, rel.vars) if decode else rel
-
-
-__all__ = ["OPERATORS", "UNIT", "Compiler", "Var", "compile_select", "expr_vars", "sort_columns"]

@@ -22,7 +22,7 @@ class Rel:
     """Solutions: a column for each variable, hidden key columns that tell rows apart and order them.
 
     kinds: variable -> id (hash of a term), term, iri, value (native) or ref:TABLE (key of a row).
-    certain: variables bound in every row. single: no keys were asked for.
+    certain: variables bound in every row.
     """
 
     df: DataFrame
@@ -187,7 +187,7 @@ class TripleStore:
         if isinstance(graph, (Var, Const)):
             places.insert(0, ("g", graph))
         columns: dict[str, Column] = {}
-        pending = [(F.col(c), n) for c, n in places]
+        pending = [(F.col(c), n) for c, n in places]  # grows by the parts of quoted patterns
         for k, (col, n) in enumerate(pending):
             if isinstance(n, Const):
                 df = df.where(col == node_id(F.lit(n.term)))  # folded to a constant, and pushed down
@@ -410,6 +410,7 @@ class TableGraph:
             df = df.union(f)
         df = df.where(F.col("_o").isNotNull())
         columns: dict[str, Column] = {}
+        kinds: dict[str, str] = {}
         for c, n in (("_s", t.s), ("_p", t.p), ("_o", t.o), *((("_g", graph),) if isinstance(graph, Var) else ())):
             if isinstance(n, Const):
                 df = df.where(F.col(c) == (parts(n.term)[1] if c == "_o" else n.term))
@@ -417,8 +418,7 @@ class TableGraph:
                 df = df.where(F.col(c) == columns[n.name])
             else:
                 columns[n.name] = F.col(c)
-        kinds = {n: "value" if c._jc.toString() in ("_o", "_g") else "iri" for n, c in columns.items()}
-        key_cols = {f"_key{c}": F.col(c) for c in ("_s", "_p", "_o")} if keys else {}
+                key_cols = {f"_key{c}": F.col(c) for c in ("_s", "_p", "_o")} if keys else {}
         return Rel(_named(df, columns, key_cols), kinds, frozenset(columns), tuple((c, True) for c in key_cols))
 
     def links(self, predicate: str, graph: Node | str | None) -> Rel:

@@ -13,15 +13,16 @@ import datetime as dt
 import hashlib
 import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
+from graphloom.functions.terms import node_id
 from graphloom.plans.algebra import Op, Query, Slice
 from graphloom.plans.compiler import compile_select, sort_columns
 from graphloom.plans.parser import parse
-from graphloom.sources.dataset import Dataset, Key
+from graphloom.sources.dataset import Dataset, Key, Rel
 
 #: Rows that are fetched between two looks at the clock.
 CHUNK = 10_000
@@ -52,7 +53,6 @@ class Page:
     rows: list[Row]
     token: str | None
     emitted: int
-    more: dict = field(default_factory=dict)
 
 
 def fingerprint(op: Op, data: Dataset) -> str:
@@ -146,9 +146,9 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
         df = df.orderBy(*sort_columns(rel.keys))
         if last is None and offset:
             df = df.offset(offset)
-        part = rel.__class__(df.limit(want + 1), rel.kinds, rel.certain, rel.keys)
+        part = replace(rel, df=df.limit(want + 1))
         shown = data.decode(part, names)
-        got = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(names)], *[F.col(c).alias(f"k{n}") for n, (c, _) in enumerate(rel.keys)] if not set(c for c, _ in rel.keys) & set(names) else _keys_of(part, shown, names)).collect()
+        got = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(names)], *_keys_of(part, shown, names)).collect()
         got = sorted(got, key=lambda r: _sort_key(r, len(names), rel.keys))
         done = len(got) <= want
         got = got[:want]
@@ -165,14 +165,10 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     return Page(names, rows, out, emitted)
 
 
-def _keys_of(part: object, shown: object, names: list[str]) -> list[Column]:
-    """Key columns where some are variables too: decoding must not change them."""
-    changed = [v for v in names if shown.kinds[v] != part.kinds[v]]
-    if changed and set(changed) & {c for c, _ in part.keys}:
-        from graphloom.functions.terms import node_id
-
-        return [(node_id(F.col(c)) if c in changed else F.col(c)).alias(f"k{n}") for n, (c, _) in enumerate(part.keys)]
-    return [F.col(c).alias(f"k{n}") for n, (c, _) in enumerate(part.keys)]
+def _keys_of(part: Rel, shown: Rel, names: list[str]) -> list[Column]:
+    """Key columns. Where a key is a variable that was looked up, its id is made again."""
+    changed = {v for v in names if shown.kinds[v] != part.kinds[v]}
+    return [(node_id(F.col(c)) if c in changed else F.col(c)).alias(f"k{n}") for n, (c, _) in enumerate(part.keys)]
 
 
 class _Desc:
