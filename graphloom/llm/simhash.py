@@ -81,10 +81,19 @@ class GrayIndex:
                 break
             cuts = np.arange(0, len(ones), FAN)
             ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts)
+        self.roots: list[tuple[np.ndarray, np.ndarray]] | None = None
         for k, (pattern, mask) in enumerate(shared):
             above = np.repeat(shared[k + 1][1], FAN)[: len(mask)] if k + 1 < len(shared) else np.uint64(0)
             self.levels.append((pattern, mask & ~above))
 
+    def note_roots(self, root: np.ndarray) -> None:
+        """From now on pass over nodes whose codes all have the root of the code that is searched: nothing there is news."""
+        self.roots = [(root, root)]
+        for pattern, _ in self.levels[1:]:
+            lo, hi = self.roots[-1]
+            cuts = np.arange(0, len(lo), FAN)
+            self.roots.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
+
     def later_within(self, at: np.ndarray, limit: int, strict: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i, j), i in at and i < j, of codes that differ in at most limit bits, none of them in strict."""
         if not len(at):
@@ -107,6 +116,9 @@ class GrayIndex:
             sums = sums + np.bitwise_count(differs)
             last = np.minimum((node + 1) * FAN**level, len(self.codes)) - 1
             keep = (sums <= limit) & (differs & strict == 0) & (last > i)
+            if self.roots is not None:
+                lo, hi, own = self.roots[level][0][node], self.roots[level][1][node], self.roots[0][0][i]
+                keep &= (lo != own) | (hi != own)
             i, node, sums = i[keep], node[keep], sums[keep]
             if level == 0:
                 yield i, node
@@ -118,9 +130,8 @@ class GrayIndex:
             i, node, sums, level = i[real], child[real], sums[real], level - 1
 
 
-def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n items the least item that pairs link it to."""
-    root = np.arange(n)
+def joined(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Roots of items after pairs link them; an item's root is the least item that it is linked to."""
     for i, j in pairs:
         while len(i):
             a, b = root[i], root[j]
@@ -136,6 +147,22 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
+def linked_roots(codes: np.ndarray, limit: int, strict: np.uint64) -> np.ndarray:
+    """Roots of codes in Gray order that links of at most limit bits join.
+
+    Codes are searched a few at first, then more at a time; what they have
+    joined is passed over by the next, so that many near copies of one text
+    cost a few searches of all of them and not one for each pair.
+    """
+    root, index = np.arange(len(codes)), GrayIndex(codes)
+    at, step = 0, 64
+    while at < len(codes):
+        index.note_roots(root.copy())
+        root = joined(root, index.later_within(np.arange(at, min(len(codes), at + step)), limit, strict))
+        at, step = at + step, min(2 * step, PATHS)
+    return root
+
+
 def _front(codes: np.ndarray, chosen: tuple[int, ...]) -> tuple[np.ndarray, int]:
     """Codes with the chosen blocks moved to the top, and how many bits those have."""
     starts = np.cumsum((0, *BLOCKS))
@@ -161,7 +188,7 @@ def stars(codes: np.ndarray, choice: int) -> tuple[np.ndarray, np.ndarray]:
     shared = np.r_[same, False] | np.r_[False, same]  # alone under its key: nothing to link
     front, codes = front[shared], codes[shared]
     strict = np.uint64(((1 << key_bits) - 1) << (BITS - key_bits))
-    root = roots(len(front), GrayIndex(front).later_within(np.arange(len(front)), LIMIT, strict)) if len(front) else np.arange(0)
+    root = linked_roots(front, LIMIT, strict) if len(front) else np.arange(0)
     moved = root != np.arange(len(root))
     return codes[moved], codes[root[moved]]
 
