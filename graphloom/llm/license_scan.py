@@ -219,7 +219,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     counted = base.withColumn("n_base", F.coalesce(F.regexp_count(n, F.lit(phrase)), F.lit(0)).cast("long"))
     some = F.col("n_base") > 0
     first = F.when(some, _n_words(F.substring(n, F.lit(1), F.regexp_instr(n, F.lit(phrase)) - 1)))
-    last = F.when(some, _n_words(F.regexp_extract(n, f"^(.*){phrase}", 1)))
+    last = F.when(some, _n_words(F.regexp_extract(n, f"(?s)^(.*){phrase}", 1)))
     base_labels = F.when(some, F.array_compact(F.array(*[F.when(F.contains(n, F.lit(f" {p} ")), F.lit(label)) for p, label in sorted(BASE.items(), key=lambda x: x[1])])))
     empty = F.array().cast("array<struct<s:bigint,e:bigint,p:int,label:string,c:double>>")
     if rules:

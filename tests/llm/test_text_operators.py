@@ -287,7 +287,7 @@ def plain_places(text):
 
 def test_license_base_against_plain(spark):
     r = random.Random(9)
-    pieces = ["Under the MIT-License", "apache license, VERSION 2", "cc by nc", "cc", "by", "nc", "mit", "under the", "License", "é", "\n", "x1", "apache", "--"]
+    pieces = ["\u2028", "x\u0085y", "Under the MIT-License", "apache license, VERSION 2", "cc by nc", "cc", "by", "nc", "mit", "under the", "License", "é", "\n", "x1", "apache", "--"]
     rows = [(i, " ".join(r.choice(pieces) for _ in range(r.randint(0, 12)))) for i in range(250)] + [(900, None), (901, ""), (902, "under the mit license"), (902, "under the mit license"), (903, "cc " * 5000)]
     got = license_scan.scan(frame(spark, rows)).collect()
     assert len(got) == len(rows)
