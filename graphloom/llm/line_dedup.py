@@ -61,7 +61,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     edge = lambda k: F.when(k <= 0, 0).when(k >= F.size("_solid"), F.size("_lines")).otherwise(F.try_element_at("_solid", k + 1))
     kept = F.flatten(F.transform("_gaps", lambda g: F.slice(F.col("_lines"), edge(g["a"]) + 1, edge(g["b"]) - edge(g["a"]))))
     new_text = F.when(F.col("_at").isNull(), text).when(left == 0, "").otherwise(F.array_join(kept, "\n"))
-    full = F.coalesce(F.regexp_count(text, F.lit(r"(?m)^[^\n]*?[^ \t\x0B\f\r\n]")), F.lit(0))
+    full = F.coalesce(F.regexp_count(text, F.lit(r"(?md)^[^\n]*?[^ \t\x0B\f\r\n]")), F.lit(0))
     out = [new_text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return gaps.select(*out, full.alias("_n_lines"), F.when(F.col("_at").isNull(), 0).otherwise(F.size("_solid") - left).alias("_n_removed"))
 

@@ -63,8 +63,11 @@ def test_line_dedup_against_plain(spark):
     r = random.Random(3)
     rows = [(i, "\n".join(r.choice(["a b", "c", "  d ", "", "e", "f f", "g", "h\t", "\t"]) for _ in range(r.randint(0, 14)))) for i in range(120)]
     rows += [(500, "one\ntwo\nthree\nfour"), (501, "zero\none\ntwo\nthree\nfive"), (502, "one\ntwo\nthree")]
-    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup(frame(spark, rows)).collect()}
+    rows += [(600, "q\u2028r\x85s\rt\n\n \u00a0\n\t"), (601, "\r\n")]
+    out = line_dedup.dedup(frame(spark, rows)).collect()
+    got = {x["doc_id"]: x["text"] for x in out}
     assert got == plain_dedup(rows)
+    assert {x["doc_id"]: x["_n_lines"] for x in out} == {i: sum(bool(x.strip(" \t\r\x0b\x0c")) for x in t.split("\n")) for i, t in rows}
     assert got[501] == "zero\nfive" and got[502] == ""
 
 
