@@ -117,11 +117,11 @@ def _broken(slots: Column) -> Column:
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, contaminated and items (ids, comma-joined) of every row of docs. A null text is clean."""
+    """doc_id, contaminated, items (ids, comma-joined) and kept (not contaminated) of every row of docs. A null text is clean."""
     found = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "items")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"))
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"))
+    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"), F.col("items").isNull().alias("kept"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
