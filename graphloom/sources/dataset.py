@@ -302,6 +302,13 @@ class TableGraph:
             return F.md5(F.to_json(F.struct(*[F.col(c) for c in self.tables[table].columns]), {"ignoreNullFields": "false"}))
         return F.col(key[0]) if len(key) == 1 else F.concat_ws("/", *[F.col(c).cast("string") for c in key])
 
+    def page_key(self, table: str) -> list[Column]:
+        """Columns that tell rows apart for paging: the key, or two 64-bit hashes of all columns where a table has none."""
+        if self.keys.get(table):
+            return [F.col(c) for c in self.keys[table]]
+        every = [F.col(c) for c in self.tables[table].columns]
+        return [F.xxhash64(*every), F.xxhash64(F.lit("second"), *every)]
+
     def iri_of(self, table: str, key: Column) -> Column:
         return F.concat(F.lit(f"<{BASE}{table}/"), key.cast("string"), F.lit(">"))
 
@@ -393,7 +400,7 @@ class TableGraph:
         df = self._graph(df, table, graph, columns)
         if isinstance(graph, Var):
             kinds[graph.name] = "value"
-        key_cols = {f"_key_{k}": F.col(c) for k, c in enumerate(self.keys.get(table) or self.tables[table].columns)} if keys else {}
+        key_cols = {f"_key_{k}": c for k, c in enumerate(self.page_key(table))} if keys else {}
         return Rel(_named(df, columns, key_cols), kinds, frozenset(columns), tuple((c, True) for c in key_cols))
 
     def _unpivot(self, t: Triple, tables: list[str], graph: Node | str | None, keys: bool) -> Rel:

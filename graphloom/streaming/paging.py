@@ -24,8 +24,8 @@ from graphloom.plans.compiler import compile_select, sort_columns
 from graphloom.plans.parser import parse
 from graphloom.sources.dataset import Dataset, Key, Rel
 
-#: Rows that are fetched between two looks at the clock.
-CHUNK = 10_000
+#: Rows that are fetched before the first look at the clock (twice as many before each further one), and without a clock.
+CHUNK, UNTIMED_CHUNK = 10_000, 1_000_000
 
 
 class TokenError(ValueError):
@@ -114,7 +114,7 @@ def _read_token(token: str | None, mark: str, n_keys: int) -> tuple[int, list[ob
     return emitted, last
 
 
-def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token: str | None = None, server: Budget = Budget(), prefixes: dict[str, str] | None = None, chunk: int = CHUNK) -> Page:
+def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token: str | None = None, server: Budget = Budget(), prefixes: dict[str, str] | None = None, chunk: int | None = None) -> Page:
     """Rows of a SELECT query from a token on, until the budget is used or all is done.
 
     At least one chunk is done in each call, so every call gets further. A
@@ -124,6 +124,7 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     q = parse(query, prefixes) if isinstance(query, str) else query
     data = data.with_graphs(q.default_graphs, q.named_graphs)
     most = server.within(budget)
+    size = chunk or (UNTIMED_CHUNK if most.timeout_ms is None else CHUNK)
     deadline = None if most.timeout_ms is None else time.monotonic() + most.timeout_ms / 1000
     op, offset, cap = q.op, 0, None
     if isinstance(op, Slice):
@@ -137,7 +138,7 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     rows: list[Row] = []
     done = cap is not None and emitted >= cap
     while not done:
-        want = min(chunk, (most.limit - len(rows)) if most.limit is not None else chunk, (cap - emitted) if cap is not None else chunk)
+        want = min(size, (most.limit - len(rows)) if most.limit is not None else size, (cap - emitted) if cap is not None else size)
         if want <= 0:
             break
         df = rel.df
@@ -161,6 +162,7 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
             done = True
         if deadline is not None and time.monotonic() >= deadline:
             break
+        size *= 2
     out = None if done else json.dumps({"query": mark, "emitted": emitted, "last": [_pack(v) for v in last]})
     return Page(names, rows, out, emitted)
 
