@@ -72,6 +72,7 @@ def _values() -> dict[str, Column]:
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     return {
         "symbol_ratio": per_word("n_symbols"),
+        # A repeated line counts as ten words.
         "dup_line_ratio": F.col("n_dup_lines") * 10 / F.greatest(F.col("n_words"), F.lit(1)),
         "repeat_ratio": per_word("n_repeat_words"),
         "upper_ratio": per_word("n_upper_words"),
