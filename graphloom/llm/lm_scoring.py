@@ -10,7 +10,7 @@ on its own texts, and the weights are averaged between rounds.
 The output is factored: a subword belongs to a leaf (frequent ones have their
 own), leaves belong to groups of those with like neighbours, and log P(subword) =
 log P(group) + log P(leaf in group) + log P(subword in leaf). Attention decides
-on the group; the other two are by counts. The model sees windows of WINDOW
+on the first two; the last is by counts. The model sees windows of WINDOW
 subwords that overlap; each subword is scored once, in the window that gives it
 at least OVERLAP subwords of context. A word's probability is the product of its
 subwords'; for words of the training texts it is mixed with their frequency, so
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import PATTERN
 from graphloom.llm.common import ascii_lower, cut
 
-WINDOW, OVERLAP = 16, 4
-WIDTH, GROUPS, LEAVES = 8, 32, 1024
+WINDOW, OVERLAP = 32, 8
+WIDTH, GROUPS, LEAVES = 16, 32, 1024
 #: One training text in so many fits the attention weights, by a hash of its id.
-SHARE, ROUNDS, RATE = 64, 2, 0.01
+SHARE, ROUNDS, RATE = 48, 3, 0.01
 #: A word with at least this share of all tokens travels with the code; there can't be more than 1 / HEAVY of them.
 HEAVY = 1 / 200_000
 #: Words that a task keeps the subwords of.
@@ -58,7 +58,9 @@ class Vocabulary:
     in_leaf: np.ndarray  # log P(subword in its leaf)
     group: np.ndarray | None = None  # of each leaf
     by_group: np.ndarray | None = None  # log P(group after leaf), for LEAVES + 1 contexts, the last a word's start
-    in_group: np.ndarray | None = None  # log P(leaf in its group after leaf), contexts x LEAVES
+    in_group: list[np.ndarray] | None = None  # log P(leaf in group after leaf) for each group, contexts x leaves of the group
+    members: list[np.ndarray] | None = None  # leaves of each group
+    nth: np.ndarray | None = None  # place of each leaf in its group
 
 
 class _Numbers(dict):
@@ -154,7 +156,7 @@ def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     make = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
     d = WIDTH
     # The output starts at nought, so that the model starts as its bias.
-    return {"embed": make(LEAVES + 1, d, scale=0.3), "place": make(WINDOW, d, scale=0.1), "q": make(d, d, scale=d**-0.5), "k": make(d, d, scale=d**-0.5), "v": make(d, d, scale=d**-0.5), "o": make(d, d, scale=d**-0.5), "group": np.zeros((d, GROUPS), np.float32)}
+    return {"embed": make(LEAVES + 1, d, scale=0.3), "place": make(WINDOW, d, scale=0.1), "q": make(d, d, scale=d**-0.5), "k": make(d, d, scale=d**-0.5), "v": make(d, d, scale=d**-0.5), "o": make(d, d, scale=d**-0.5), "group": np.zeros((d, GROUPS), np.float32), "leaf": np.zeros((d, LEAVES), np.float32)}
 
 
 _CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
@@ -175,14 +177,27 @@ def _hidden(w: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, .
     return x + (z.reshape(-1, WIDTH) @ w["o"]).reshape(x.shape), x, q, k, v, a, z
 
 
-def _outputs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log P(target group) for places with hidden state h, bias context and target leaf; the groups, and all groups' probabilities."""
+def _outputs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """log P(target leaf) for places with hidden state h, bias context and target leaf; the groups, all groups' probabilities, and for each group its places and their leaves' probabilities."""
     g = voc.group[target]
     one = h @ w["group"]
     one += voc.by_group[context]
     np.exp(one, out=one)
     one /= one.sum(axis=1, keepdims=True)
-    return np.log(one[np.arange(len(g)), g]), g, one
+    out = np.log(one[np.arange(len(g)), g])
+    order = np.argsort(g, kind="stable")
+    cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
+    two = []
+    for i in range(GROUPS):
+        at = order[cuts[i] : cuts[i + 1]]
+        p = h[at] @ w["leaf"][:, voc.members[i]]
+        if len(at):
+            p += voc.in_group[i][context[at]]
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            out[at] += np.log(p[np.arange(len(at)), voc.nth[target[at]]])
+        two.append((at, p))
+    return out, g, one, two
 
 
 def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -202,17 +217,23 @@ def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
         h = _hidden(w, before[np.minimum(at, len(ids) - 1)])[0]
         pick = at[due]
         out[pick] += _outputs(w, voc, h[due], context[pick], leaf[pick])[0]
-    return out + voc.in_group[context, leaf]
+    return out
 
 
 def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the groups and its gradients for a batch of windows."""
+    """Mean loss and its gradients for a batch of windows."""
     h, x, q, k, v, a, z = _hidden(w, before)
-    logp, g, d1 = _outputs(w, voc, h[due], context, target)
+    scored = h[due]
+    logp, g, d1, two = _outputs(w, voc, scored, context, target)
     n = max(1, len(target))
     d1[np.arange(len(target)), g] -= 1
-    out = {"group": h[due].T @ d1 / n}
+    out = {"group": scored.T @ d1 / n, "leaf": np.zeros_like(w["leaf"])}
     dh = d1 @ w["group"].T
+    for leaves, (at, d2) in zip(voc.members, two):
+        if len(at):
+            d2[np.arange(len(at)), voc.nth[target[at]]] -= 1
+            out["leaf"][:, leaves] = scored[at].T @ d2 / n
+            dh[at] += d2 @ w["leaf"][:, leaves].T
     full = np.zeros_like(h)
     full[due] = dh / n
     flat = full.reshape(-1, WIDTH)
@@ -348,7 +369,11 @@ def with_bias(voc: Vocabulary, two: np.ndarray, by_leaf: np.ndarray) -> Vocabula
     group = np.stack([joint[:, voc.group == g].sum(axis=1) for g in range(GROUPS)], axis=1)
     group = np.maximum(group, 1e-30)  # a group without a leaf
     voc.by_group = np.log(group).astype(np.float32)
-    voc.in_group = (np.log(joint) - np.log(group)[:, voc.group]).astype(np.float32)
+    voc.members = [np.flatnonzero(voc.group == g) for g in range(GROUPS)]
+    voc.in_group = [(np.log(joint[:, leaves]) - np.log(group[:, g, None])).astype(np.float32) for g, leaves in enumerate(voc.members)]
+    voc.nth = np.zeros(LEAVES, np.int64)
+    for leaves in voc.members:
+        voc.nth[leaves] = np.arange(len(leaves))
     return voc
 
 

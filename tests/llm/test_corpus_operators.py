@@ -242,6 +242,22 @@ def test_lm_scores(spark):
     assert again[2000] > again[2010]
 
 
+def test_attention_decides_on_leaves():
+    r = np.random.default_rng(9)
+    n = lm_scoring.LEAVES
+    voc = lm_scoring.with_bias(lm_scoring.Vocabulary(np.arange(n), np.zeros(n)), r.random((n + 1, n)), np.ones(n))
+    w = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.1 for k, v in lm_scoring.new_weights().items()}
+    h, context = r.standard_normal((1, lm_scoring.WIDTH)), np.array([5])
+    every = lambda weights: np.array([lm_scoring._outputs(weights, voc, h, context, np.array([x]))[0][0] for x in range(n)])
+    lp = every(w)
+    assert abs(np.exp(lp).sum() - 1) < 1e-5
+    # Which leaf of a group comes next depends on the attention's state, not on counts alone.
+    flat = every(w | {"leaf": np.zeros_like(w["leaf"])})
+    same = np.flatnonzero(voc.group == np.bincount(voc.group).argmax())
+    assert np.ptp((lp - flat)[same]) > 0.05
+    assert lm_scoring.WINDOW >= 32 and lm_scoring.OVERLAP >= 8
+
+
 def test_training_lowers_the_loss():
     splitter = lm_scoring.Splitter(SPEC)
     r = random.Random(8)
