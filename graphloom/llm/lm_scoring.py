@@ -3,9 +3,9 @@
 Three things are learned from the training texts. Word counts, over all of
 them, give a unigram score for comparison. From the same table come counts of
 subwords and of subword pairs in words, over all of them too, which are the
-model's output bias. The attention weights are fitted in numpy on a fixed share
-of the texts, so that what is gathered grows with the input: each task trains
-on its own texts, and the weights are averaged between rounds.
+model's output bias. The attention weights are fitted in numpy on all of
+them as well: each task trains on its own texts, and the weights are averaged
+between rounds.
 
 The output is factored: a subword belongs to a leaf (frequent ones have their
 own), leaves belong to groups of those with like neighbours, and log P(subword) =
@@ -37,8 +37,8 @@ from graphloom.llm.common import ascii_lower, cut
 
 WINDOW, OVERLAP = 32, 8
 WIDTH, GROUPS, LEAVES = 16, 32, 1024
-#: One training text in so many fits the attention weights, by a hash of its id.
-SHARE, ROUNDS, RATE = 48, 3, 0.01
+#: Passes over the training texts that fit the attention weights, and the rate of the first.
+ROUNDS, RATE = 3, 0.01
 #: A word with at least this share of all tokens travels with the code; there can't be more than 1 / HEAVY of them.
 HEAVY = 1 / 200_000
 #: Words that a task keeps the subwords of.
@@ -457,8 +457,7 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
     heavy = {r["word"].encode(): math.log10(r["c"] + 0.1) for r in counts.where(F.col("c") >= max(1, total * HEAVY)).collect()}
     end_score = math.log10(n_texts + 0.1) - below
     voc = learn_vocabulary(counts, n_texts, spec)
-    few = cut(train.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("th")), F.lit(SHARE)) == 0).select("t"))
-    shared = spark.sparkContext.broadcast((train_weights(few, voc, spec), voc, heavy))
+    shared = spark.sparkContext.broadcast((train_weights(train.select("t"), voc, spec), voc, heavy))
 
     run_id = uuid.uuid4().hex
 

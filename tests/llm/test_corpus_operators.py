@@ -258,6 +258,23 @@ def test_attention_decides_on_leaves():
     assert lm_scoring.WINDOW >= 32 and lm_scoring.OVERLAP >= 8
 
 
+def test_attention_is_fitted_on_all_training_texts(spark, monkeypatch):
+    seen = []
+    fitted = lm_scoring.train_weights
+
+    def noted(texts, voc, spec):
+        seen.extend(x[0] for x in texts.collect())
+        w = fitted(texts, voc, spec, rounds=1)
+        seen.append(bool(w["group"].any() and w["leaf"].any()))
+        return w
+
+    monkeypatch.setattr(lm_scoring, "train_weights", noted)
+    rows = [(i, f"the river and house number{i}") for i in range(12)]
+    lm_scoring.score(frame(spark, rows), SPEC).collect()
+    assert seen.pop()
+    assert sorted(seen) == sorted(t for i, t in rows if zlib.crc32(str(i).encode()) % 10)
+
+
 def test_training_lowers_the_loss():
     splitter = lm_scoring.Splitter(SPEC)
     r = random.Random(8)
