@@ -62,10 +62,10 @@ def _window_hashes(tokens: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, ipos, h, bvals, n_win): windows with enough words of every distinct template. Equal templates go by their least id."""
-    base = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("t")).select("item", "t", _marked(F.col("t"), False).alias("c"))
-    one = base.groupBy("c").agg(F.min_by("t", F.struct("item", "t")).alias("t"), F.min("item").alias("item"))
-    words = one.select("item", _tokens(F.col("c")).alias("c"), _tokens(_marked(F.col("t"), True)).alias("v"))
+    """(item, ipos, h, bvals, n_win): windows with enough words of every distinct item. Items of equal template and values go by their least id."""
+    base = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("t"))
+    one = base.groupBy(_marked(F.col("t"), False).alias("c"), _marked(F.col("t"), True).alias("v")).agg(F.min("item").alias("item"))
+    words = one.select("item", _tokens(F.col("c")).alias("c"), _tokens(F.col("v")).alias("v"))
     out = words.select("item", "c", "v", F.posexplode(_window_hashes(F.col("c"))).alias("ipos", "h"))
     part = lambda c: F.slice(c, F.col("ipos") + 1, F.lit(WINDOW))
     literals = F.size(F.filter(part("c"), lambda x: ~x.rlike(f"[{_NAME}{_NUMBER}{_UNIT}]")))

@@ -367,6 +367,13 @@ def test_templates(spark):
     assert decontamination.flag(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_items_of_one_template(spark):
+    said = lambda x, y: f"the farmer of the old village has {x} apples and gives {y} apples to the people who live next door to him"
+    bench = spark.createDataFrame([(1, said(12, 5)), (2, said(7, 7)), (3, said(12, 5))], "item_id long, text string")
+    got = {x["doc_id"]: x["items"] for x in decontamination.flag(frame(spark, [(1, said(12, 5)), (2, said(7, 7)), (3, said(3, 4)), (4, "the farmer of the old village")]), bench).collect()}
+    assert "1" in got[1].split(",") and "2" in got[2].split(",") and "1" in got[3].split(",") and got[4] == ""
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(tuple(x) for x in decontamination.flag(docs, bench).collect())
