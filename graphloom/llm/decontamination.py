@@ -7,7 +7,8 @@ hash-joined. Where a window has placeholders, the values behind them must map
 to the item's values one to one along the alignment; windows that break this
 don't count. What is left decides: most of an item's windows, or a long aligned
 run of them, makes a document contaminated, whatever numbers and names it puts
-in their places.
+in their places. Windows with too few words for that, and items shorter than a
+window, are hash-joined with their values, so that only verbatim copies match.
 """
 
 from __future__ import annotations
@@ -36,17 +37,14 @@ UNITS = (
 ).split()
 
 
-def _marked(text: Column, keep: bool) -> Column:
-    """The text as template tokens parted by single spaces; with keep, placeholders are followed by their values."""
+def _marked(text: Column) -> Column:
+    """The text as template tokens parted by single spaces, with placeholders followed by their values."""
     clean = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
-    value = "$0" if keep else ""
-    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;:]\x20)\p{Lu}\p{L}+", _NAME + value)
+    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;:]\x20)\p{Lu}\p{L}+", _NAME + "$0")
     # A number's point or comma would part it: values keep their digits only.
-    counted = F.regexp_replace(named, r"\p{N}+(?:[.,]\p{N}+)*", f" {_NUMBER}{value} ")
-    if keep:
-        counted = F.regexp_replace(counted, r"(?<=\p{N})[.,](?=\p{N})", "")
-    after = rf"({_NUMBER}{r'\p{N}+' if keep else ''}\x20)[\x20-]*((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])"
-    units = F.regexp_replace(counted, after, f"$1{_UNIT}{'$2' if keep else ''}")
+    counted = F.regexp_replace(F.regexp_replace(named, r"\p{N}+(?:[.,]\p{N}+)*", f" {_NUMBER}$0 "), r"(?<=\p{N})[.,](?=\p{N})", "")
+    after = rf"({_NUMBER}\p{{N}}+\x20)[\x20-]*((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])"
+    units = F.regexp_replace(counted, after, f"$1{_UNIT}$2")
     return F.trim(F.regexp_replace(ascii_lower(units), rf"[^\p{{L}}\p{{N}}\p{{M}}{_NAME}{_NUMBER}{_UNIT}]+", " "))
 
 
@@ -55,49 +53,84 @@ def _tokens(template: Column) -> Column:
     return F.split(template, " ")
 
 
-def _window_hashes(tokens: Column) -> Column:
-    n = F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice(tokens, F.lit(k + 1), n).alias(f"t{k}") for k in range(WINDOW)])
-    return F.transform(zipped, lambda w: F.xxhash64(*[w[f"t{k}"] for k in range(WINDOW)]))
+def _template(values: Column) -> Column:
+    """The template of a text marked with its values."""
+    return F.regexp_replace(values, rf"([{_NAME}{_NUMBER}{_UNIT}])[\p{{L}}\p{{N}}]+", "$1")
+
+
+def _windows(c: Column, v: Column, short: list[int]) -> Column:
+    """(pos, h) of each window of WINDOW template tokens c, and of each of the sizes in short, over tokens v with values: hashes of the template where it has enough words, else of the values."""
+
+    def of(size: int) -> Column:
+        n = F.greatest(F.size(c) - (size - 1), F.lit(0))
+        parts = [F.slice(v, F.lit(k + 1), n).alias(f"v{k}") for k in range(size)]
+        if size == WINDOW:
+            parts += [F.slice(c, F.lit(k + 1), n).alias(f"t{k}") for k in range(size)]
+
+        def one(w: Column, i: Column) -> Column:
+            h = F.xxhash64(*[w[f"v{k}"] for k in range(size)])
+            if size == WINDOW:
+                # A placeholder's token is longer with its value.
+                literals = reduce(Column.__add__, [(w[f"t{k}"] == w[f"v{k}"]).cast("int") for k in range(size)])
+                h = F.when(literals >= LITERALS, F.xxhash64(*[w[f"t{k}"] for k in range(size)])).otherwise(h)
+            return F.struct(i.alias("pos"), h.alias("h"))
+
+        return F.transform(F.arrays_zip(*parts), one)
+
+    return F.concat(*[of(size) for size in [WINDOW, *short]])
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, ipos, h, bvals, n_win): windows with enough words of every distinct item. Items of equal template and values go by their least id."""
-    base = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("t"))
-    one = base.groupBy(_marked(F.col("t"), False).alias("c"), _marked(F.col("t"), True).alias("v")).agg(F.min("item").alias("item"))
-    words = one.select("item", _tokens(F.col("c")).alias("c"), _tokens(F.col("v")).alias("v"))
-    out = words.select("item", "c", "v", F.posexplode(_window_hashes(F.col("c"))).alias("ipos", "h"))
+    """(item, size, exact, ipos, h, bvals, n_win, n_exact): windows of every distinct item that has a word.
+
+    Those with enough words go by their template, n_win of them, the others by
+    their values, n_exact of them. An item shorter than a window is one of its
+    size. Items of equal template and values go by their least id.
+    """
+    base = benchmark.select(F.col(id_col).alias("item"), _marked(F.col(text_col)).alias("v"))
+    one = base.groupBy("v").agg(F.min("item").alias("item")).where("v <> ''")
+    words = one.select("item", _tokens(_template(F.col("v"))).alias("c"), _tokens(F.col("v")).alias("v")).where(F.exists("c", lambda x: ~x.rlike(f"[{_NAME}{_NUMBER}{_UNIT}]")))
+    size = F.least(F.size("c"), F.lit(WINDOW))
+    listed = reduce(lambda rest, k: F.when(size == k, F.filter(_windows(F.col("c"), F.col("v"), [k]), lambda w: w["pos"] == 0)).otherwise(rest), range(1, WINDOW), _windows(F.col("c"), F.col("v"), []))
+    out = words.select("item", "c", "v", size.alias("size"), F.inline(listed).alias("ipos", "h"))
     part = lambda c: F.slice(c, F.col("ipos") + 1, F.lit(WINDOW))
     literals = F.size(F.filter(part("c"), lambda x: ~x.rlike(f"[{_NAME}{_NUMBER}{_UNIT}]")))
     slots = F.exists(part("c"), lambda x: x.rlike(f"[{_NAME}{_NUMBER}{_UNIT}]"))
-    kept = out.where(literals >= LITERALS).select("item", "ipos", "h", F.when(slots, part("v")).alias("bvals"))
-    return kept.withColumn("n_win", F.count("*").over(Window.partitionBy("item")))
+    marked = out.withColumn("exact", (F.col("size") < WINDOW) | (literals < LITERALS))
+    kept = marked.select("item", "size", "exact", "ipos", "h", F.when(~F.col("exact") & slots, part("v")).alias("bvals"))
+    w = Window.partitionBy("item")
+    return kept.withColumn("n_win", F.count(F.when(~F.col("exact"), 1)).over(w)).withColumn("n_exact", F.count(F.when(F.col("exact"), 1)).over(w))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, th, items): rows of docs, by id and hash of text, that hold benchmark items, and which.
 
-    Null texts hold nothing. Items of fewer than WINDOW tokens can't be told
-    from chance and never match. Rows with equal id and text share one result
-    row. Empty tables give an empty result; other columns are ignored.
+    Null texts hold nothing. Items of fewer than WINDOW tokens match verbatim
+    only; items without a word never match. Rows with equal id and text share one
+    result row. Empty tables give an empty result; other columns are ignored.
     """
     wanted = benchmark_windows(benchmark, item_col, item_text_col)
-    blocks = max(1, -(-wanted.count() // BLOCK))
+    sizes = {r["size"]: r["count"] for r in wanted.groupBy("size").count().collect()}  # WINDOW rows at most
+    blocks = max(1, -(-sum(sizes.values()) // BLOCK))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    hashed = base.select("id", "th", "t", _tokens(_marked(F.col("t"), False)).alias("c")).select("id", "th", "t", F.posexplode(_window_hashes(F.col("c"))).alias("dpos", "h"))
+    tokens = base.select("id", "th", _marked(F.col("t")).alias("v")).select("id", "th", "v", _tokens(_template(F.col("v"))).alias("c"))
+    hashed = tokens.select("id", "th", "v", F.inline(_windows(F.col("c"), _tokens(F.col("v")), sorted(set(sizes) - {WINDOW}))).alias("dpos", "h"))
     found = []
     for k in range(blocks):
         block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         found.append(hashed.join(F.broadcast(block), "h"))
-    # Values are cut out of a document's text only where a matching window has placeholders.
-    dvals = F.when(F.col("bvals").isNotNull(), F.slice(_tokens(_marked(F.col("t"), True)), F.col("dpos") + 1, F.lit(WINDOW)))
-    matched = reduce(DataFrame.union, found).select("id", "th", "item", (F.col("dpos") - F.col("ipos")).alias("diag"), "ipos", "n_win", dvals.alias("dvals"), "bvals")
+    # A document's values are parted only where a matching window has placeholders.
+    dvals = F.when(F.col("bvals").isNotNull(), F.slice(_tokens(F.col("v")), F.col("dpos") + 1, F.lit(WINDOW)))
+    matched = reduce(DataFrame.union, found).select("id", "th", "item", (F.col("dpos") - F.col("ipos")).alias("diag"), "ipos", "exact", "n_win", "n_exact", dvals.alias("dvals"), "bvals")
     good = matched.where(_consistent())
-    by_diag = good.groupBy("id", "th", "item", "diag").agg(F.count("*").alias("run"), F.collect_set("ipos").alias("at"), F.first("n_win").alias("n_win"), F.collect_list(F.when(F.col("dvals").isNotNull(), F.struct("ipos", "dvals", "bvals"))).alias("slots"))
+    by_diag = good.groupBy("id", "th", "item", "diag").agg(F.count("*").alias("run"), F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("exact"), F.col("ipos"))).alias("verbatim"), F.first("n_win").alias("n_win"), F.first("n_exact").alias("n_exact"), F.collect_list(F.when(F.col("dvals").isNotNull(), F.struct("ipos", "dvals", "bvals"))).alias("slots"))
     settled = by_diag.withColumn("bad", _broken(F.col("slots"))).withColumn("at", F.array_except("at", "bad")).withColumn("run", F.size("at"))
-    by_item = settled.groupBy("id", "th", "item").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"), F.first("n_win").alias("n_win"))
-    leaked = by_item.where((F.col("covered") >= SHARE * F.col("n_win")) | (F.col("run") >= RUN))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    by_item = settled.groupBy("id", "th", "item").agg(F.max("run").alias("run"), distinct(F.array_except("at", "verbatim")).alias("covered"), distinct("verbatim").alias("verbatim"), F.first("n_win").alias("n_win"), F.first("n_exact").alias("n_exact"))
+    # An item with templates is judged by them, so that windows by values take nothing from it.
+    share = F.when(F.col("n_win") > 0, F.col("covered") >= SHARE * F.col("n_win")).otherwise(F.col("verbatim") >= SHARE * F.col("n_exact"))
+    leaked = by_item.where(share | (F.col("run") >= RUN))
     return leaked.groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 

@@ -374,6 +374,13 @@ def test_items_of_one_template(spark):
     assert "1" in got[1].split(",") and "2" in got[2].split(",") and "1" in got[3].split(",") and got[4] == ""
 
 
+def test_verbatim_copies_of_items_with_few_words(spark):
+    bench = spark.createDataFrame([(1, "compute 12 * 7 + 45 - 9 / 3"), (2, "name the capital"), (3, "in 3 4 5 6"), (4, "Oslo, Rome")], "item_id long, text string")
+    texts = ["so compute 12 * 7 + 45 - 9 / 3 now", "so compute 12 * 7 + 45 - 8 / 2 now", "please name the capital of it", "name a capital", "in 3 4 5 6 steps", "in 3 4 5 7 steps", "x. Oslo, Rome", None]
+    got = [x["items"] for x in decontamination.flag(frame(spark, list(enumerate(texts))), bench).orderBy("doc_id").collect()]
+    assert got == ["1", "", "2", "", "3", "", "4", ""]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(tuple(x) for x in decontamination.flag(docs, bench).collect())
