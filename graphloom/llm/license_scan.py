@@ -54,7 +54,8 @@ FAMILIES = [
     ("bsd-3", "bsd", r"(?:3|three) clause bsd licen[cs]e"),
     ("bsd-3", "bsd", r"(?:new|modified|revised) bsd licen[cs]e"),
     ("bsd-2", "bsd", r"(?:2|two) clause bsd licen[cs]e"),
-    ("bsd-2", "bsd", r"(?:simplified|freebsd) (?:bsd )?licen[cs]e"),
+    ("bsd-2", "simplified", r"simplified (?:bsd )?licen[cs]e"),
+    ("bsd-2", "freebsd", r"freebsd (?:bsd )?licen[cs]e"),
     ("bsd-0", "bsd", r"(?:0|zero) clause bsd licen[cs]e"),
     ("bsd", "bsd", r"(?:the )?bsd(?: style)? licen[cs]e"),
     ("isc", "isc", r"(?:the )?isc licen[cs]e"),
@@ -85,11 +86,11 @@ FAMILIES = [
     ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution noncommercial noderivatives(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution noncommercial sharealike(?: [1-4] [05])?"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "noderivatives", r"creative commons attribution noderivatives(?: [1-4] [05])?"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?"),
+    ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?"),
     ("cc", "creative", r"creative commons licen[cs]e"),
 ]
@@ -109,13 +110,23 @@ SINGLE = [
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 1.0),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 1.0),
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1.0),
-    ("apache-2", "apache", r"you may not use this file except in compliance with the licen[cs]e", 0.7),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the licen[cs]e", 0.7),
     ("public-domain", "domain", r"(?:released|placed|dedicated|is) (?:into|in|to) the public domain", 0.9),
     ("proprietary", "reserved", r"all rights (?:are )?reserved", 0.7),
     ("proprietary", "proprietary", r"proprietary and confidential", 0.8),
-    ("proprietary", "reproduced", r"(?:may|must) not be (?:copied|reproduced|redistributed) without (?:prior )?(?:written )?permission", 0.8),
+    ("proprietary", "permission", r"(?:may|must) not be (?:copied|reproduced|redistributed) without (?:prior )?(?:written )?permission", 0.8),
 ]
 
+#: label and SPDX identifiers as words; a regex of fixed length each.
+SPDX = [
+    ("mit", "mit"), ("mit-0", "mit 0"), ("apache-2", "apache 2 0"), ("apache-1.1", "apache 1 1"), ("mpl-2", "mpl 2 0"), ("mpl-1.1", "mpl 1 1"),
+    *[(label, name + end) for label, name in (("gpl-1", "gpl 1 0"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2", "lgpl 2 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("fdl-1.3", "gfdl 1 3")) for end in ("", " only", " or later")],
+    ("bsd-0", "0bsd"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("bsd-4", "bsd 4 clause"), ("isc", "isc"), ("x11", "x11"), ("epl-1", "epl 1 0"), ("epl-2", "epl 2 0"),
+    ("cddl-1", "cddl 1 0"), ("eupl-1.2", "eupl 1 2"), ("artistic-1", "artistic 1 0"), ("artistic-2", "artistic 2 0"), ("bsl-1", "bsl 1 0"), ("busl-1.1", "busl 1 1"), ("sspl-1", "sspl 1 0"), ("elastic-2", "elastic 2 0"),
+    ("zlib", "zlib"), ("openssl", "openssl"), ("python-2", "python 2 0"), ("python-2", "psf 2 0"), ("ofl-1.1", "ofl 1 1"), ("odbl-1", "odbl 1 0"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("cc0-1", "cc0 1 0"),
+    *[(f"cc-{name.replace(' ', '-')}", f"cc {name} [1-4] [05]") for name in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")],
+]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -126,9 +137,12 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Some 350 rules in order of priority: SINGLE, then FRAMES by FAMILIES."""
+    """Some 480 rules in order of priority: SINGLE, then SPDX, after the tag or after another identifier near one, then FRAMES by FAMILIES."""
+    after = "|".join(f"(?<= {name} )" for _, name in SPDX)
+    tagged = [Rule(label, "spdx", f"spdx licen[cs]e identifier {name}", 1.0) for label, name in SPDX]
+    joined = [Rule(label, "spdx", f"(?:{after})(?:or|and) {name}", 1.0) for label, name in SPDX]
     framed = [Rule(label, kw, frame.replace("NAME", f"(?:{name})"), c) for frame, c in FRAMES for label, kw, name in FAMILIES]
-    return [Rule(*x) for x in SINGLE] + framed
+    return [Rule(*x) for x in SINGLE] + tagged + joined + framed
 
 
 #: Keywords that may go on within their word, as in gplv3.

@@ -321,3 +321,42 @@ def test_license_rules(spark):
         for h in x["hits"]:
             part = " ".join(words_of(texts[x["doc_id"]])[h["s"] : h["e"]])
             assert re.fullmatch(rules[h["p"]].regex, part)
+
+
+def forms(parsed):
+    """Texts of a parsed regex, with each of its alternatives; a set of characters gives each of them."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            here = [chr(arg)]
+        elif name == "IN":
+            here = [chr(c) for kind, a in arg for c in ([a] if str(kind) == "LITERAL" else range(a[0], a[1] + 1))]
+        elif name == "BRANCH":
+            here = [f for branch in arg[1] for f in forms(branch)]
+        elif name == "SUBPATTERN":
+            here = forms(arg[3])
+        elif name == "MAX_REPEAT":
+            here = [f for n in range(arg[0], arg[1] + 1) for f in (forms(arg[2]) if n else [""])]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in here]
+    return out
+
+
+def test_every_form_of_a_license_passes_the_gate():
+    rules = [*[x[:3] for x in license_scan.FAMILIES], *[x[:3] for x in license_scan.SINGLE]]
+    missed = [(kw, f) for _, kw, regex in rules for f in forms(re._parser.parse(regex)) if license_scan._needle(kw) not in f" {f} "]
+    assert not missed
+    assert all(r.keyword == "spdx" or r.keyword in r.regex for r in license_scan.default_rules())
+
+
+def test_license_forms_and_identifiers(spark):
+    want = {
+        "Creative Commons Attribution-Share Alike 3.0": "cc-by-sa", "Creative Commons Attribution-Non-Commercial 4.0": "cc-by-nc", "the FreeBSD License": "bsd-2", "Simplified License": "bsd-2",
+        "it may not be copied without prior written permission": "proprietary", "you may not use this file except in compliance with the License": "apache-2",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: MPL-2.0": "mpl-2", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": "apache-2,bsd-3,mit", "he came mit and isc": "",
+    }
+    got = license_scan.scan(frame(spark, list(enumerate(want)))).orderBy("doc_id").collect()
+    assert {t: x["labels"] for t, x in zip(want, got)} == want
