@@ -12,7 +12,7 @@ from graphloom.operators import sampling
 from graphloom.plans.compiler import compile_select
 from graphloom.plans.optimizer import graph_per_pattern, union_default_graph
 from graphloom.plans.parser import parse
-from graphloom.sources.dataset import TripleStore
+from graphloom.sources.dataset import TableGraph, TripleStore
 from graphloom.sources.results import bindings
 from graphloom.sources.tables import PREFIXES, table_graph
 from graphloom.streaming.paging import Budget, pages, progress, run_page
@@ -119,7 +119,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     ),
 }
 
-_EDGES = "SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation WHERE n_nationkey % 3 <> 0"
+_EDGES = "SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 3 * n_regionkey + 1) % 25 AS b FROM nation"
 _ORDER_LINES = "SELECT ?o ?q { ?o :o_orderstatus \"P\" OPTIONAL { ?l :ref-l_orderkey ?o ; :l_quantity ?q } }"
 _ORDER_LINES_SQL = "SELECT o_orderkey AS o, l_quantity AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'"
 
@@ -158,9 +158,9 @@ def _full_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> TripleStore:
-    nation = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 <> 0")
+    nation = spark.read.parquet(f"{d}/nation.parquet")
     node = lambda c: F.concat(F.lit("<urn:n:"), c.cast("string"), F.lit(">"))
-    return TripleStore.from_terms(spark, nation.select(node(F.col("n_nationkey")).alias("s"), F.lit("<urn:link>").alias("p"), node((F.col("n_nationkey") * 7 + 3) % 25).alias("o")))
+    return TripleStore.from_terms(spark, nation.select(node(F.col("n_nationkey")).alias("s"), F.lit("<urn:link>").alias("p"), node((F.col("n_nationkey") * F.col("n_nationkey") + 3 * F.col("n_regionkey") + 1) % 25).alias("o")))
 
 
 def _path(op: str) -> Run:
@@ -229,9 +229,9 @@ _WALK_SQL = (
 
 def _walks(spark: SparkSession, d: str) -> DataFrame:
     orders = sampling.ranked(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("o")), [], ["o"])
-    lines = sampling.ranked(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey"], _LINE_ORDER).select(F.col("l_orderkey"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"), "_rank", "_cnt")
     first = sampling.step(sampling.walkers(spark, _WALKS), orders, [], sampling.arithmetic("walk", 48271, 12345))
-    return sampling.step(first, lines, [("o", "l_orderkey")], sampling.arithmetic("walk", 69621, 777))
+    out = sampling.step(first, spark.read.parquet(f"{d}/lineitem.parquet"), [("o", "l_orderkey")], sampling.arithmetic("walk", 69621, 777), order=_LINE_ORDER)
+    return out.select("walk", "o", "l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"), "p")
 
 
 def _sample_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +295,13 @@ def _progress(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(page.emitted, total, progress(page, total))], "emitted long, total long, progress double")
 
 
+def _repeated_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Pages over a table of a few distinct rows, each there thousands of times."""
+    data = TableGraph(spark, {"flags": spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linestatus")}, {}, {})
+    rows = [tuple(r) for p in pages(data, "SELECT ?f ?s { ?x :l_returnflag ?f ; :l_linestatus ?s }", 20_000, PREFIXES) for r in p.rows]
+    return spark.createDataFrame(rows, "f string, s string")
+
+
 def _unions(spark: SparkSession, d: str) -> DataFrame:
     return _paged("SELECT ?x { { ?r :r_name ?x } UNION { ?n :n_name ?x } }", "x string", 7)(spark, d)
 
@@ -309,6 +316,8 @@ OTHERS: dict[str, tuple[Run, str | None]] = {
     "page_union": (_unions, "SELECT r_name AS x FROM region UNION ALL SELECT n_name FROM nation"),
     "page_group": (_paged("SELECT ?s (COUNT(*) AS ?n) { ?o :o_orderpriority ?s } GROUP BY ?s", "s string, n long", 2), "SELECT o_orderpriority AS s, count(*) AS n FROM orders GROUP BY 1"),
     "page_slice": (_paged("SELECT ?o { ?o :o_custkey ?c } LIMIT 30 OFFSET 5", "o long", 8), "SELECT o_orderkey AS o FROM orders ORDER BY 1 LIMIT 30 OFFSET 5"),
+    "page_nokey": (_paged("SELECT ?k ?q { ?l :l_orderkey ?k ; :l_quantity ?q FILTER(?q > 45) }", "k long, q double", 700), "SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_quantity > 45"),
+    "page_duplicates": (_repeated_rows, "SELECT l_returnflag AS f, l_linestatus AS s FROM lineitem"),
     "graph_union": (_graph_union, "SELECT DISTINCT o_orderkey AS o, o_custkey AS c FROM orders WHERE o_orderstatus = 'P'"),
     "provenance_join": (_provenance, _QUADS_SQL + "SELECT a.o AS o, a.c AS c, a.g AS g1, b.g AS g2 FROM q a JOIN q b ON a.o = b.o WHERE a.s = 'P'"),
     "path_plus": (_path("+"), f"WITH RECURSIVE e AS ({_EDGES}), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p"),

@@ -1,8 +1,9 @@
 """Random rows of patterns, random walks over joins, and estimates from them.
 
-A table is ranked once: rows get a number from 0 within their key, and the
-key's count. A draw is then an equi-join on (key, number). Walks are rows
-(walk, bindings, p), p being the probability of the walk so far.
+Rows get a number from 0 within their key, and the key's count; of a table that
+is entered by a key only the rows of keys that a walk has reached. A draw is then
+an equi-join on (key, number). Walks are rows (walk, bindings, p), p being the
+probability of the walk so far.
 """
 
 from __future__ import annotations
@@ -58,13 +59,21 @@ def arithmetic(walk: str, factor: int, shift: int, modulus: int = 1_000_003) ->
     return F.pmod(F.col(walk) * factor + shift, F.lit(modulus)) / float(modulus)
 
 
-def step(walks: DataFrame, table: DataFrame, on: list[tuple[str, str]], draw: Column, keep_failed: bool = False) -> DataFrame:
-    """One step of a walk: a random row of a ranked table among those whose key equals the walk's columns.
+def step(walks: DataFrame, table: DataFrame, on: list[tuple[str, str]], draw: Column, keep_failed: bool = False, order: list[str] | None = None) -> DataFrame:
+    """One step of a walk: a random row of a table among those whose key equals the walk's columns.
 
-    on: (walk's column, key of the table); none draws from the whole table. p is
-    multiplied by 1 / count. Walks without a row are dropped, or kept with p null.
+    on: (walk's column, key of the table); none draws from the whole table, which
+    must be ranked. With keys a table needn't be: order, which must tell rows
+    apart, ranks the rows of the keys that walks have reached, and only those. p
+    is multiplied by 1 / count. Walks without a row are dropped, or kept with p
+    null.
     """
     keys = [k for _, k in on]
+    if keys and order is not None:
+        reached = cut(walks)
+        walks = reached
+        wanted = reached.select(*[F.col(a).alias(f"_w_{k}") for a, k in on]).distinct()
+        table = ranked(table.join(wanted, [F.col(k) == F.col(f"_w_{k}") for k in keys], "left_semi"), keys, order)
     if keys:
         counts = table.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.first("_cnt").alias("_n"))
         sized = walks.join(counts, [F.col(a) == F.col(f"_k_{k}") for a, k in on], "left" if keep_failed else "inner").drop(*[f"_k_{k}" for k in keys])
@@ -120,8 +129,10 @@ def walk_pattern(data: Dataset, triples: tuple[Triple, ...], n: int, seed: int =
         rel = data.scan(unit, graph, False)
         shared = [v for v in rel.vars if v in known]
         fresh = [v for v in rel.vars if v not in known]
-        table = ranked(rel.df, shared, fresh or shared)
-        walks = step(walks, table.select(*[F.col(v).alias(f"v_{v}" if v in fresh else f"_on_{v}") for v in rel.vars], "_rank", "_cnt"), [(f"v_{v}", f"_on_{v}") for v in shared], seeded(seed + k))
+        named = {v: f"v_{v}" if v in fresh else f"_on_{v}" for v in rel.vars}
+        rows = rel.df.select(*[F.col(v).alias(n) for v, n in named.items()])
+        order = [named[v] for v in fresh or shared]
+        walks = step(walks, rows if shared else ranked(rows, [], order), [(f"v_{v}", f"_on_{v}") for v in shared], seeded(seed + k), order=order)
         walks = walks.drop(*[f"_on_{v}" for v in shared])
         known += fresh
     return walks

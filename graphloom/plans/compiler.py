@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.exprs import Val, as_term, compile_expr, null_, num, text, truth
 from graphloom.functions.terms import node_id
@@ -126,6 +127,8 @@ class Compiler:
         a, b = l.kinds[v], r.kinds[v]
         x, y = F.col(lt + v), F.col(rt + v)
         if a == b:
+            if a == "value" and len(types := {l.df.schema[v].dataType, r.df.schema[v].dataType}) > 1 and StringType() in types:
+                return x.cast("string") == y.cast("string")  # one side has lexical forms
             return x == y
         if "id" in (a, b):
             hashed = lambda c, k: c if k == "id" else node_id(as_term(Val(c, k)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.exprs import Val, kind_of
@@ -59,6 +60,29 @@ def _named(df: DataFrame, columns: dict[str, Column], extra: dict[str, Column])
     return df.select(*[c.alias(n) for n, c in columns.items()], *[c.alias(n) for n, c in extra.items()])
 
 
+def snapshot(*frames: DataFrame) -> str:
+    """Tells states of data apart: by plans and files' names, sizes and times of change where it is read from files, else by rows."""
+    found: list[str] = []
+    files: set[str] = set()
+    listed = frames[0].sparkSession.read.format("binaryFile")
+
+    def add(rows: DataFrame) -> None:
+        every = [F.col(c) for c in rows.columns]
+        found.append(str(tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*every).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("second"), *every))).first())))
+
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        leaves = plan.collectLeaves()
+        if all(leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" for k in range(leaves.size())) and (own := df.inputFiles()):
+            found.append(plan.canonicalized().toString())
+            files.update(own)
+        else:
+            add(df)
+    if files:  # no content is read
+        add(listed.load(sorted(files)).select("path", "length", "modificationTime"))
+    return hashlib.sha256("|".join(found).encode()).hexdigest()[:16]
+
+
 #: A quoted triple and its parts; how deep they may be nested.
 QUOTED_TRIPLE = r"^<< (<[^<>]*>|_:\S+|<<.*>>) (<[^<>]*>) (.*) >>$"
 QUOTE_DEPTH = 3
@@ -234,8 +258,13 @@ class TripleStore:
     def constant(self, term: str) -> tuple[Column, str]:
         return F.lit(term), "term"
 
+    @cached_property
+    def _mark(self) -> str:
+        return f"{self.name}|{snapshot(self.triples, self.quads)}"
+
     def fingerprint(self) -> str:
-        return self.name
+        """Name, and snapshot of triples and quads."""
+        return self._mark
 
 
 def replace_store(store: TripleStore, triples: DataFrame, quads: DataFrame) -> TripleStore:
@@ -263,6 +292,8 @@ class TableGraph:
     graphs: dict[str, Column] = field(default_factory=dict)
     name: str = "tables"
     sizes: dict[str, int] = field(default_factory=dict)  # row counts known so far, shared by copies
+    places: dict[str, bool] = field(default_factory=dict)  # whether tables are in files, likewise
+    marks: dict[tuple[str, ...], tuple[list[DataFrame], str]] = field(default_factory=dict)  # tables and their snapshot, likewise
     as_terms: bool = field(default=False, init=False)
 
     def with_graphs(self, default: tuple[str, ...], named: tuple[str, ...]) -> TableGraph:
@@ -302,12 +333,33 @@ class TableGraph:
             return F.md5(F.to_json(F.struct(*[F.col(c) for c in self.tables[table].columns]), {"ignoreNullFields": "false"}))
         return F.col(key[0]) if len(key) == 1 else F.concat_ws("/", *[F.col(c).cast("string") for c in key])
 
+    def _in_files(self, table: str) -> bool:
+        """Whether rows can be told apart by their place in Parquet files."""
+        known = self.places
+        if table not in known:
+            df = self.tables[table]
+            exposed = "_metadata" in df._jdf.queryExecution().analyzed().metadataOutput().mkString(",")
+            known[table] = exposed and "row_index" in df.select("_metadata").schema[0].dataType.names
+        return known[table]
+
+    def _numbered(self, table: str) -> DataFrame:
+        """The table; where it isn't Parquet, with a number ``_nth`` among rows that are equal."""
+        df = self.tables[table]
+        if self._in_files(table):
+            return df
+        every = [F.col(c) for c in df.columns]
+        hashes = df.withColumns({"_h1": F.xxhash64(*every), "_h2": F.xxhash64(F.lit("second"), *every)})
+        return hashes.withColumn("_nth", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
+
+    def _position(self, table: str) -> list[Column]:
+        """Two columns that tell apart rows of _numbered() whatever they hold: file and row number, or hash and number among equals."""
+        if self._in_files(table):
+            return [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        return [F.concat_ws("/", "_h1", "_h2"), F.col("_nth")]
+
     def page_key(self, table: str) -> list[Column]:
-        """Columns that tell rows apart for paging: the key, or two 64-bit hashes of all columns where a table has none."""
-        if self.keys.get(table):
-            return [F.col(c) for c in self.keys[table]]
-        every = [F.col(c) for c in self.tables[table].columns]
-        return [F.xxhash64(*every), F.xxhash64(F.lit("second"), *every)]
+        """Columns that order the rows of _numbered() and tell them apart: the key, if any, and the position, as a key may repeat or be null."""
+        return [*[F.col(c) for c in self.keys.get(table) or []], *self._position(table)]
 
     def iri_of(self, table: str, key: Column) -> Column:
         return F.concat(F.lit(f"<{BASE}{table}/"), key.cast("string"), F.lit(">"))
@@ -359,7 +411,7 @@ class TableGraph:
         return df if graph is None else df.where(self.graphs[table].isNotNull())
 
     def _scan_table(self, table: str, unit: tuple[Triple, ...], graph: Node | str | None, keys: bool, several: bool) -> Rel:
-        df = self.tables[table]
+        df = self._numbered(table) if keys else self.tables[table]
         columns: dict[str, Column] = {}
         kinds: dict[str, str] = {}
         s, own = unit[0].s, self.row_key(table)
@@ -405,13 +457,15 @@ class TableGraph:
 
     def _unpivot(self, t: Triple, tables: list[str], graph: Node | str | None, keys: bool) -> Rel:
         """A pattern with a variable predicate: every column of every row, objects in lexical form."""
+        places = 2 if keys else 0  # subjects repeat where a key does
         frames = []
         for table in tables:
-            df = self.tables[table]
+            df = self._numbered(table) if keys else self.tables[table]
             extra: dict[str, Column] = {}
             df = self._graph(df, table, graph, extra)
-            cells = F.explode(F.array(*[F.struct(F.lit(f"<{BASE}{c}>").alias("p"), F.col(c).cast("string").alias("o")) for c in df.columns if "<" not in df.schema[c].dataType.simpleString()]))
-            frames.append(df.select(self.iri_of(table, self.row_key(table)).alias("_s"), cells.alias("_c"), *[c.alias("_g") for c in extra.values()]).select("_s", F.col("_c.p").alias("_p"), F.col("_c.o").alias("_o"), *["_g" for _ in extra]))
+            cells = F.explode(F.array(*[F.struct(F.lit(f"<{BASE}{c}>").alias("p"), F.col(c).cast("string").alias("o")) for c in self.tables[table].columns if "<" not in df.schema[c].dataType.simpleString()]))
+            at = [c.cast("string").alias(f"_at{k}") for k, c in enumerate([*self._position(table), F.lit(None), F.lit(None)][:places])]
+            frames.append(df.select(self.iri_of(table, self.row_key(table)).alias("_s"), cells.alias("_c"), *[c.alias("_g") for c in extra.values()], *at).select("_s", F.col("_c.p").alias("_p"), F.col("_c.o").alias("_o"), *["_g" for _ in extra], *[f"_at{k}" for k in range(places)]))
         df = frames[0]
         for f in frames[1:]:
             df = df.union(f)
@@ -419,13 +473,14 @@ class TableGraph:
         columns: dict[str, Column] = {}
         kinds: dict[str, str] = {}
         for c, n in (("_s", t.s), ("_p", t.p), ("_o", t.o), *((("_g", graph),) if isinstance(graph, Var) else ())):
+            kind = "iri" if c in ("_s", "_p") else "value"
             if isinstance(n, Const):
                 df = df.where(F.col(c) == (parts(n.term)[1] if c == "_o" else n.term))
             elif n.name in columns:
-                df = df.where(F.col(c) == columns[n.name])
+                df = df.where(F.col(c) == columns[n.name] if kinds[n.name] == kind else F.lit(False))
             else:
-                columns[n.name] = F.col(c)
-                key_cols = {f"_key{c}": F.col(c) for c in ("_s", "_p", "_o")} if keys else {}
+                columns[n.name], kinds[n.name] = F.col(c), kind
+        key_cols = {f"_key{c}": F.col(c) for c in ("_s", "_p", "_o", *[f"_at{k}" for k in range(places)])} if keys else {}
         return Rel(_named(df, columns, key_cols), kinds, frozenset(columns), tuple((c, True) for c in key_cols))
 
     def links(self, predicate: str, graph: Node | str | None) -> Rel:
@@ -456,4 +511,9 @@ class TableGraph:
         return (F.lit(term), "iri") if kind == "iri" else (F.lit(native(term)), "value")
 
     def fingerprint(self) -> str:
-        return self.name
+        """Name, and snapshot of the tables."""
+        tables = tuple(sorted(self.tables))
+        frames = [self.tables[t] for t in tables]
+        if tables not in self.marks or any(a is not b for a, b in zip(self.marks[tables][0], frames)):
+            self.marks[tables] = frames, snapshot(*frames)
+        return f"{self.name}|{self.marks[tables][1]}"

@@ -2,9 +2,14 @@
 
 Every row of a query has a key: the keys of the rows it was made of, in order of
 the scans. A page holds the rows after the last key seen, in key order; the
-token that resumes is that key with a fingerprint of the query. So a call's
-state is a few values, whatever the plan, and the pages together are exactly the
-whole result.
+token that resumes is that key with a fingerprint of the query and of the data.
+So a call's state is a few values, whatever the plan, and the pages together are
+exactly the whole result.
+
+The first key column is the first scan's. Where it is a number, a page asks for
+a range of it that should hold enough rows by what earlier pages found, so that
+this scan reads only its part, and goes on with a wider one if it doesn't. Rows
+are read ahead in growing steps and held for the next call.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import math
+import threading
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, Row
@@ -24,8 +33,12 @@ from graphloom.plans.compiler import compile_select, sort_columns
 from graphloom.plans.parser import parse
 from graphloom.sources.dataset import Dataset, Key, Rel
 
-#: Rows that are fetched before the first look at the clock (twice as many before each further one), and without a clock.
+#: Rows that are fetched before the first look at the clock (twice as many before each further one), and of a call without limit or time.
 CHUNK, UNTIMED_CHUNK = 10_000, 1_000_000
+#: Rows that a call reads ahead for each that were given out before it.
+AHEAD = 4
+#: Rows that all queries together hold ready for later calls, at most.
+READ_AHEAD = 1_000_000
 
 
 class TokenError(ValueError):
@@ -55,8 +68,8 @@ class Page:
     emitted: int
 
 
-def fingerprint(op: Op, data: Dataset) -> str:
-    return hashlib.sha256(f"{op!r}|{data.fingerprint()}".encode()).hexdigest()[:24]
+def fingerprint(q: Query, data: Dataset) -> str:
+    return hashlib.sha256(f"{q.op!r}|{q.default_graphs}|{q.named_graphs}|{data.fingerprint()}".encode()).hexdigest()[:24]
 
 
 def _pack(v: object) -> object:
@@ -99,72 +112,188 @@ def after(keys: tuple[Key, ...], last: list[object], types: list[str]) -> Column
     return out
 
 
-def _read_token(token: str | None, mark: str, n_keys: int) -> tuple[int, list[object] | None]:
+def _read_token(token: str | None, mark: str, n_keys: int) -> tuple[int, list[object] | None, float | None]:
+    """Rows given out so far, the last key, and rows for each unit of the first key column where that is known."""
     if token is None:
-        return 0, None
+        return 0, None, None
     try:
         got = json.loads(token)
         if got["query"] != mark:
             raise TokenError("the token belongs to another query or dataset")
-        emitted, last = got["emitted"], [_unpack(v) for v in got["last"]]
+        emitted, last, rate = got["emitted"], [_unpack(v) for v in got["last"]], got["rate"]
     except (KeyError, TypeError, json.JSONDecodeError) as e:
         raise TokenError("malformed token") from e
-    if not isinstance(emitted, int) or emitted < 0 or len(last) != n_keys:
+    if not isinstance(emitted, int) or emitted < 0 or len(last) != n_keys or not (rate is None or isinstance(rate, float) and rate > 0):
         raise TokenError("malformed token")
-    return emitted, last
+    return emitted, last, rate
+
+
+class _Ahead:
+    """Rows that were fetched beyond a page, by the token that asks for them. A token that isn't here is answered by the data."""
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._held: dict[str, tuple[list[Row], bool]] = {}
+
+    def put(self, token: str, rows: list[Row], last: bool) -> None:
+        with self._lock:
+            self._held.pop(token, None)
+            self._held[token] = (rows, last)
+            while sum(len(r) for r, _ in self._held.values()) > READ_AHEAD:
+                del self._held[next(iter(self._held))]
+
+    def take(self, token: str) -> tuple[list[Row], bool]:
+        with self._lock:
+            return self._held.pop(token, ([], False))
+
+
+_AHEAD = _Ahead()
+
+
+class _Fetch:
+    """Rows of a keyed result in key order, from a key on."""
+
+    def __init__(self, data: Dataset, rel: Rel, names: list[str], last: list[object] | None, rate: float | None) -> None:
+        self.data, self.rel, self.names, self.rate = data, rel, names, rate
+        self.types = [rel.df.schema[c].dataType.simpleString() for c, _ in rel.keys]
+        self.from_ = None if last is None else after(rel.keys, last, self.types)
+        self.low = None if last is None else last[0]
+        self.reach, self.done = 2.0, False
+        self.ranged = self.types[0] in ("int", "bigint", "smallint", "double") and rel.keys[0][1]
+
+    def _high(self, want: int) -> object:
+        """Where a range of the first key column that should hold so many rows ends; None if there is no telling."""
+        if not self.ranged or self.rate is None or not isinstance(self.low, (int, float)) or self.reach > 100:
+            return None
+        high = self.low + max(1, self.reach * want / self.rate)
+        return high if self.types[0] == "double" else int(high) if high < 2**31 or self.types[0] == "bigint" and high < 2**62 else None
+
+    def take(self, want: int, offset: int = 0) -> list[Row]:
+        """Up to so many rows; fewer than that don't mean the end, ``done`` does. Values of names, then the keys."""
+        df, high = self.rel.df, None if offset else self._high(want)
+        if self.from_ is not None:
+            df = df.where(self.from_)
+        first = self.rel.keys[0][0]
+        if high is not None:  # so that the first scan reads no more than the page needs
+            df = df.where(F.col(first) <= F.lit(high).cast(self.types[0]))
+        df = df.orderBy(*sort_columns(self.rel.keys))
+        part = replace(self.rel, df=(df.offset(offset) if offset else df).limit(want + 1))
+        shown = self.data.decode(part, self.names)
+        got = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(self.names)], *_keys_of(part, shown, self.names)).collect()
+        n = len(self.names)
+        if any(shown.kinds[v] != part.kinds[v] for v in self.names):
+            got = sorted(got, key=lambda r: _sort_key(r, n, self.rel.keys))
+        if len(got) > want:
+            got = got[:want]
+            self.from_ = after(self.rel.keys, list(got[-1][n:]), self.types)
+            new_low = got[-1][n]
+            self.reach = 2.0
+        else:
+            self.done = high is None
+            new_low = high
+            if high is not None:
+                self.from_ = F.col(first) > F.lit(high).cast(self.types[0])
+                self.reach *= 8
+        if self.ranged and got and isinstance(new_low, (int, float)):
+            base = self.low if isinstance(self.low, (int, float)) else got[0][n]
+            if isinstance(base, (int, float)) and 0 < new_low - base < math.inf:
+                self.rate = len(got) / float(new_low - base)
+        self.low = new_low
+        return got
+
+
+_COMPILED: dict[tuple[str, str], Rel] = {}
+
+
+def _compiled(mark: str, op: Op, data: Dataset) -> Rel:
+    """The keyed result, whose plan is made once for all pages of a session."""
+    key = (data.spark.sparkContext.applicationId, mark)
+    if key not in _COMPILED:
+        while len(_COMPILED) >= 100:
+            _COMPILED.pop(next(iter(_COMPILED)), None)
+        _COMPILED[key] = compile_select(op, data, keys=True, decode=False)
+    return _COMPILED[key]
 
 
 def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token: str | None = None, server: Budget = Budget(), prefixes: dict[str, str] | None = None, chunk: int | None = None) -> Page:
     """Rows of a SELECT query from a token on, until the budget is used or all is done.
 
-    At least one chunk is done in each call, so every call gets further. A
-    query's own LIMIT and OFFSET count over all pages. At most ``limit`` rows are
-    held at a time.
+    At least one chunk is done in each call, so every call gets further; a later
+    one that is still running at the deadline is cancelled. A query's own LIMIT and
+    OFFSET count over all pages. At most ``limit`` rows are returned; without a
+    clock AHEAD times the rows given out before are read ahead, READ_AHEAD at
+    most. Without a limit or time the budget is UNTIMED_CHUNK rows.
     """
     q = parse(query, prefixes) if isinstance(query, str) else query
     data = data.with_graphs(q.default_graphs, q.named_graphs)
     most = server.within(budget)
-    size = chunk or (UNTIMED_CHUNK if most.timeout_ms is None else CHUNK)
+    if most.timeout_ms is None:
+        most = most.within(Budget(UNTIMED_CHUNK))
     deadline = None if most.timeout_ms is None else time.monotonic() + most.timeout_ms / 1000
     op, offset, cap = q.op, 0, None
     if isinstance(op, Slice):
         op, offset, cap = op.child, op.offset, op.limit
     # Keys first: terms are looked up for a page's rows only.
-    rel = compile_select(op, data, keys=True, decode=False)
-    types = [rel.df.schema[c].dataType.simpleString() for c, _ in rel.keys]
-    mark = fingerprint(q.op, data)
-    emitted, last = _read_token(token, mark, len(rel.keys))
+    mark = fingerprint(q, data)
+    rel = _compiled(mark, op, data)
+    emitted, last, rate = _read_token(token, mark, len(rel.keys))
     names = [v for v in rel.vars if not v.startswith("?")]
-    rows: list[Row] = []
-    done = cap is not None and emitted >= cap
-    while not done:
-        want = min(size, (most.limit - len(rows)) if most.limit is not None else size, (cap - emitted) if cap is not None else size)
+    n = len(names)
+    held, ended = _AHEAD.take(token) if token is not None else ([], False)
+    given = emitted
+    fetch = _Fetch(data, rel, names, list(held[-1][n:]) if held else last, rate)
+    fetch.done = ended or cap is not None and emitted >= cap
+    size = chunk or CHUNK
+    room = min((x for x in (None if most.limit is None else max(1, most.limit), None if cap is None else cap - emitted) if x is not None), default=None)
+    while not fetch.done and (room is None or len(held) < room):
+        left = None if room is None else room - len(held)
+        if deadline is None:
+            want = left + min(READ_AHEAD, AHEAD * given if cap is None else min(AHEAD * given, cap - emitted - left)) if chunk is None else min(chunk, left)
+        else:
+            want = size if left is None else min(size, left)
         if want <= 0:
             break
-        df = rel.df
-        if last is not None:
-            df = df.where(after(rel.keys, last, types))
-        df = df.orderBy(*sort_columns(rel.keys))
-        if last is None and offset:
-            df = df.offset(offset)
-        part = replace(rel, df=df.limit(want + 1))
-        shown = data.decode(part, names)
-        got = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(names)], *_keys_of(part, shown, names)).collect()
-        got = sorted(got, key=lambda r: _sort_key(r, len(names), rel.keys))
-        done = len(got) <= want
-        got = got[:want]
-        for r in got:
-            rows.append(Row(**dict(zip(names, r[: len(names)]))))
-        emitted += len(got)
-        if got:
-            last = list(got[-1][len(names) :])
-        if cap is not None and emitted >= cap:
-            done = True
-        if deadline is not None and time.monotonic() >= deadline:
+        skip = offset if last is None and not held else 0
+        got = _within(data, lambda want=want, skip=skip: fetch.take(want, skip), deadline if held else None)
+        if got is None:
             break
-        size *= 2
-    out = None if done else json.dumps({"query": mark, "emitted": emitted, "last": [_pack(v) for v in last]})
-    return Page(names, rows, out, emitted)
+        held, size = held + got, size * 2
+        if held and deadline is not None and time.monotonic() >= deadline:
+            break
+    out = held[:room]
+    rest = held[len(out) :]
+    emitted += len(out)
+    over = fetch.done and not rest or cap is not None and emitted >= cap
+    row = Row(*names)
+    rows = [row(*r[:n]) for r in out]
+    if over:
+        return Page(names, rows, None, emitted)
+    if out:
+        last = list(out[-1][n:])
+    following = json.dumps({"query": mark, "emitted": emitted, "last": [_pack(v) for v in last], "rate": fetch.rate})
+    if rest:
+        _AHEAD.put(following, rest, fetch.done)
+    return Page(names, rows, following, emitted)
+
+
+def _within(data: Dataset, job: Callable[[], list[Row]], deadline: float | None) -> list[Row] | None:
+    """What a job returns, or None if it was still running at the deadline and is cancelled."""
+    if deadline is None:
+        return job()
+    context, group = data.spark.sparkContext, f"page-{uuid.uuid4().hex}"
+    timer = threading.Timer(max(0.0, deadline - time.monotonic()), lambda: context.cancelJobGroup(group))
+    context.setJobGroup(group, "a page's chunk", interruptOnCancel=True)
+    timer.start()
+    try:
+        return job()
+    except Exception:
+        if time.monotonic() >= deadline:
+            return None
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
 
 
 def _keys_of(part: Rel, shown: Rel, names: list[str]) -> list[Column]:

@@ -1,8 +1,13 @@
 """Operators over RDF fixtures, whole and in pages."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import engine
+from graphloom.sources.dataset import TableGraph
+from graphloom.streaming import paging
 from graphloom.streaming.paging import Budget, TokenError, pages, progress, run_page
 from tests.fixtures import CITIES, CITY_QUADS, P, PETS, bag, short, store
 
@@ -180,6 +185,65 @@ def test_tokens_are_checked(cities, pets):
             run_page(cities, "SELECT * { ?s ?p ?o }", token=bad, prefixes=P)
 
 
+@pytest.fixture(params=["files", "memory"])
+def repeated(spark, request, tmp_path):
+    """Equal rows, null keys, and a key that repeats."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (2, None), (2, "c")]
+    df = spark.createDataFrame(rows, "k int, v string")
+    if request.param == "files":
+        df.write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+    return df
+
+
+@pytest.mark.parametrize("keys", [{}, {"t": ["k"]}])
+@pytest.mark.parametrize("query", ["SELECT ?v { ?s :v ?v }", "SELECT ?v ?w { { ?s :v ?v } { ?x :v ?w } }", "SELECT ?p ?o { ?s ?p ?o }", "SELECT ?v { { ?s :v ?v } UNION { ?s :k ?v2 } }"])
+def test_no_row_is_lost_in_pages(spark, repeated, keys, query, monkeypatch):
+    data = TableGraph(spark, {"t": repeated}, keys, {})
+    whole = bag(engine.select(data, query, {"": "urn:t:"}))
+    for ahead in (0, 4):
+        monkeypatch.setattr(paging, "AHEAD", ahead)
+        got = [tuple(r) for p in pages(data, query, 5 if len(whole) > 20 else 1, {"": "urn:t:"}) for r in p.rows]
+        assert sorted(got, key=repr) == whole and whole
+
+
+def test_ranges_of_the_first_key(spark, monkeypatch):
+    monkeypatch.setattr(paging, "AHEAD", 0)
+    numbers = sorted({int(1.3**k) for k in range(60)} | {0})
+    data = TableGraph(spark, {"t": spark.createDataFrame([(n, f"v{n}") for n in numbers], "k long, v string")}, {"t": ["k"]}, {})
+    got = [r.s for p in pages(data, "SELECT ?s { ?s :v ?v }", 3, {"": "urn:t:"}) for r in p.rows]
+    assert got == numbers
+
+
+def test_foreign_tokens_are_refused(spark, tmp_path):
+    q, prefix = "SELECT ?v { ?s :v ?v }", {"": "urn:t:"}
+    table = lambda rows: TableGraph(spark, {"t": spark.createDataFrame(rows, "k int, v string")}, {"t": ["k"]}, {})
+    token = run_page(table([(1, "a"), (2, "b")]), q, Budget(limit=1), prefixes=prefix).token
+    assert [r.v for r in run_page(table([(1, "a"), (2, "b")]), q, token=token, prefixes=prefix).rows] == ["b"]
+    with pytest.raises(TokenError):
+        run_page(table([(1, "a"), (3, "c")]), q, token=token, prefixes=prefix)
+    for rows in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]):
+        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t"))
+        data = TableGraph(spark, {"t": spark.read.parquet(str(tmp_path / "t"))}, {"t": ["k"]}, {})
+        if len(rows) == 2:
+            token = run_page(data, q, Budget(limit=1), prefixes=prefix).token
+    with pytest.raises(TokenError):
+        run_page(data, q, token=token, prefixes=prefix)
+    a, b = store(spark, "x|p|y\nx|p|z"), store(spark, "x|p|y\nx|p|w")
+    with pytest.raises(TokenError):
+        run_page(b, "SELECT ?o { ?s ?p ?o }", token=run_page(a, "SELECT ?o { ?s ?p ?o }", Budget(limit=1)).token)
+
+
+def test_a_running_chunk_is_cancelled_at_the_deadline(spark):
+    slow = F.udf(lambda k: __import__("time").sleep(0 if k < 4 else 30) or k, "long").asNondeterministic()
+    data = TableGraph(spark, {"t": spark.range(40, numPartitions=4).select(F.col("id").alias("k"), F.col("id").alias("v"))}, {"t": ["k"]}, {})
+    rel = engine.solutions(data, "SELECT ?s { ?s :v ?v }", {"": "urn:t:"})
+    began = time.monotonic()
+    assert paging._within(data, lambda: rel.df.select(slow("s")).collect(), began + 1) is None
+    assert time.monotonic() - began < 15
+    assert paging._within(data, lambda: [1], time.monotonic() + 5) == [1]
+
+
 def one(data, select, where="{ :a :age ?n }"):
     return tuple(engine.select(data, f"SELECT {select} {where}", P).first())
 
