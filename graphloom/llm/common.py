@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,14 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df in the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is set instead.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder is set where that setting is absent; on a cluster it is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
+#: Rows that a row is repeated as at a time.
+_REPEATS = 100_000
+
+
+def repeated(df: DataFrame, n_col: str) -> DataFrame:
+    """Each row as often as its column n_col says, numbered from 0 by ``_nth``, in steps, so that no row makes a long array."""
+    n = F.col(n_col)
+    blocks = df.withColumn("_block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _REPEATS).cast("long")), lambda x: x * _REPEATS)))
+    last = F.least(F.lit(_REPEATS - 1).cast("long"), n - F.col("_block") - 1)
+    return blocks.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("_nth", F.col("_block") + F.col("_nth")).drop("_block")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

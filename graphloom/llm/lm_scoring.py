@@ -3,9 +3,9 @@
 Three things are learned from the training texts. Word counts, over all of
 them, give a unigram score for comparison. From the same table come counts of
 subwords and of subword pairs in words, over all of them too, which are the
-model's output bias. The attention weights are fitted in numpy on all of
-them as well: each task trains on its own texts, and the weights are averaged
-between rounds.
+model's output bias. The attention weights are fitted in numpy in one pass over
+all of them as well, in three rounds over disjoint parts of growing size: each
+task trains on its own texts of a part, and the weights are averaged after it.
 
 The output is factored: a subword belongs to a leaf (frequent ones have their
 own), leaves belong to groups of those with like neighbours, and log P(subword) =
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -33,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import PATTERN
-from graphloom.llm.common import ascii_lower, cut
+from graphloom.llm.common import cut, repeated
 
 WINDOW, OVERLAP = 32, 8
 WIDTH, GROUPS, LEAVES = 16, 32, 1024
-#: Passes over the training texts that fit the attention weights, and the rate of the first.
-ROUNDS, RATE = 3, 0.01
-#: A word with at least this share of all tokens travels with the code; there can't be more than 1 / HEAVY of them.
-HEAVY = 1 / 200_000
+#: Parts of the training texts, by hash, that the attention weights are fitted on one after the other, each text being in one; the rate of the first.
+PARTS, RATE = (1 / 64, 1 / 8, 1), 0.01
+#: A word with at least this share of all tokens travels with the code, as a hash and a number; there can't be more than 1 / HEAVY of them.
+HEAVY = 1 / 1_000_000
+#: Words that a task counts before it hands them on.
+COUNTED = 500_000
 #: Words that a task keeps the subwords of.
 CACHE_WORDS = 700_000
 #: Windows per step of training and of scoring.
@@ -52,15 +55,14 @@ _PRIOR = 20.0  # weight of the unigram distribution in that of pairs
 
 @dataclass
 class Vocabulary:
-    """Leaves of subwords. The id past the vocabulary's is the end."""
+    """Leaves of subwords. The id past the vocabulary's is the end. Leaves of a group are numbered in a row."""
 
     leaf: np.ndarray  # of each subword
     in_leaf: np.ndarray  # log P(subword in its leaf)
-    group: np.ndarray | None = None  # of each leaf
+    group: np.ndarray | None = None  # of each leaf, ascending
+    starts: np.ndarray | None = None  # first leaf of each group, and the end
     by_group: np.ndarray | None = None  # log P(group after leaf), for LEAVES + 1 contexts, the last a word's start
     in_group: list[np.ndarray] | None = None  # log P(leaf in group after leaf) for each group, contexts x leaves of the group
-    members: list[np.ndarray] | None = None  # leaves of each group
-    nth: np.ndarray | None = None  # place of each leaf in its group
 
 
 class _Numbers(dict):
@@ -78,13 +80,13 @@ class _Numbers(dict):
 class Splitter:
     """Subwords of words, kept for those seen last. spec: a file of byte-pair ranks (base64 of a token, its rank)."""
 
-    def __init__(self, spec: str, heavy: dict[bytes, float] | None = None) -> None:
+    def __init__(self, spec: str, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in spec.splitlines() if line)}
         self._encode = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
-        self.heavy = heavy or {}  # log10 of (count + 0.1)
+        self.heavy = heavy or (np.zeros(0, np.int64), np.zeros(0))  # hashes, ascending, and log10 of (count + 0.1)
         self._clear()
 
     def _clear(self) -> None:
@@ -116,8 +118,12 @@ class Splitter:
             self.flat[self.filled : self.filled + len(flat)] = flat
             self.start[at], self.length[at] = self.filled + np.cumsum(n) - n, n
             self.hash[at] = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], dtype=np.uint64).view(np.int64)
-            heavy = self.heavy.get
-            self.known[at] = [heavy(w, np.nan) for w in fresh]
+            hashes, values = self.heavy
+            place = np.searchsorted(hashes, self.hash[at])
+            self.known[at] = np.nan
+            there = np.flatnonzero(place < len(hashes))
+            there = there[hashes[place[there]] == self.hash[at][there]]
+            self.known[self.used + there] = values[place[there]]
             self.used, self.filled = self.used + len(fresh), self.filled + len(flat)
             self.ids.fresh = []
         return out
@@ -177,27 +183,44 @@ def _hidden(w: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, .
     return x + (z.reshape(-1, WIDTH) @ w["o"]).reshape(x.shape), x, q, k, v, a, z
 
 
-def _outputs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """log P(target leaf) for places with hidden state h, bias context and target leaf; the groups, all groups' probabilities, and for each group its places and their leaves' probabilities."""
+def _sorted(voc: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts targets of one group together, and where each group starts in it."""
     g = voc.group[target]
-    one = h @ w["group"]
-    one += voc.by_group[context]
-    np.exp(one, out=one)
-    one /= one.sum(axis=1, keepdims=True)
-    out = np.log(one[np.arange(len(g)), g])
     order = np.argsort(g, kind="stable")
-    cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
-    two = []
+    return order, np.concatenate([[0], np.cumsum(np.bincount(g, minlength=GROUPS))])
+
+
+_ONES = np.ones(LEAVES, np.float32)
+
+
+def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target leaf) for places with hidden state h, bias context and target leaf."""
+    order, cuts = _sorted(voc, target)
+    h, context, target = h[order], context[order], target[order]
+    one = h @ w["group"]
+    one += np.take(voc.by_group, context, axis=0)
+    out = _picked(one, voc.group[target])
     for i in range(GROUPS):
-        at = order[cuts[i] : cuts[i + 1]]
-        p = h[at] @ w["leaf"][:, voc.members[i]]
-        if len(at):
-            p += voc.in_group[i][context[at]]
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            out[at] += np.log(p[np.arange(len(at)), voc.nth[target[at]]])
-        two.append((at, p))
-    return out, g, one, two
+        a, b = cuts[i], cuts[i + 1]
+        if a < b:
+            lo, hi = voc.starts[i], voc.starts[i + 1]
+            two = h[a:b] @ w["leaf"][:, lo:hi]
+            two += np.take(voc.in_group[i], context[a:b], axis=0)
+            out[a:b] += _picked(two, target[a:b] - lo)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of the rows of x, which is overwritten, at one column each."""
+    own = x[np.arange(len(x)), at]
+    with np.errstate(over="ignore"):
+        total = np.exp(x) @ _ONES[: x.shape[1]]
+    if not np.isfinite(total).all() or not total.all():
+        top = x.max(axis=1)
+        return own - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    return own - np.log(total)
 
 
 def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -216,41 +239,65 @@ def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
         due = (at >= scored[k : k + SCORE_BATCH, None]) & (at < stop[k : k + SCORE_BATCH, None])
         h = _hidden(w, before[np.minimum(at, len(ids) - 1)])[0]
         pick = at[due]
-        out[pick] += _outputs(w, voc, h[due], context[pick], leaf[pick])[0]
+        out[pick] += log_probs(w, voc, h[due], context[pick], leaf[pick])
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of rows, in place."""
+    x -= x.max(axis=1)[:, None]
+    np.exp(x, out=x)
+    x /= (x @ _ONES[: x.shape[1]].astype(x.dtype, copy=False))[:, None]
+    return x
+
+
 def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and its gradients for a batch of windows."""
     h, x, q, k, v, a, z = _hidden(w, before)
-    scored = h[due]
-    logp, g, d1, two = _outputs(w, voc, scored, context, target)
+    order, cuts = _sorted(voc, target)
+    scored, context, target = h[due][order], context[order], target[order]
     n = max(1, len(target))
-    d1[np.arange(len(target)), g] -= 1
+    d1 = scored @ w["group"]
+    d1 += np.take(voc.by_group, context, axis=0)
+    _softmax(d1)
+    at = np.arange(len(target)), voc.group[target]
+    logp = np.log(d1[at])
+    d1[at] -= 1
     out = {"group": scored.T @ d1 / n, "leaf": np.zeros_like(w["leaf"])}
     dh = d1 @ w["group"].T
-    for leaves, (at, d2) in zip(voc.members, two):
-        if len(at):
-            d2[np.arange(len(at)), voc.nth[target[at]]] -= 1
-            out["leaf"][:, leaves] = scored[at].T @ d2 / n
-            dh[at] += d2 @ w["leaf"][:, leaves].T
+    for i in range(GROUPS):
+        s = slice(cuts[i], cuts[i + 1])
+        if s.start < s.stop:
+            leaves = slice(voc.starts[i], voc.starts[i + 1])
+            d2 = scored[s] @ w["leaf"][:, leaves]
+            d2 += np.take(voc.in_group[i], context[s], axis=0)
+            _softmax(d2)
+            at = np.arange(len(d2)), target[s] - leaves.start
+            logp[s] += np.log(d2[at])
+            d2[at] -= 1
+            out["leaf"][:, leaves] = scored[s].T @ d2 / n
+            dh[s] += d2 @ w["leaf"][:, leaves].T
+    back = np.empty_like(dh)
+    back[order] = dh
     full = np.zeros_like(h)
-    full[due] = dh / n
+    full[due] = back / n
     flat = full.reshape(-1, WIDTH)
     out["o"] = z.reshape(-1, WIDTH).T @ flat
     dz = (flat @ w["o"].T).reshape(z.shape)
     da = np.matmul(dz, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), dz)
-    da = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
     dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    dx, flat_x = full.copy(), x.reshape(-1, WIDTH)
+    dx, flat_x = full.reshape(-1, WIDTH), x.reshape(-1, WIDTH)
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         d = d.reshape(-1, WIDTH)
         out[name] = flat_x.T @ d
-        dx += (d @ w[name].T).reshape(x.shape)
-    out["place"] = dx.sum(axis=0)
-    out["embed"] = np.zeros_like(w["embed"])
-    np.add.at(out["embed"], before.ravel(), dx.reshape(-1, WIDTH))
+        dx += d @ w[name].T
+    out["place"] = full.sum(axis=0)
+    cell = before.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    out["embed"] = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(dx.dtype)
     return -float(logp.mean()) if len(logp) else 0.0, out
 
 
@@ -294,8 +341,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    words = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+")
-    return train.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) of all words: tasks count theirs and hand on what they have when that is COUNTED words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found)).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+            found.clear()
+            return out
+
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                words = chain.from_iterable((t or "").encode().lower().split() for t in b.column(0).slice(k, 64).to_pylist())
+                found.update(words)
+                if len(found) > COUNTED:
+                    yield flushed()
+        if found:
+            yield flushed()
+
+    return train.select(text_col).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def group_leaves(two: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
@@ -364,16 +429,19 @@ def learn_vocabulary(counts: DataFrame, n_texts: int, spec: str) -> Vocabulary:
 def with_bias(voc: Vocabulary, two: np.ndarray, by_leaf: np.ndarray) -> Vocabulary:
     """voc with groups and output bias from counts of pairs and of leaves."""
     two = two + _PRIOR * by_leaf / by_leaf.sum()
-    voc.group = group_leaves(two, GROUPS)
+    group = group_leaves(two, GROUPS)
+    # Leaves get their numbers by group.
+    order = np.argsort(group, kind="stable")
+    number = np.empty(LEAVES, np.int64)
+    number[order] = np.arange(LEAVES)
+    voc.leaf, voc.group = number[voc.leaf], group[order].astype(np.uint8)
+    voc.starts = np.searchsorted(voc.group, np.arange(GROUPS + 1))
+    two = two[np.append(order, LEAVES)][:, order]
     joint = two / two.sum(axis=1, keepdims=True)
-    group = np.stack([joint[:, voc.group == g].sum(axis=1) for g in range(GROUPS)], axis=1)
-    group = np.maximum(group, 1e-30)  # a group without a leaf
-    voc.by_group = np.log(group).astype(np.float32)
-    voc.members = [np.flatnonzero(voc.group == g) for g in range(GROUPS)]
-    voc.in_group = [(np.log(joint[:, leaves]) - np.log(group[:, g, None])).astype(np.float32) for g, leaves in enumerate(voc.members)]
-    voc.nth = np.zeros(LEAVES, np.int64)
-    for leaves in voc.members:
-        voc.nth[leaves] = np.arange(len(leaves))
+    parts = [slice(a, b) for a, b in zip(voc.starts, voc.starts[1:])]
+    by_group = np.maximum(np.stack([joint[:, s].sum(axis=1) for s in parts], axis=1), 1e-30)  # a group may have no leaf
+    voc.by_group = np.log(by_group).astype(np.float32)
+    voc.in_group = [(np.log(joint[:, s]) - np.log(by_group[:, g, None])).astype(np.float32) for g, s in enumerate(parts)]
     return voc
 
 
@@ -391,12 +459,17 @@ def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Attention weights fitted on a table with one text column: every task fits its own texts, the mean by windows goes on."""
+def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[float, ...] = PARTS) -> dict[str, np.ndarray]:
+    """Attention weights fitted on a table with one text column: every task fits its own texts of a part, the mean by windows goes on.
+
+    parts: where, on the scale from 0 to 1 of the texts' hashes, each part ends.
+    """
     spark = texts.sparkSession
     w = new_weights()
     shared_voc = spark.sparkContext.broadcast(voc)
-    for k in range(rounds):
+    # Of a seed of its own, as equal texts are alike in every hash.
+    place = F.pmod(F.xxhash64(F.lit("part"), F.coalesce(F.col(texts.columns[0]), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+    for k, (low, high) in enumerate(zip((0.0, *parts), parts)):
         shared = spark.sparkContext.broadcast(w)
         rate = RATE / (1 + k)
 
@@ -414,9 +487,9 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, rounds: int = RO
                 flat = _pack(new).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), seen, dtype=np.int64))], names=["i", "w", "n"])
 
-        mean = texts.mapInArrow(one, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+        mean = texts.where((place >= low) & (place < high)).mapInArrow(one, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
         if not len(mean):
-            break
+            continue
         flat = np.zeros(len(mean))
         flat[mean["i"].to_numpy()] = mean["w"].to_numpy()
         w = _unpack(flat)
@@ -426,7 +499,7 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, rounds: int = RO
 _SPLITTERS: dict[str, Splitter] = {}
 
 
-def _shared_splitter(run_id: str, spec: str, heavy: dict[bytes, float]) -> Splitter:
+def _shared_splitter(run_id: str, spec: str, heavy: tuple[np.ndarray, np.ndarray]) -> Splitter:
     """A worker's splitter for one run, which its tasks share one after the other."""
     if run_id not in _SPLITTERS:
         _SPLITTERS.clear()
@@ -446,15 +519,19 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31)).cast("int").alias("th"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A row goes by 128 bits of its id and text.
+    key = lambda seed: F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), text)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), key("a").alias("k1"), key("b").alias("k2"))
     train = base.where(~held_out(F.col("doc_id")))
     counts = cut(_word_counts(train, "t"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_texts = train.select("doc_id").count()
     total, kinds = tokens + n_texts, distinct + (n_texts > 0)
     below = math.log10(total + 0.1 * (kinds + 1))
-    # At most 1 / HEAVY rows.
-    heavy = {r["word"].encode(): math.log10(r["c"] + 0.1) for r in counts.where(F.col("c") >= max(1, total * HEAVY)).collect()}
+    least = max(1, total * HEAVY)
+    often = counts.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toPandas().sort_values("h")  # at most 1 / HEAVY rows
+    heavy = often["h"].to_numpy(dtype=np.int64), np.log10(often["c"].to_numpy(dtype=np.float64) + 0.1)
     end_score = math.log10(n_texts + 0.1) - below
     voc = learn_vocabulary(counts, n_texts, spec)
     shared = spark.sparkContext.broadcast((train_weights(train.select("t"), voc, spec), voc, heavy))
@@ -483,25 +560,24 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(at[light], minlength=len(words)))])
                 pairs = pa.StructArray.from_arrays([pa.array(splitter.hash[number[light]]), pa.array(by_word[light].astype(np.float32))], names=["h", "lp"])
                 listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.StructArray.from_arrays([pa.array(v) for v in doc.values()], names=list(doc)), listed], names=["doc_id", "th", "doc", "light"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.StructArray.from_arrays([pa.array(v) for v in doc.values()], names=list(doc)), listed], names=["doc_id", "k1", "k2", "doc", "light"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    scored = base.select("doc_id", "t", "th").mapInArrow(run, f"doc_id {kind}, th int, doc {_DOC}, light array<struct<h:bigint,lp:float>>")
+    scored = base.select("doc_id", "t", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, doc {_DOC}, light array<struct<h:bigint,lp:float>>")
     # The row's own figures go with its first place, the hash of a rarer word with each later one.
     places = F.concat(F.array(F.lit(None).cast("struct<h:bigint,lp:float>")), F.col("light"))
-    long = scored.select("doc_id", "th", "doc", F.posexplode(places).alias("pos", "w")).select("doc_id", "th", "w.h", "w.lp", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
-    rare = counts.where(F.col("c") < max(1, total * HEAVY)).select(F.xxhash64("word").alias("_h"), "c")
+    long = scored.select("k1", "k2", F.struct("doc_id", "doc.*").alias("doc"), F.posexplode(places).alias("pos", "w")).select("k1", "k2", "w.h", "w.lp", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
+    rare = counts.where(F.col("c") < least).select(F.xxhash64("word").alias("_h"), "c")
     joined = long.join(rare, F.col("h") == F.col("_h"), "left")
     word = F.when(F.col("h").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 0.1) - below)
     a, b = F.col("lp").cast("double") + math.log10(MIXED), word + math.log10(1 - MIXED)
     model = F.when(F.col("c").isNull(), a).otherwise(F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b))))
-    d = lambda name: F.max(f"doc.{name}")
-    summed = joined.groupBy("doc_id", "th").agg(
-        F.sum("doc.rows").alias("rows"), d("n_tokens").alias("n_tokens"), d("score").alias("score"), d("heavy").alias("heavy"), d("n_heavy").alias("n_heavy"),
+    d = lambda name: F.max(f"doc.{name}").alias(name)
+    summed = joined.groupBy("k1", "k2").agg(
+        F.sum("doc.rows").alias("rows"), *[d(n) for n in ("doc_id", "n_tokens", "score", "heavy", "n_heavy")],
         F.coalesce(F.sum(word), F.lit(0.0)).alias("rare"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), model)), F.lit(0.0)).alias("rare_score"), F.count("c").alias("n_rare"),
     )
-    rows = summed.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return rows.select(
+    return repeated(summed, "rows").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("n_heavy") + (F.col("n_rare") / F.col("rows")).cast("long") + int(n_texts > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("heavy") + F.col("rare") / F.col("rows") + end_score).alias("base_score"), (F.col("score") + F.col("rare_score") / F.col("rows")).alias("score"),

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import repeated
+
 #: region -> rack -> shard -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
 
@@ -97,5 +99,7 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str =
     distinct = rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("n"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = distinct.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), ["shard", "bucket"])
-    slots = F.sequence(F.col("start") + F.col("first"), F.col("start") + F.col("first") + F.col("n") - 1)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")
+    slot = F.col("start") + F.col("first") + F.col("_nth")
+    return repeated(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "start", "first", F.col("n").alias("_n")), "_n").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard"
+    )

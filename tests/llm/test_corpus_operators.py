@@ -242,13 +242,75 @@ def test_lm_scores(spark):
     assert again[2000] > again[2010]
 
 
+def plain_score(text, splitter, w, voc, frequency):
+    """log10 of a text's probability: one place at a time, over all it may see, without batches."""
+    words = (text or "").encode().lower().split()
+    parts = [splitter._encode(" " + x.decode()) for x in words] + [[splitter.end]]
+    ids = [x for p in parts for x in p]
+    starts = {sum(map(len, parts[:k])) for k in range(len(parts))}
+    leaf = [voc.leaf[x] for x in ids]
+    before = [lm_scoring.LEAVES, *leaf[:-1]]
+    w = {n: a.astype(np.float64) for n, a in w.items()}
+    lp = []
+    for i, x in enumerate(ids):
+        begin = 0  # of the first window that scores place i
+        while i >= begin + lm_scoring.WINDOW:
+            begin += lm_scoring.WINDOW - lm_scoring.OVERLAP
+        seen = [w["embed"][before[j]] + w["place"][j - begin] for j in range(begin, i + 1)]
+        a = np.exp([seen[-1] @ w["q"] @ (s @ w["k"]) / lm_scoring.WIDTH**0.5 for s in seen])
+        h = seen[-1] + sum(p * (s @ w["v"]) for p, s in zip(a / a.sum(), seen)) @ w["o"]
+        context, g = lm_scoring.LEAVES if i in starts else before[i], voc.group[leaf[i]]
+        one = h @ w["group"] + voc.by_group[context]
+        two = h @ w["leaf"][:, voc.group == g] + voc.in_group[g][context]
+        lp.append(one[g] - np.log(np.exp(one).sum()) + two[leaf[i] - voc.starts[g]] - np.log(np.exp(two).sum()) + voc.in_leaf[x])
+    total, at = 0.0, 0
+    for word, p in zip([*words, None], parts):
+        model = sum(lp[at : at + len(p)]) / math.log(10)
+        at += len(p)
+        own = frequency(word)
+        total += model + math.log10(lm_scoring.MIXED) if own is None and word is not None else math.log10(lm_scoring.MIXED * 10**model + (1 - lm_scoring.MIXED) * 10**own)
+    return total
+
+
+def test_scores_against_plain(spark, monkeypatch):
+    kept = {}
+
+    def fixed(texts, voc, spec):
+        r = np.random.default_rng(4)
+        kept["voc"] = voc
+        kept["w"] = {n: (a + r.standard_normal(a.shape) * 0.1).astype(np.float32) for n, a in lm_scoring.new_weights().items()}
+        return kept["w"]
+
+    monkeypatch.setattr(lm_scoring, "train_weights", fixed)
+    monkeypatch.setattr(lm_scoring, "HEAVY", 0.002)
+    r = random.Random(11)
+    words = ["the", "river", "house", "Wald", "und", "xyzzy,", "É", "\x85", "naïve", *[f"rare{i}" for i in range(300)]]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([1, 9, 40, 200])))) for i in range(60)] + [(100, None), (101, ""), (102, "never seen " * 30), (None, "the"), (1, "the"), (None, "river"), (103, "x" * 3000), (103, "x" * 3000)]
+    got = lm_scoring.score(frame(spark, rows), SPEC).collect()
+    train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    c = Counter(x for t in train for x in (t or "").encode().lower().split())
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    below = math.log10(n + 0.1 * (v + 1))
+    frequency = lambda x: math.log10(len(train) + 0.1) - below if x is None else math.log10(c[x] + 0.1) - below if x in c else None
+    splitter = lm_scoring.Splitter(SPEC)
+    want = sorted((str(i), plain_score(t, splitter, kept["w"], kept["voc"], frequency)) for i, t in rows)
+    have = sorted((str(x["doc_id"]), x["score"]) for x in got)
+    for (i, a), (j, b) in zip(have, want, strict=True):
+        assert i == j and abs(a - b) < 1e-4 * abs(b), (i, a, b)
+
+
+def test_parts_are_disjoint_and_all():
+    ends = lm_scoring.PARTS
+    assert list(ends) == sorted(set(ends)) and ends[0] > 0 and ends[-1] == 1
+
+
 def test_attention_decides_on_leaves():
     r = np.random.default_rng(9)
     n = lm_scoring.LEAVES
     voc = lm_scoring.with_bias(lm_scoring.Vocabulary(np.arange(n), np.zeros(n)), r.random((n + 1, n)), np.ones(n))
     w = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.1 for k, v in lm_scoring.new_weights().items()}
     h, context = r.standard_normal((1, lm_scoring.WIDTH)), np.array([5])
-    every = lambda weights: np.array([lm_scoring._outputs(weights, voc, h, context, np.array([x]))[0][0] for x in range(n)])
+    every = lambda weights: np.array([lm_scoring.log_probs(weights, voc, h, context, np.array([x]))[0] for x in range(n)])
     lp = every(w)
     assert abs(np.exp(lp).sum() - 1) < 1e-5
     # Which leaf of a group comes next depends on the attention's state, not on counts alone.
@@ -264,7 +326,7 @@ def test_attention_is_fitted_on_all_training_texts(spark, monkeypatch):
 
     def noted(texts, voc, spec):
         seen.extend(x[0] for x in texts.collect())
-        w = fitted(texts, voc, spec, rounds=1)
+        w = fitted(texts, voc, spec)
         seen.append(bool(w["group"].any() and w["leaf"].any()))
         return w
 
