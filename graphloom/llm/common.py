@@ -53,13 +53,14 @@ def ascii_lower(text: Column) -> Column:
 #: Relative width of a sketch's buckets.
 ALPHA = 0.005
 _GAMMA = (1 + ALPHA) / (1 - ALPHA)
+LOG_GAMMA = math.log(_GAMMA)
 #: Values up to this share the lowest bucket, which stands for zero.
 _TINY = 1e-6
 
 
 def sketch_bucket(x: Column) -> Column:
     """Bucket of a non-negative value. Bucket counts are the sketch: adding them merges sketches exactly."""
-    return F.when(x <= _TINY, F.lit(-(10**6))).otherwise(F.ceil(F.log(x) / math.log(_GAMMA))).cast("int")
+    return F.when(x <= _TINY, F.lit(-(10**6))).otherwise(F.ceil(F.log(x) / LOG_GAMMA)).cast("int")
 
 
 def bucket_value(b: Column) -> Column:
@@ -67,10 +68,15 @@ def bucket_value(b: Column) -> Column:
     return F.when(b == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), b.cast("double")) / (1 + _GAMMA))
 
 
-def sketch_quantiles(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles out of sketches given as rows (keys, bucket, n): one row per key, with its total as ``n``."""
+def sketch_buckets(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Buckets of quantiles out of sketches given as rows (keys, bucket, n): one row per key, with its total as ``n``."""
     w = Window.partitionBy(*keys)
     run = counts.withColumn("_cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("_all", F.sum("n").over(w))
-    value = bucket_value(F.col("bucket"))
-    aggs = [F.min(F.when(F.col("_cum") >= F.greatest(F.lit(1.0), q * F.col("_all")), value)).alias(name) for name, q in quantiles.items()]
+    aggs = [F.min(F.when(F.col("_cum") >= F.greatest(F.lit(1.0), q * F.col("_all")), F.col("bucket"))).alias(name) for name, q in quantiles.items()]
     return run.groupBy(*keys).agg(F.max("_all").alias("n"), *aggs)
+
+
+def sketch_quantiles(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """The same with the values that stand for the buckets."""
+    found = sketch_buckets(counts, keys, quantiles)
+    return found.withColumns({name: bucket_value(F.col(name)) for name in quantiles})

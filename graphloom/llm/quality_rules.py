@@ -3,9 +3,14 @@
 Each text is measured once. The measures' distribution in each (language,
 source) is kept as a mergeable quantile sketch: counts of logarithmic buckets,
 which add up over tasks in any order to the same sketch. Thresholds are outer
-fences of those quantiles, with the language's own sketch, which is the sum of
-its sources', standing in for sources with few texts. They are joined to the
-texts and decide.
+fences of those quantiles on the logarithmic scale, with the language's own
+sketch, which is the sum of its sources', standing in for sources with few
+texts. They are joined to the texts and decide.
+
+A measure is a count per word, as half an occurrence in one word more (the usual
+estimate of a rate from a count). So a text without any still has a value, which
+says how little that means in a text of its length, and the sketch has a spread
+where most texts have none. No threshold has a part that isn't learned.
 """
 
 from __future__ import annotations
@@ -18,13 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cut, sketch_bucket, sketch_quantiles
+from graphloom.llm.common import LOG_GAMMA, WORD, cut, sketch_bucket, sketch_buckets
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Measure -> least spread that its fences assume, in the measure's unit.
-MEASURES = {"symbol_ratio": 0.1, "dup_line_ratio": 0.1, "repeat_ratio": 0.1, "upper_ratio": 0.1, "word_length": 0.75}
-#: Fences lie so many spreads (quartile distances) beyond the quartiles.
+#: Measure -> the count it is made of. Too small a value speaks against a text only where it says so.
+MEASURES = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words", "upper_ratio": "n_upper_words", "word_length": "word_chars"}
+TWO_SIDED = ("word_length",)
+#: Fences lie so many spreads (distances of quartiles, in buckets) beyond the quartiles.
 FENCE = 3.0
 #: Sources with fewer texts use the thresholds of their language.
 MIN_TEXTS = 50
@@ -69,15 +75,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _values() -> dict[str, Column]:
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbol_ratio": per_word("n_symbols"),
-        # A repeated line counts as ten words.
-        "dup_line_ratio": F.col("n_dup_lines") * 10 / F.greatest(F.col("n_words"), F.lit(1)),
-        "repeat_ratio": per_word("n_repeat_words"),
-        "upper_ratio": per_word("n_upper_words"),
-        "word_length": per_word("word_chars"),
-    }
+    return {m: (F.col(c) + 0.5) / (F.col("n_words") + 1) for m, c in MEASURES.items()}
 
 
 def sketches(values: DataFrame) -> DataFrame:
@@ -88,17 +86,17 @@ def sketches(values: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source) with <measure>_lo and <measure>_hi."""
-    quartiles = {"q1": 0.25, "q3": 0.75}
-    own = sketch_quantiles(sketch, ["lang", "source", "measure"], quartiles)
-    lang = sketch_quantiles(sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang", "measure"], quartiles)
-    lang = lang.select(F.col("lang").alias("_l"), F.col("measure").alias("_ms"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    """One row for each (lang, source) with <measure>_lo and <measure>_hi, as logarithms."""
+    quartiles = {"b1": 0.25, "b3": 0.75}
+    own = sketch_buckets(sketch, ["lang", "source", "measure"], quartiles)
+    lang = sketch_buckets(sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang", "measure"], quartiles)
+    lang = lang.select(F.col("lang").alias("_l"), F.col("measure").alias("_ms"), F.col("b1").alias("_b1"), F.col("b3").alias("_b3"))
     both = own.join(lang, own["lang"].eqNullSafe(F.col("_l")) & (own["measure"] == F.col("_ms")))
     few = F.col("n") < MIN_TEXTS
-    q1, q3 = F.when(few, F.col("_q1")).otherwise(F.col("q1")), F.when(few, F.col("_q3")).otherwise(F.col("q3"))
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(x)) for m, x in MEASURES.items()])
-    spread = F.greatest(q3 - q1, least)
-    limits = both.select("lang", "source", "measure", (q1 - FENCE * spread).alias("lo"), (q3 + FENCE * spread).alias("hi"))
+    b1, b3 = F.when(few, F.col("_b1")).otherwise(F.col("b1")), F.when(few, F.col("_b3")).otherwise(F.col("b3"))
+    # The middle half lies between the start of one bucket and the end of the other.
+    spread = b3 - b1 + 1
+    limits = both.select("lang", "source", "measure", ((b1 - 1 - FENCE * spread) * LOG_GAMMA).alias("lo"), ((b3 + FENCE * spread) * LOG_GAMMA).alias("hi"))
     picked = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("lo", "hi")]
     return limits.groupBy("lang", "source").agg(*picked)
 
@@ -107,7 +105,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row for each row of docs: doc_id, the counts, base_failed, failed (the measures beyond a fence), kept.
 
     base_failed: under 50 words, or more than half of the words in repeated
-    windows. kept: not base_failed and no measure beyond its fences. Null
+    windows. kept: not base_failed and no measure beyond its fences; values in
+    the quartiles' own buckets never are, so equal texts are all kept. Null
     languages and sources are groups of their own, a null text counts as empty.
     Repeated rows are judged and counted each. Other columns are ignored; an
     empty table gives an empty result.
@@ -118,7 +117,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     values = stats.withColumns(_values())
     limits = fences(sketches(values)).withColumnsRenamed({"lang": "_l", "source": "_s"})
     joined = values.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    beyond = F.array_compact(F.array(*[F.when((F.col(m) > F.col(f"{m}_hi")) | (F.col(m) < F.col(f"{m}_lo")), F.lit(m)) for m in MEASURES]))
+    out_of = {m: F.log(m) > F.col(f"{m}_hi") for m in MEASURES}
+    out_of |= {m: out_of[m] | (F.log(m) < F.col(f"{m}_lo")) for m in TWO_SIDED}
+    beyond = F.array_compact(F.array(*[F.when(out, F.lit(m)) for m, out in out_of.items()]))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Callable
 
@@ -81,8 +80,8 @@ SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text WHEN n_removed
 FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
-_GAMMA = (1 + common.ALPHA) / (1 - common.ALPHA)
-_MEASURES_SQL = ", ".join(f"('{m}', {x})" for m, x in quality_rules.MEASURES.items())
+_MEASURES_SQL = ", ".join(f"({c} + 0.5) / (n_words + 1)::DOUBLE AS {m}" for m, c in quality_rules.MEASURES.items())
+_TWO_SIDED_SQL = ", ".join(f"'{m}'" for m in quality_rules.TWO_SIDED)
 _QUALITY_SQL = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
@@ -92,21 +91,20 @@ rep AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM r, (VALUES (
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 dup AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l) z WHERE k > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, d.lang, d.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x))::BIGINT AS n_upper
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x))::BIGINT AS n_upper_words
   FROM documents d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
-v AS (SELECT *, n_symbols::DOUBLE / greatest(n_words, 1) AS symbol_ratio, n_dup_lines::DOUBLE * 10 / greatest(n_words, 1) AS dup_line_ratio, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_ratio, n_upper::DOUBLE / greatest(n_words, 1) AS upper_ratio, word_chars::DOUBLE / greatest(n_words, 1) AS word_length FROM m),
+v AS (SELECT *, {_MEASURES_SQL} FROM m),
 u AS (UNPIVOT (SELECT doc_id, lang, source, {", ".join(quality_rules.MEASURES)} FROM v) ON {", ".join(quality_rules.MEASURES)} INTO NAME measure VALUE x),
-b AS (SELECT lang, source, measure, CASE WHEN x <= 1e-6 THEN -1000000 ELSE ceil(ln(x) / {math.log(_GAMMA)!r}) END AS bucket, count(*) AS n FROM u GROUP BY ALL),
+b AS (SELECT lang, source, measure, ceil(ln(x) / {common.LOG_GAMMA!r}) AS bucket, count(*) AS n FROM u GROUP BY ALL),
 own AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM b),
 both_ AS (SELECT lang, measure, bucket, sum(n) AS n FROM b GROUP BY ALL),
 wide AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, measure) AS total FROM both_),
 oq AS (SELECT lang, source, measure, max(total) AS total, min(bucket) FILTER (WHERE cum >= greatest(1.0, 0.25 * total)) AS b1, min(bucket) FILTER (WHERE cum >= greatest(1.0, 0.75 * total)) AS b3 FROM own GROUP BY ALL),
 wq AS (SELECT lang, measure, min(bucket) FILTER (WHERE cum >= greatest(1.0, 0.25 * total)) AS b1, min(bucket) FILTER (WHERE cum >= greatest(1.0, 0.75 * total)) AS b3 FROM wide GROUP BY ALL),
-z AS (SELECT oq.lang, oq.source, oq.measure, least_, CASE WHEN total < {quality_rules.MIN_TEXTS} THEN wq.b1 ELSE oq.b1 END AS b1, CASE WHEN total < {quality_rules.MIN_TEXTS} THEN wq.b3 ELSE oq.b3 END AS b3
-  FROM oq JOIN wq ON oq.lang = wq.lang AND oq.measure = wq.measure JOIN (VALUES {_MEASURES_SQL}) k(measure, least_) ON k.measure = oq.measure),
-f AS (SELECT lang, source, measure, least_, CASE WHEN b1 = -1000000 THEN 0 ELSE 2 * pow({_GAMMA!r}, b1) / {1 + _GAMMA!r} END AS q1, CASE WHEN b3 = -1000000 THEN 0 ELSE 2 * pow({_GAMMA!r}, b3) / {1 + _GAMMA!r} END AS q3 FROM z),
-h AS (SELECT u.doc_id, string_agg(u.measure, ',' ORDER BY list_position({list(quality_rules.MEASURES)!r}, u.measure)) AS failed FROM u JOIN f ON f.lang = u.lang AND f.source = u.source AND f.measure = u.measure
-  WHERE x > q3 + {quality_rules.FENCE} * greatest(q3 - q1, least_) OR x < q1 - {quality_rules.FENCE} * greatest(q3 - q1, least_) GROUP BY u.doc_id)
+z AS (SELECT oq.lang, oq.source, oq.measure, CASE WHEN total < {quality_rules.MIN_TEXTS} THEN wq.b1 ELSE oq.b1 END AS b1, CASE WHEN total < {quality_rules.MIN_TEXTS} THEN wq.b3 ELSE oq.b3 END AS b3
+  FROM oq JOIN wq ON oq.lang = wq.lang AND oq.measure = wq.measure),
+h AS (SELECT u.doc_id, string_agg(u.measure, ',' ORDER BY list_position({list(quality_rules.MEASURES)!r}, u.measure)) AS failed FROM u JOIN z ON z.lang = u.lang AND z.source = u.source AND z.measure = u.measure
+  WHERE ln(x) > (b3 + {quality_rules.FENCE} * (b3 - b1 + 1)) * {common.LOG_GAMMA!r} OR u.measure IN ({_TWO_SIDED_SQL}) AND ln(x) < (b1 - 1 - {quality_rules.FENCE} * (b3 - b1 + 1)) * {common.LOG_GAMMA!r} GROUP BY u.doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(failed, '') AS failed, lang, source,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed IS NULL AS kept
 FROM m LEFT JOIN h USING (doc_id)

@@ -169,6 +169,33 @@ def test_quality_rules(spark):
     assert quality_rules.judge(frame(spark, rows).where("false")).count() == 0
 
 
+def test_thresholds_come_from_the_group(spark):
+    r = random.Random(6)
+
+    def text(rate, n):
+        return " ".join(f"word{r.randrange(10**6)}" + ("#" if r.random() < rate else "") for _ in range(n))
+
+    # Symbols are common in one source, absent in another, whose texts differ in length.
+    rows = [(i, text(r.uniform(0.1, 0.5), 200), "en", "code") for i in range(120)] + [(200 + i, text(0, r.randint(100, 300)), "en", "news") for i in range(120)]
+    rows += [(900, text(0.5, 200), "en", "code"), (901, text(0.5, 200), "en", "news"), (902, text(0.01, 200), "en", "news"), (903, text(0, 200), "en", "few"), (904, text(0.5, 20_000), "en", "news")]
+    by = {x["doc_id"]: x for x in quality_rules.judge(frame(spark, rows)).collect()}
+    assert by[900]["kept"] and by[902]["kept"] and by[903]["kept"]
+    assert "symbol_ratio" in by[901]["failed"] and "symbol_ratio" in by[904]["failed"]
+    assert all(by[i]["kept"] for i, *_ in rows[:240])
+    counts = frame(spark, rows).transform(quality_rules.measured).select("lang", "source", "_m.*")
+    limits = {x["source"]: x for x in quality_rules.fences(quality_rules.sketches(counts.withColumns(quality_rules._values()))).collect()}
+    assert limits["code"]["symbol_ratio_hi"] > 0 > limits["news"]["symbol_ratio_hi"]  # logarithms
+    assert limits["code"]["word_length_hi"] != limits["news"]["word_length_hi"]
+
+
+def test_quality_rules_on_long_texts_and_clashing_columns(spark):
+    r = random.Random(7)
+    long = "\n".join(" ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(60)) for _ in range(2000))
+    assert quality_rules.measure(long) == plain_measure(long)
+    docs = frame(spark, [(1, long, "en", "s"), (2, "x", "en", "s")]).selectExpr("doc_id", "text", "lang", "source", "1 AS _m", "2 AS n_words", "3 AS measure", "4 AS bucket", "5 AS _l", "'k' AS kept")
+    assert {x["doc_id"]: x["n_words"] for x in quality_rules.judge(docs).collect()} == {1: 120_000, 2: 1}
+
+
 def test_sketches_merge_exactly(spark):
     from pyspark.sql import functions as F
 
