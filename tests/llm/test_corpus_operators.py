@@ -443,11 +443,105 @@ def test_verbatim_copies_of_items_with_few_words(spark):
     assert got == ["1", "", "2", "", "3", "", "4", ""]
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_large_benchmarks_are_joined_by_a_shuffle(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(tuple(x) for x in decontamination.flag(docs, bench).collect())
-    monkeypatch.setattr(decontamination, "BLOCK", 400)
+    monkeypatch.setattr(decontamination, "BROADCAST", 0)
+    monkeypatch.setattr(decontamination, "BITS", 1)
+    monkeypatch.setattr(decontamination, "LEAST", 6)
     assert sorted(tuple(x) for x in decontamination.flag(docs, bench).collect()) == one
+    assert decontamination.clean(docs, bench).count() == sum(not x[1] for x in one)
+
+
+def test_names_at_the_start_of_sentences(spark):
+    bench = spark.createDataFrame([(1, "Alice has 12 apples and buys 5 more"), (2, "Alice ran 5 km today"), (3, "The red cat sat on the mat. Bob saw 7 dogs.")], "item_id long, text string")
+    texts = {
+        "Bob has 90 apples and buys 7 more.": "1", "so then Bob has 90 apples and buys 7 more": "1", "Bob has 9 apples and buys 9 more": "", "Bob ran 9 km today": "2", "yes, Carl ran 11 km today": "2",
+        "the red cat sat on the mat. Carl saw 9 dogs.": "3", "Bob ran 9 miles home": "", "ALICE HAS 12 APPLES": "",
+    }
+    got = [x["items"] for x in decontamination.flag(frame(spark, list(enumerate(texts))), bench).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+
+
+def plain_windows(text, item):
+    """Windows of a text, each as all its readings: template or values, and the values of slots."""
+    tokens = []
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z]+", text):
+        x, before = m[0], text[: m.start()]
+        if x[0].isdigit():
+            tokens.append([("#" + re.sub("[.,]", "", x), "#")])
+        elif x.lower() in decontamination.UNITS and tokens and tokens[-1][0][1] == "#" and re.search(r"[0-9][ -]*$", before):
+            tokens.append([("%" + x.lower(), "%")])
+        elif len(x) > 1 and x[0].isupper() and x[1].islower():
+            inside = re.search(r"[a-z0-9,;:] $", before)
+            tokens.append([("@" + x.lower(), "@")] + ([] if inside or not item else [(x.lower(), x.lower())]))
+        else:
+            tokens.append([(x.lower(), x.lower())])
+    return [list(product(*tokens[k : k + 5])) for k in range(len(tokens) - 4)]
+
+
+def plain_flag(texts, items):
+    """For texts of ASCII letters and items of five tokens or more."""
+    out = []
+    for text in texts:
+        mine, found = [w[0] for w in plain_windows(text, False)], []
+        for i, item in items:
+            theirs = plain_windows(item, True)
+            literals = lambda w: sum(t not in "#%@" for _, t in w)
+            needed = 3 if max(min(map(literals, w)) for w in theirs) >= 3 else 2
+            exact = [all(literals(r) < needed for r in w) for w in theirs]
+            by_diag = defaultdict(list)
+            for d, w in enumerate(mine):
+                for b, readings in enumerate(theirs):
+                    for r in readings:
+                        k = 1 if literals(r) >= needed else 0
+                        if [x[k] for x in w] == [x[k] for x in r] and [x[1] if x[1] in "#%@" else "" for x in w] == [x[1] if x[1] in "#%@" else "" for x in r]:
+                            by_diag[d - b].append((b, [(p[0], q[0]) for p, q in zip(w, r) if q[1] in "#%@"] if k else []))
+            covered, verbatim, run = set(), set(), 0
+            for hits in by_diag.values():
+                pairs = {p for _, slots in hits for p in slots}
+                bad = {p for p in pairs for q in pairs if (p[0] == q[0]) != (p[1] == q[1])}
+                at = {b for b, slots in hits if not bad & set(slots)}
+                run = max(run, len(at))
+                covered |= {b for b in at if not exact[b]}
+                verbatim |= {b for b, _ in hits if exact[b]}
+            n = exact.count(False)
+            if run >= 9 or (len(covered) >= 0.8 * n if n else len(verbatim) >= 0.8 * len(exact)):
+                found.append(i)
+        out.append(",".join(map(str, found)))
+    return out
+
+
+def test_reparameterised_questions_against_plain(spark):
+    r = random.Random(12)
+    names, words = ["Alice", "Bob", "Carol", "Dan", "Eve", "Zed"], "the a old red boat house buys sells walks eats finds apples pears stones and then of with more left today slowly".split()
+    units = ["km", "kg", "hours", "days"]
+
+    def question():
+        out = [r.choice(["{n0}", "The", "When {n0}"])]
+        for _ in range(r.randint(6, 30)):
+            out.append(r.choice(words) if r.random() < 0.75 else r.choice(["{n0}", "{n1}", "{x0}", "{x1}", "{x0} {u0}", ". {n1}"]))
+        return " ".join(out).replace(" .", ".")
+
+    def fill(q, n=None, x=None):
+        n, x = n or r.sample(names, 2), x or r.sample(range(2, 99), 2)
+        return q.format(n0=n[0], n1=n[1], x0=x[0], x1=x[1], u0=r.choice(units))
+
+    questions = [question() for _ in range(40)]
+    items = [(i, fill(q)) for i, q in enumerate(questions)]
+    texts, origin = [], []
+    for i, q in enumerate(questions):
+        for before in ("", "so then ", " ".join(r.choice(words) for _ in range(20)) + ". "):
+            texts.append(before + fill(q) + r.choice(["", ".", " and more of the old red house"]))
+            origin.append(i)
+    texts += [" ".join(r.choice(words) for _ in range(60)) for _ in range(40)]
+    texts += [fill(q, ["Alice", "Alice"], [5, 5]) for q in questions]
+    got = [x["items"] for x in decontamination.flag(frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()]
+    want = plain_flag(texts, items)
+    as_text = lambda x: sorted(x.split(","))
+    assert [as_text(x) for x in got] == [as_text(x) for x in want]
+    assert sum(str(i) in x.split(",") for i, x in zip(origin, got)) >= 0.9 * len(origin)
+    assert not any(got[len(origin) : len(origin) + 40])
 
 
 def test_leaks_against_plain(spark):
