@@ -11,6 +11,7 @@ later rule.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -195,18 +196,47 @@ def _suppress(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits, order), none, step)
 
 
-#: Words looked at on each side of a keyword: more than any rule spans, so a match around the keyword lies within.
-_AROUND = 32
-
-
-def _regions(norm: Column, keywords: list[str]) -> Column:
-    """(k, at, region) for each place of a keyword: the padded words around it and the number of the first."""
+#: Words on each side of a keyword that are looked at, at least: how far from the tag an identifier of its expression can be. Rules that span more widen it.
+REACH = 32
+
+
+def span(regex: str) -> int:
+    """Words that a rule's match can have at most, with what it looks back at. Rules without such a bound are refused."""
+
+    def gaps(parsed: object) -> int:
+        total = 0
+        for op, arg in parsed:
+            name = str(op)
+            if name in ("LITERAL", "NOT_LITERAL"):
+                total += (arg == 32) == (name == "LITERAL")
+            elif name == "IN":
+                total += any(str(k) != "LITERAL" or a == 32 for k, a in arg)
+            elif name == "BRANCH":
+                total += max(gaps(x) for x in arg[1])
+            elif name == "SUBPATTERN":
+                total += gaps(arg[3])
+            elif name == "ASSERT":
+                total += gaps(arg[1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                inner = gaps(arg[2])
+                if inner and arg[1] > 1000:
+                    raise ValueError(f"a rule without a bound on its words: {regex}")
+                total += inner * arg[1]
+            elif name == "ANY":
+                total += 1
+        return total
+
+    return gaps(re._parser.parse(regex)) + 1
+
+
+def _regions(norm: Column, keywords: list[str], around: int) -> Column:
+    """(k, at, region) for each place of a keyword: the padded words around it, so many on each side, and the number of the first."""
     words = F.split(F.trim(norm), " ")
     open_ = "^(" + "|".join(_OPEN) + ")"
     known = F.array(*[F.lit(k) for k in keywords])
     key = lambda w: F.when(w.rlike(open_), F.regexp_extract(w, open_, 1)).when(F.array_contains(known, w), w)
-    places = F.filter(F.transform(words, lambda w, i: F.struct(key(w).alias("k"), F.greatest(i - _AROUND, F.lit(0)).alias("at"))), lambda x: x["k"].isNotNull())
-    part = lambda x: F.concat(F.lit(" "), F.array_join(F.slice(words, x["at"] + 1, F.lit(2 * _AROUND + 1)), " "), F.lit(" "))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(key(w).alias("k"), F.greatest(i - around, F.lit(0)).alias("at"))), lambda x: x["k"].isNotNull())
+    part = lambda x: F.concat(F.lit(" "), F.array_join(F.slice(words, x["at"] + 1, F.lit(2 * around + 1)), " "), F.lit(" "))
     return F.transform(places, lambda x: F.struct(x["k"].alias("k"), x["at"].cast("long").alias("at"), part(x).alias("region")))
 
 
@@ -216,7 +246,10 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     ``hits`` are the rule hits that stay, as word intervals. A null text counts
     as empty; texts without a hit get empty labels and score 0. Rows are
     handled each by itself, so repeated rows and other columns don't matter, and
-    an empty table gives an empty result. score is the largest confidence of
+    an empty table gives an empty result. Texts are read whole, of any length; of
+    matches at one place the longest stays, of equal ones that of the earlier
+    rule. A rule looks at the words around its keyword, as many as any rule can
+    span, REACH at least; one without a bound raises ValueError. score is the largest confidence of
     the hits that stay; a base phrase counts with 0.9.
     """
     rules = default_rules() if rules is None else rules
@@ -239,7 +272,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     if rules:
         listed = F.array(*[F.struct(F.lit(r.keyword).alias("kw"), F.lit(r.regex).alias("regex"), F.lit(i).alias("p"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("c")) for i, r in enumerate(rules)])
         in_region = lambda x: F.flatten(F.transform(F.filter(listed, lambda r: r["kw"] == x["k"]), lambda r: _intervals(x["region"], x["at"], r)))
-        hits = F.when(n.isNotNull(), _suppress(F.array_distinct(F.flatten(F.transform(_regions(n, sorted({r.keyword for r in rules})), in_region)))))
+        hits = F.when(n.isNotNull(), _suppress(F.array_distinct(F.flatten(F.transform(_regions(n, sorted({r.keyword for r in rules}), max(REACH, *(span(r.regex) for r in rules))), in_region)))))
     else:
         hits = F.lit(None).cast("array<struct<s:bigint,e:bigint,p:int,label:string,c:double>>")
     found = counted.select(

@@ -387,3 +387,45 @@ def test_license_forms_and_identifiers(spark):
     }
     got = license_scan.scan(frame(spark, list(enumerate(want)))).orderBy("doc_id").collect()
     assert {t: x["labels"] for t, x in zip(want, got)} == want
+
+
+def plain_hits(text, rules, compiled={}):
+    """Word intervals of all rules' matches, then without those within another, then without the later rule of two that overlap."""
+    words = words_of(text)
+    norm = " " + " ".join(words) + " "
+    hits = set()
+    for p, r in enumerate(rules):
+        # A rule whose match doesn't hold its keyword works near one only.
+        near = [0] if r.keyword in r.regex else [max(0, k - license_scan.REACH) for k, w in enumerate(words) if w == r.keyword]
+        for k in near:
+            part = norm if r.keyword in r.regex else " " + " ".join(words[k : k + 2 * license_scan.REACH + 1]) + " "
+            for m in compiled.setdefault(r.regex, re.compile(f"(?<= )(?:{r.regex})(?= )")).finditer(part):
+                s = k + part[: m.start()].count(" ") - 1
+                hits.add((s, s + m[0].count(" ") + 1, p))
+    left = [a for a in hits if not any(b[:2] != a[:2] and b[0] <= a[0] and a[1] <= b[1] or b[:2] == a[:2] and b[2] < a[2] for b in hits)]
+    kept = []
+    for h in sorted(left):
+        if not kept or h[0] >= kept[-1][1]:
+            kept.append(h)
+        elif h[2] < kept[-1][2]:
+            kept[-1] = h
+    return kept
+
+
+def test_rules_and_suppression_against_plain(spark):
+    rules = license_scan.default_rules()
+    r = random.Random(10)
+    names = [f for _, _, regex in license_scan.FAMILIES for f in r.sample(forms(re._parser.parse(regex)), 1)]
+    pieces = [*names, *[x[1] for x in license_scan.SPDX if "[" not in x[1]], "licensed under the", "released under the terms of the", "this file is distributed under", "see the", "spdx license identifier", "or", "and", "all rights reserved", "permission", "the", "x"]
+    rows = [(i, ". ".join(r.choice(pieces) for _ in range(r.randint(1, 14)))) for i in range(120)] + [(900, "filler words " * 4000 + "licensed under the MIT license")]
+    got = {x["doc_id"]: x["hits"] for x in license_scan.scan(frame(spark, rows)).collect()}
+    for i, text in rows:
+        assert [(h["s"], h["e"], h["p"]) for h in got[i]] == plain_hits(text, rules), text
+
+
+def test_rules_are_bounded(spark):
+    assert license_scan.span("a (?:b c )?d[ x]e") == 5 and license_scan.span("(?:a|b c d) e") == 4
+    with pytest.raises(ValueError):
+        license_scan.scan(frame(spark, [(1, "x")]), [license_scan.Rule("l", "mit", "mit(?: [a-z]+)* license", 1.0)])
+    wide = license_scan.Rule("wide", "mit", " ".join(["mit", *["w"] * 60]), 1.0)
+    assert [x["labels"] for x in license_scan.scan(frame(spark, [(1, "MIT " + "w " * 60)]), [wide]).collect()] == ["wide"]
