@@ -1,33 +1,65 @@
-"""Quality classifier: a character n-gram model with interpolated modified Kneser-Ney smoothing.
-
-The model is trained on trusted text. Characters are mapped to a fixed alphabet
-of 64 symbols, so an n-gram is a number below 64^n and every table has a proven
-bound: counts are summed over shards of that range, and the finished model is a
-dense table that fits any task. A text's perplexity is the exponential of its
-mean negative log probability; texts whose perplexity is beyond what trusted
-texts of their language have are rejected.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word pairs.
+
+The model is trained on trusted text. Pairs and words are counted by 64-bit
+hashes in shards: counts, continuation counts, totals of contexts and discounts
+are groupings and joins by hash, and so is the finished model, a table of what
+each known word and pair adds to a text's log probability. An unknown word has
+what is left over for its spelling, by a Kneser-Ney model of characters of the
+same kind, whose alphabet of 64 symbols bounds it.
+
+A text's log probability is a sum over its words and pairs, so it is got by a
+join with that table and a sum for each text. Perplexity is for each character. Two things keep that join small
+without changing it: the most frequent entries (at most HEAVY) travel with the
+code, and of the others only hashes that pass a bit filter of the model's are
+sent. Texts whose perplexity is beyond what trusted texts of their language have
+are rejected; those limits come from trusted texts that the model has not seen.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, sketch_bucket, sketch_quantiles
+from graphloom.llm.common import cut, repeated, sketch_bucket, sketch_quantiles
 
-#: Symbols; n-grams of ORDER symbols are the longest.
+#: Symbols; spellings are judged by ORDER symbols at a time.
 ALPHABET, ORDER = 64, 3
-#: Trusted texts that the model is fitted on, at most: those with the smallest hash of their id. Thresholds use all.
+#: Trusted texts that the model is fitted on, at most: those with the smallest hash of their id in one half. All of the other half make the limits.
 TRUSTED_TEXTS = 20_000
-#: Quantile of the trusted texts of a language, and how far above it (in nats, and in nats times the root of the length) a text may be.
-QUANTILE, MARGIN, NOISE = 0.99, 0.05, 2.0
+#: Quantile of the trusted texts of a language, and how far above it (in nats a character, and in nats times the root of the number of characters) a text may be.
+QUANTILE, MARGIN, NOISE = 0.99, 0.01, 4.0
 #: A language with fewer trusted texts is judged by the quantile of all.
 MIN_TEXTS = 50
+#: Entries of the model that travel with the code, at most; slots for them, and bits of the filter, as powers of two.
+HEAVY, SLOTS, FILTER = 1_000_000, 21, 26
+#: Words that a task keeps the hashes of.
+CACHE_WORDS = 500_000
+#: Rejected rows that are broadcast, at most; more are joined by a shuffle.
+BROADCAST = 200_000
+
+#: Plain punctuation parts words, and digits are alike; case and other signs are part of a word.
+_PLAIN = bytes.maketrans(b"0123456789.,;:()\"", b"0000000000       ")
+_BEGIN, _END = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b" begin", b" end"))  # no word holds a space
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(_PLAIN).split()
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def symbol_table() -> np.ndarray:
@@ -100,13 +132,15 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(prob).astype(np.float32)
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The model of a table of trusted texts; nulls count as empty. Without any text it is uniform."""
+def _counted(trusted: DataFrame, text_col: str) -> np.ndarray:
+    """Counts of symbol n-grams in the words of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**ORDER, dtype=np.int64)
         for b in batches:
-            total += np.bincount(grams([t or "" for t in b.column(0).to_pylist()])[0], minlength=len(total))
+            for k in range(0, b.num_rows, 64):
+                words = [w for t in b.column(0).slice(k, 64).to_pylist() for w in words_of(t)]
+                total += np.bincount(grams([w.decode("utf-8", "replace") + " " for w in words])[0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
@@ -114,28 +148,192 @@ def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
     summed = trusted.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(ALPHABET**ORDER, dtype=np.int64)
     counts[summed["gram"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy()
-    return kneser_ney(counts.reshape((ALPHABET,) * ORDER))
+    return counts
+
+
+def spelling(words: list[bytes], model: np.ndarray) -> np.ndarray:
+    """Log probability of each word's characters and its end."""
+    code, at, _ = grams([w.decode("utf-8", "replace") + " " for w in words])
+    return np.bincount(at, weights=model.ravel()[code].astype(np.float64), minlength=len(words))
+
+
+class _Words:
+    """Hashes of words and log probabilities of their spellings, kept for those seen last."""
+
+    def __init__(self, model: np.ndarray | None = None) -> None:
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.spelt, self.length = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+
+    def look(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words, which index hash and spelt; valid until the next call."""
+        if len(self.number) > CACHE_WORDS:
+            self._clear()
+        number, old = self.number, len(self.number)
+        out = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+        if len(number) > old:
+            fresh = _last(number, len(number) - old)
+            self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], dtype=np.uint64)])
+            self.length = np.concatenate([self.length, np.array([len(w.decode("utf-8", "replace")) + 1 for w in fresh])])
+            self.spelt = np.concatenate([self.spelt, spelling(fresh, self.model) if self.model is not None else np.zeros(len(fresh))])
+        return out
+
 
+def _last(d: dict, n: int) -> list:
+    """The last n keys of a dictionary, in order."""
+    keys = reversed(d)
+    return [next(keys) for _ in range(n)][::-1]
 
-def mean_nll(texts: list[str], model: np.ndarray) -> np.ndarray:
-    """Mean negative log probability of each text's characters; 0 for an empty text."""
-    code, at, lengths = grams(texts)
-    total = np.bincount(at, weights=model.ravel()[code], minlength=len(texts))
-    return -total / np.maximum(lengths, 1)
 
+def _stream(words: list[list[bytes]], known: _Words) -> tuple[np.ndarray, ...]:
+    """For texts given as words, with an end each: number of words and end of each, and of their characters, each word with one more; hash of every one and of the pair that it closes; the log probability of its spelling (0 for an end); its text."""
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    number = known.look([w for t in words for w in t])
+    ends = np.cumsum(counts)
+    h = np.insert(known.hash[number], ends, _END)
+    spelt = np.insert(known.spelt[number], ends, 0.0)
+    before = np.concatenate([[_BEGIN], h[:-1]]).astype(np.uint64)
+    before[np.cumsum(counts + 1) - counts - 1] = _BEGIN
+    chars = np.bincount(np.repeat(np.arange(len(words)), counts), weights=known.length[number], minlength=len(words)).astype(np.int64) + 1
+    return counts + 1, chars, h, pair_hash(before, h), spelt, before
 
-def perplexities(spark_df: DataFrame, text: Column, model: np.ndarray) -> Column:
-    """Struct column (nll double, n_chars long)."""
-    shared = spark_df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("nll double, chars long")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [t or "" for t in texts]
-            parts = [mean_nll(rows[k : k + 256], shared.value) for k in range(0, len(rows), 256)]
-            yield pd.DataFrame({"nll": np.concatenate(parts) if parts else np.zeros(0), "chars": [len(t) for t in rows]})
+@dataclass
+class Model:
+    """The finished model: entries(h, v, n) on the cluster, and what travels with the code."""
 
-    return score(text)
+    entries: DataFrame  # what a known word or pair adds to a text's log probability, and its count
+    spellings: np.ndarray
+    unknown: float  # log probability of leaving the known words
+    begin: float  # what each text begins with
+    slots: np.ndarray  # hashes of frequent entries by their upper bits, 0 where there is none
+    values: np.ndarray  # their v
+    filter: np.ndarray  # bits of the hashes of the others
+    least: int  # count from which on entries are frequent
+
+
+def _discounts(of: DataFrame, n: str) -> np.ndarray:
+    """Discounts by the counts of counts 1 to 4."""
+    found = {r[n]: r["m"] for r in of.where(F.col(n) <= 4).groupBy(n).agg(F.count("*").alias("m")).collect()}
+    return discounts(np.repeat(np.arange(1, 5), [found.get(k, 0) for k in range(1, 5)]))
+
+
+def _left(n: str, d: np.ndarray) -> Column:
+    """What a discount takes from a count."""
+    return F.when(F.col(n) >= 3, float(d[3])).when(F.col(n) == 2, float(d[2])).otherwise(float(d[1]))
+
+
+def train(trusted: DataFrame, text_col: str = "text") -> Model:
+    """The model of a table of trusted texts; nulls count as empty. Without any text all words go by their spelling."""
+    spark = trusted.sparkSession
+    spellings = kneser_ney(_counted(trusted, text_col).reshape((ALPHABET,) * ORDER))
+    shared = spark.sparkContext.broadcast(spellings)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(shared.value)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                _, _, h, pairs, spelt, before = _stream([words_of(t) for t in b.column(0).slice(k, 256).to_pylist()], known)
+                _, at, n = np.unique(pairs, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[at].view(np.int64), before[at].view(np.int64), h[at].view(np.int64), spelt[at], n)], names=["h", "a", "b", "p0", "n"])
+
+    pairs = cut(trusted.select(text_col).mapInArrow(count, "h long, a long, b long, p0 double, n long").groupBy("h", "a", "b").agg(F.max("p0").alias("p0"), F.sum("n").alias("n")))
+    d2 = _discounts(pairs, "n")
+    # A word's count is the number of words that it comes after.
+    words = cut(pairs.groupBy("b").agg(F.max("p0").alias("p0"), F.count("*").alias("m"), F.sum("n").alias("n")))
+    d1 = _discounts(words, "m")
+    total, left = words.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(_left("m", d1)), F.lit(0.0))).first()
+    unknown = float(np.log(left / total)) if total else 0.0
+    contexts = pairs.groupBy("a").agg(F.sum("n").alias("all"), F.sum(_left("n", d2)).alias("rest")).select("a", "all", (F.col("rest") / F.col("all")).alias("w"))
+    end = F.col("b") == int(_END.view(np.int64))
+    # The end has no spelling: its share of what is left is that of a word of the mean probability, 0 (none).
+    p1 = (F.col("m") - _left("m", d1)) / float(total or 1) + F.when(end, 0.0).otherwise(F.exp("p0") * float(np.exp(unknown)))
+    ones = words.select("b", p1.alias("p1"), "n")
+    as_context = contexts.select(F.col("a").alias("_a"), F.log("w").alias("lw"))
+    first = ones.join(as_context, F.col("b") == F.col("_a"), "left").select(F.col("b").alias("h"), (F.log("p1") + F.coalesce("lw", F.lit(0.0))).alias("v"), "n")
+    both = pairs.select("h", "a", "b", F.col("n").alias("c")).join(contexts.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).join(ones.select(F.col("b").alias("_b"), "p1"), F.col("b") == F.col("_b"))
+    p2 = (F.col("c") - _left("c", d2)) / F.col("all") + F.col("w") * F.col("p1")
+    second = both.select("h", (F.log(p2) - F.log("w") - F.log("p1")).alias("v"), F.col("c").alias("n"))
+    entries = cut(first.union(second))
+    begun = contexts.where(F.col("a") == int(_BEGIN.view(np.int64))).select(F.log("w")).first()
+    return _packed(entries, spellings, unknown, begun[0] if begun else 0.0)
+
+
+def _packed(entries: DataFrame, spellings: np.ndarray, unknown: float, begin: float) -> Model:
+    """The model with the tables that travel with the code."""
+    # Counts of counts up to a bound tell from which count on there are at most HEAVY entries.
+    top = 1000
+    sizes = {r["k"]: r["m"] for r in entries.groupBy(F.least("n", F.lit(top)).alias("k")).agg(F.count("*").alias("m")).collect()}
+    least, held = top + 1, 0
+    while least > 1 and held + sizes.get(least - 1, 0) <= HEAVY:
+        least -= 1
+        held += sizes.get(least, 0)
+    often = entries.where(F.col("n") >= least).select("h", "v").toPandas() if least <= top else pd.DataFrame({"h": [], "v": []})
+    h = often["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    slots, values = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
+    slots[h >> np.uint64(64 - SLOTS)], values[h >> np.uint64(64 - SLOTS)] = h, often["v"].to_numpy(dtype=np.float64)  # the last one has the slot
+    # Entries without a slot are found by the filter and the join, as the rest.
+    place = F.shiftrightunsigned("h", 64 - FILTER)
+    word = F.shiftright(place, 6).alias("k")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    found = entries.groupBy(word).agg(F.bit_or(bit).alias("b")).toPandas()  # 2 ** (FILTER - 6) rows at most
+    bits = np.zeros(1 << (FILTER - 6), np.uint64)
+    bits[found["k"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return Model(entries, spellings, unknown, begin, slots, values, bits, least)
+
+
+_KEPT: dict[str, _Words] = {}
+
+
+def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, nll, words, chars) of the rows of docs: negative log probability for each character, 0 without a word. Equal keys must have equal texts and share a row, with their number as ``rows``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.spellings, model.unknown, model.begin, model.slots, model.values, model.filter))
+    run = uuid.uuid4().hex
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spellings, unknown, begin, slots, values, bits = shared.value
+        if run not in _KEPT:
+            _KEPT.clear()
+            _KEPT[run] = _Words(spellings)
+        known = _KEPT[run]
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                rows = b.slice(k, 256)
+                counts, chars, h, pairs, spelt, _ = _stream([words_of(t) for t in rows.column(len(keys)).to_pylist()], known)
+                text = np.repeat(np.arange(len(counts)), counts)
+                total = np.full(len(counts), begin)
+                listed = []
+                # A known word stands for itself, an unknown one for its spelling; an unknown pair adds nothing.
+                for grams_, other in ((h, np.where(h == _END, 0.0, unknown + spelt)), (pairs, np.zeros(len(h)))):
+                    slot = (grams_ >> np.uint64(64 - SLOTS)).astype(np.int64)
+                    there = slots[slot] == grams_
+                    total += np.bincount(text, weights=np.where(there, values[slot], 0.0), minlength=len(counts))
+                    place = grams_ >> np.uint64(64 - FILTER)
+                    maybe = ~there & ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    gone = ~there & ~maybe
+                    total += np.bincount(text[gone], weights=other[gone], minlength=len(counts))
+                    listed.append((text[maybe], grams_[maybe], other[maybe]))
+                at, rest, other = (np.concatenate(x) for x in zip(*listed))
+                order = np.argsort(at, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(counts)))]).astype(np.int32)
+                light = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rest[order].view(np.int64)), pa.array(other[order].astype(np.float32))], names=["h", "o"]))
+                sure = pa.StructArray.from_arrays([pa.array(total), pa.array(counts), pa.array(chars)], names=["sum", "words", "chars"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keys))), sure, light], names=[*keys, "sure", "light"])
+
+    made = docs.select(*keys, text_col).mapInArrow(score, f"{schema}, sure struct<sum:double,words:bigint,chars:bigint>, light array<struct<h:bigint,o:float>>")
+    places = F.concat(F.array(F.lit(None).cast("struct<h:bigint,o:float>")), F.col("light"))
+    long = made.select(*keys, "sure", F.posexplode(places).alias("pos", "g")).select(*keys, "g.h", "g.o", F.when(F.col("pos") == 0, F.col("sure")).alias("sure"))
+    joined = long.join(model.entries.select(F.col("h").alias("_h"), "v"), F.col("h") == F.col("_h"), "left")
+    summed = joined.groupBy(*keys).agg(
+        F.count("sure.words").alias("rows"), F.max("sure.words").alias("words"), F.max("sure.chars").alias("chars"), F.max("sure.sum").alias("sum"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.coalesce(F.col("v"), F.col("o").cast("double")))), F.lit(0.0)).alias("rest")
+    )
+    nll = -(F.col("sum") + F.col("rest") / F.col("rows")) / F.col("chars")
+    return summed.select(*keys, "rows", "words", "chars", F.when(F.col("words") == 1, 0.0).otherwise(nll).alias("nll"))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -144,60 +342,50 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_tid")).agg(F.min(good).alias("_good")).where("_good").select("_tid")
 
 
-#: Languages whose limits travel with the code; more of them are joined.
-LISTED_LANGUAGES = 1000
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), text).alias(f"_k{seed}") for seed in (1, 2)]
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, DataFrame, DataFrame, float | None]:
-    """The model; (doc_id, lang, nll, chars) of all rows; (lang, q) of languages with enough trusted texts; the q of all."""
-    good = trusted_ids(labels)
-    some = good.orderBy(F.xxhash64("_tid"), "_tid").limit(TRUSTED_TEXTS)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(_k1, _k2, doc_id, lang, rows, words, chars, nll, limit) of rows that are distinct in these."""
+    good = cut(trusted_ids(labels))
+    seen = F.pmod(F.xxhash64(F.lit("half"), "_tid"), F.lit(2)) == 0
+    some = good.where(seen).orderBy(F.xxhash64("_tid"), "_tid").limit(TRUSTED_TEXTS)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), *_keyed(docs, id_col, text_col))
     model = train(base.join(F.broadcast(some), F.col("doc_id") == F.col("_tid"), "left_semi"), "t")
-    scored = cut(base.select("doc_id", "lang", perplexities(base, F.col("t"), model).alias("p")).select("doc_id", "lang", "p.*"))
-    trusted = scored.where("chars > 0").join(good, F.col("doc_id") == F.col("_tid"), "left_semi").select("lang", (F.col("nll") - NOISE / F.sqrt("chars")).alias("x"))
-    sketch = trusted.groupBy("lang", sketch_bucket(F.greatest(F.col("x"), F.lit(0.0))).alias("bucket")).agg(F.count("*").alias("n"))
-    by_lang = sketch_quantiles(sketch, ["lang"], {"q": QUANTILE}).where(F.col("n") >= MIN_TEXTS).select("lang", "q")
+    scored = cut(scores(base, model, ["_k1", "_k2", "doc_id", "lang"], "t"))
+    trusted = scored.where("words > 1").join(good.where(~seen), F.col("doc_id") == F.col("_tid"), "left_semi").select("lang", "rows", (F.col("nll") - NOISE / F.sqrt("chars")).alias("x"))
+    sketch = trusted.groupBy("lang", sketch_bucket(F.greatest(F.col("x"), F.lit(0.0))).alias("bucket")).agg(F.sum("rows").alias("n"))
+    by_lang = sketch_quantiles(sketch, ["lang"], {"q": QUANTILE}).where(F.col("n") >= MIN_TEXTS).select(F.col("lang").alias("_l"), "q")
     whole = sketch.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("k", F.lit(1))
     every = sketch_quantiles(whole, ["k"], {"q": QUANTILE}).first()  # one row
-    return model, scored, by_lang, every["q"] if every else None
-
-
-def _with_limit(rows: DataFrame, by_lang: DataFrame, q_all: float | None) -> DataFrame:
-    """rows (lang, nll, chars, ...) with ``limit``, the largest nll that is kept, or null."""
-    listed = by_lang.limit(LISTED_LANGUAGES + 1).collect()
-    if len(listed) <= LISTED_LANGUAGES:
-        q = F.lit(None).cast("double")
-        if named := [r for r in listed if r["lang"] is not None]:
-            q = F.try_element_at(F.create_map(*[F.lit(x) for r in named for x in (r["lang"], r["q"])]), F.col("lang"))
-        for r in listed:
-            if r["lang"] is None:
-                q = F.when(F.col("lang").isNull(), F.lit(r["q"])).otherwise(q)
-    else:
-        rows = rows.join(by_lang.select(F.col("lang").alias("_l"), F.col("q").alias("_q")), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
-        q = F.col("_q")
-    return rows.withColumn("limit", F.coalesce(q, F.lit(q_all).cast("double")) + MARGIN + NOISE / F.sqrt(F.greatest("chars", F.lit(1))))
+    rows = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    return rows.withColumn("limit", F.coalesce("q", F.lit(every["q"] if every else None).cast("double")) + MARGIN + NOISE / F.sqrt("chars")).drop("_l", "q")
 
 
 def _kept() -> Column:
-    return F.coalesce((F.col("chars") == 0) | (F.col("nll") <= F.col("limit")), F.lit(True))
+    return F.coalesce((F.col("words") == 1) | (F.col("nll") <= F.col("limit")), F.lit(True))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each row of docs: doc_id, lang, perplexity, limit (of its language and length), kept.
+    """One row for each row of docs: doc_id, lang, perplexity for each character, limit (of its language and length), kept.
 
-    A null text counts as empty; an empty text has perplexity 1 and is kept, as
-    nothing speaks against it. A null language is a language of its own.
-    Repeated rows are judged each. Without trusted texts all is kept. Other
+    A null text counts as empty; a text without a word is kept, as nothing
+    speaks against it. A null language is a language of its own. Repeated rows
+    are judged each. Without trusted texts in both halves all is kept. Other
     columns are ignored; empty tables give an empty result.
     """
-    _, scored, by_lang, q_all = _fitted(docs, labels, id_col, text_col, lang_col)
-    return _with_limit(scored, by_lang, q_all).select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp("limit").alias("limit"), _kept().alias("kept"))
+    rows = _judged(docs, labels, id_col, text_col, lang_col)
+    out = rows.select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp("limit").alias("limit"), _kept().alias("kept"), F.col("rows").alias("_rows"))
+    return repeated(out, "_rows").drop("_rows", "_nth")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. No text is sent around: rows are scored again where they are."""
-    model, _, by_lang, q_all = _fitted(docs, labels, id_col, text_col, lang_col)
+    """The rows of docs that judge() keeps, with all their columns. Texts stay where they are unless very many are rejected."""
+    gone = cut(_judged(docs, labels, id_col, text_col, lang_col).where(~_kept()).select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2")).distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST else gone
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = packed.select("_row", F.col(f"_row.{lang_col}").alias("lang"), perplexities(packed, F.col(f"_row.{text_col}"), model).alias("_p")).select("_row", "lang", "_p.*")
-    return _with_limit(rows, by_lang, q_all).where(_kept()).select("_row.*")
+    keyed = packed.select("_row", *_keyed(packed, f"_row.{id_col}", f"_row.{text_col}"))
+    return keyed.join(few, (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left_anti").select("_row.*")
