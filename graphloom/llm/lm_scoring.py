@@ -530,8 +530,9 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
     total, kinds = tokens + n_texts, distinct + (n_texts > 0)
     below = math.log10(total + 0.1 * (kinds + 1))
     least = max(1, total * HEAVY)
-    often = counts.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toPandas().sort_values("h")  # at most 1 / HEAVY rows
-    heavy = often["h"].to_numpy(dtype=np.int64), np.log10(often["c"].to_numpy(dtype=np.float64) + 0.1)
+    often = counts.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toArrow()  # at most 1 / HEAVY rows
+    order = np.argsort(often.column("h").to_numpy())
+    heavy = often.column("h").to_numpy()[order], np.log10(often.column("c").to_numpy()[order] + 0.1)
     end_score = math.log10(n_texts + 0.1) - below
     voc = learn_vocabulary(counts, n_texts, spec)
     shared = spark.sparkContext.broadcast((train_weights(train.select("t"), voc, spec), voc, heavy))

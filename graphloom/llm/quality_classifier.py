@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,17 +32,17 @@ from graphloom.llm.common import cut, repeated, sketch_bucket, sketch_quantiles
 #: Symbols; spellings are judged by ORDER symbols at a time.
 ALPHABET, ORDER = 64, 3
 #: Trusted texts that the model is fitted on, at most: those with the smallest hash of their id in one half. All of the other half make the limits.
-TRUSTED_TEXTS = 20_000
+TRUSTED_TEXTS = 5_000
 #: Quantile of the trusted texts of a language, and how far above it (in nats a character, and in nats times the root of the number of characters) a text may be.
 QUANTILE, MARGIN, NOISE = 0.99, 0.01, 4.0
 #: A language with fewer trusted texts is judged by the quantile of all.
 MIN_TEXTS = 50
 #: Entries of the model that travel with the code, at most; slots for them, and bits of the filter, as powers of two.
-HEAVY, SLOTS, FILTER = 1_000_000, 21, 26
+HEAVY, SLOTS, FILTER = 2_000_000, 21, 25
 #: Words that a task keeps the hashes of.
 CACHE_WORDS = 500_000
-#: Rejected rows that are broadcast, at most; more are joined by a shuffle.
-BROADCAST = 200_000
+#: Rejected rows, and words of the model, that are broadcast, at most; more are joined by a shuffle.
+BROADCAST, BROADCAST_WORDS = 200_000, 500_000
 
 #: Plain punctuation parts words, and digits are alike; case and other signs are part of a word.
 _PLAIN = bytes.maketrans(b"0123456789.,;:()\"", b"0000000000       ")
@@ -54,12 +53,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_PLAIN).split()
 
 
+#: The constants of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of 64-bit numbers, each with its seed."""
+    h = (seed + _P5 + np.uint64(8)) ^ (_rotated(x * _P2, 31) * _P1)
+    h = _rotated(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of hashes, in order."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Hashes of pairs of hashes, in order, as F.xxhash64(a, b) has them."""
+    return _hash_long(b, _hash_long(a, np.full(len(a), 42, np.uint64)))
 
 
 def symbol_table() -> np.ndarray:
@@ -145,9 +158,9 @@ def _counted(trusted: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
     # Each task sends ALPHABET ** ORDER rows at most, and so does the sum of all, sharded by gram.
-    summed = trusted.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    summed = trusted.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(ALPHABET**ORDER, dtype=np.int64)
-    counts[summed["gram"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy()
+    counts[summed.column("gram").to_numpy()] = summed.column("n").to_numpy()
     return counts
 
 
@@ -209,7 +222,7 @@ class Model:
     spellings: np.ndarray
     unknown: float  # log probability of leaving the known words
     begin: float  # what each text begins with
-    slots: np.ndarray  # hashes of frequent entries by their upper bits, 0 where there is none
+    slots: np.ndarray  # hashes of frequent entries in two tables, by their upper and their lower bits, 0 where there is none
     values: np.ndarray  # their v
     filter: np.ndarray  # bits of the hashes of the others
     least: int  # count from which on entries are frequent
@@ -238,14 +251,17 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
             for k in range(0, b.num_rows, 256):
                 _, _, h, pairs, spelt, before = _stream([words_of(t) for t in b.column(0).slice(k, 256).to_pylist()], known)
                 _, at, n = np.unique(pairs, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[at].view(np.int64), before[at].view(np.int64), h[at].view(np.int64), spelt[at], n)], names=["h", "a", "b", "p0", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[at].view(np.int64), h[at].view(np.int64), spelt[at].astype(np.float32), n.astype(np.int32))], names=["a", "b", "p0", "n"])
 
-    pairs = cut(trusted.select(text_col).mapInArrow(count, "h long, a long, b long, p0 double, n long").groupBy("h", "a", "b").agg(F.max("p0").alias("p0"), F.sum("n").alias("n")))
+    pairs = cut(trusted.select(text_col).mapInArrow(count, "a long, b long, p0 float, n int").groupBy("a", "b").agg(F.max("p0").alias("p0"), F.sum("n").alias("n")))
+    shared.destroy()  # what uses it is checkpointed
     d2 = _discounts(pairs, "n")
     # A word's count is the number of words that it comes after.
     words = cut(pairs.groupBy("b").agg(F.max("p0").alias("p0"), F.count("*").alias("m"), F.sum("n").alias("n")))
     d1 = _discounts(words, "m")
-    total, left = words.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(_left("m", d1)), F.lit(0.0))).first()
+    total, left, kinds = words.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(_left("m", d1)), F.lit(0.0)), F.count("*")).first()
+    # There are no more contexts than words and the beginning.
+    side = F.broadcast if kinds < BROADCAST_WORDS else lambda df: df
     unknown = float(np.log(left / total)) if total else 0.0
     contexts = pairs.groupBy("a").agg(F.sum("n").alias("all"), F.sum(_left("n", d2)).alias("rest")).select("a", "all", (F.col("rest") / F.col("all")).alias("w"))
     end = F.col("b") == int(_END.view(np.int64))
@@ -254,14 +270,41 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
     ones = words.select("b", p1.alias("p1"), "n")
     as_context = contexts.select(F.col("a").alias("_a"), F.log("w").alias("lw"))
     first = ones.join(as_context, F.col("b") == F.col("_a"), "left").select(F.col("b").alias("h"), (F.log("p1") + F.coalesce("lw", F.lit(0.0))).alias("v"), "n")
-    both = pairs.select("h", "a", "b", F.col("n").alias("c")).join(contexts.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).join(ones.select(F.col("b").alias("_b"), "p1"), F.col("b") == F.col("_b"))
+    both = pairs.select("a", "b", F.col("n").alias("c")).join(side(contexts.withColumnRenamed("a", "_a")), F.col("a") == F.col("_a")).join(side(ones.select(F.col("b").alias("_b"), "p1")), F.col("b") == F.col("_b"))
     p2 = (F.col("c") - _left("c", d2)) / F.col("all") + F.col("w") * F.col("p1")
-    second = both.select("h", (F.log(p2) - F.log("w") - F.log("p1")).alias("v"), F.col("c").alias("n"))
+    second = both.select(F.xxhash64("a", "b").alias("h"), (F.log(p2) - F.log("w") - F.log("p1")).alias("v"), F.col("c").alias("n"))
     entries = cut(first.union(second))
     begun = contexts.where(F.col("a") == int(_BEGIN.view(np.int64))).select(F.log("w")).first()
     return _packed(entries, spellings, unknown, begun[0] if begun else 0.0)
 
 
+def _slot(h: np.ndarray, table: int, slots: np.ndarray) -> np.ndarray:
+    size = slots.shape[1]
+    return ((h & np.uint64(size - 1)) if table else (h >> np.uint64(65 - size.bit_length()))).astype(np.int64)
+
+
+def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(65 - (64 * len(bits)).bit_length())
+    return ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _filter(entries: DataFrame, size: int) -> np.ndarray:
+    """Bits of the entries' hashes, made block by block on the cluster: 2 ** size bits come here in all."""
+    block = min(size, 18)
+
+    def made(part: pa.Table) -> pa.Table:
+        places = part.column("p").to_numpy()
+        bits = np.zeros(1 << block, np.uint8)
+        bits[places & ((1 << block) - 1)] = 1
+        return pa.table({"k": pa.array([int(places[0]) >> block], pa.int32()), "b": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    place = F.shiftrightunsigned("h", 64 - size)
+    out = np.zeros((1 << (size - block), 1 << (block - 3)), np.uint8)
+    for r in entries.select(place.alias("p"), F.shiftright(place, block).alias("k")).groupBy("k").applyInArrow(made, "k int, b binary").collect():
+        out[r["k"]] = np.frombuffer(r["b"], np.uint8)
+    return out.ravel().view(np.uint64)
+
+
 def _packed(entries: DataFrame, spellings: np.ndarray, unknown: float, begin: float) -> Model:
     """The model with the tables that travel with the code."""
     # Counts of counts up to a bound tell from which count on there are at most HEAVY entries.
@@ -271,29 +314,33 @@ def _packed(entries: DataFrame, spellings: np.ndarray, unknown: float, begin: fl
     while least > 1 and held + sizes.get(least - 1, 0) <= HEAVY:
         least -= 1
         held += sizes.get(least, 0)
-    often = entries.where(F.col("n") >= least).select("h", "v").toPandas() if least <= top else pd.DataFrame({"h": [], "v": []})
-    h = often["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    slots, values = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
-    slots[h >> np.uint64(64 - SLOTS)], values[h >> np.uint64(64 - SLOTS)] = h, often["v"].to_numpy(dtype=np.float64)  # the last one has the slot
+    # Of those that occur once less often as many as there is room for, by their hash.
+    room = (HEAVY - held) / max(1, sizes.get(least - 1, 0))
+    some = (F.col("n") == least - 1) & (F.pmod("h", F.lit(1 << 20)) < int(room * 0.95 * (1 << 20)))
+    often = entries.where(((F.col("n") >= least) | some) & F.lit(least <= top)).select("h", F.col("v").cast("float").alias("v"), F.col("n").cast("int").alias("n")).toArrow()
+    order = np.argsort(often.column("n").to_numpy(), kind="stable")
+    h, v = often.column("h").to_numpy()[order].view(np.uint64), often.column("v").to_numpy()[order]
+    del often, order
+    slots, values = np.zeros((2, 1 << SLOTS), np.uint64), np.zeros((2, 1 << SLOTS), np.float32)
+    for k in range(2):  # the most frequent one has the slot, the others may have one in the second table
+        at = _slot(h, k, slots)
+        slots[k, at], values[k, at] = h, v
+        lost = slots[k, at] != h
+        h, v = h[lost], v[lost]
     # Entries without a slot are found by the filter and the join, as the rest.
-    place = F.shiftrightunsigned("h", 64 - FILTER)
-    word = F.shiftright(place, 6).alias("k")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    found = entries.groupBy(word).agg(F.bit_or(bit).alias("b")).toPandas()  # 2 ** (FILTER - 6) rows at most
-    bits = np.zeros(1 << (FILTER - 6), np.uint64)
-    bits[found["k"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
-    return Model(entries, spellings, unknown, begin, slots, values, bits, least)
+    return Model(entries, spellings, unknown, begin, slots, values, _filter(entries, FILTER), least)
 
 
 _KEPT: dict[str, _Words] = {}
 
 
-def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, nll, words, chars) of the rows of docs: negative log probability for each character, 0 without a word. Equal keys must have equal texts and share a row, with their number as ``rows``."""
+def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, nll, words, chars) of the rows of docs: negative log probability for each character, 0 without a word. Equal keys must have equal texts, and equal extra columns, which are handed on; they share a row, with their number as ``rows``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.spellings, model.unknown, model.begin, model.slots, model.values, model.filter))
     run = uuid.uuid4().hex
-    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    carried = [*keys, *extra]
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in carried)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings, unknown, begin, slots, values, bits = shared.value
@@ -304,17 +351,19 @@ def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str) -> Dat
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 rows = b.slice(k, 256)
-                counts, chars, h, pairs, spelt, _ = _stream([words_of(t) for t in rows.column(len(keys)).to_pylist()], known)
+                counts, chars, h, pairs, spelt, _ = _stream([words_of(t) for t in rows.column(len(carried)).to_pylist()], known)
                 text = np.repeat(np.arange(len(counts)), counts)
                 total = np.full(len(counts), begin)
                 listed = []
                 # A known word stands for itself, an unknown one for its spelling; an unknown pair adds nothing.
                 for grams_, other in ((h, np.where(h == _END, 0.0, unknown + spelt)), (pairs, np.zeros(len(h)))):
-                    slot = (grams_ >> np.uint64(64 - SLOTS)).astype(np.int64)
-                    there = slots[slot] == grams_
-                    total += np.bincount(text, weights=np.where(there, values[slot], 0.0), minlength=len(counts))
-                    place = grams_ >> np.uint64(64 - FILTER)
-                    maybe = ~there & ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    there = np.zeros(len(grams_), dtype=bool)
+                    for k in range(2):
+                        slot = _slot(grams_, k, slots)
+                        found = slots[k, slot] == grams_
+                        total += np.bincount(text[found], weights=values[k, slot[found]], minlength=len(counts))
+                        there |= found
+                    maybe = ~there & _in_filter(grams_, bits)
                     gone = ~there & ~maybe
                     total += np.bincount(text[gone], weights=other[gone], minlength=len(counts))
                     listed.append((text[maybe], grams_[maybe], other[maybe]))
@@ -323,17 +372,19 @@ def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str) -> Dat
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(counts)))]).astype(np.int32)
                 light = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rest[order].view(np.int64)), pa.array(other[order].astype(np.float32))], names=["h", "o"]))
                 sure = pa.StructArray.from_arrays([pa.array(total), pa.array(counts), pa.array(chars)], names=["sum", "words", "chars"])
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keys))), sure, light], names=[*keys, "sure", "light"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(carried))), sure, light], names=[*carried, "sure", "light"])
 
-    made = docs.select(*keys, text_col).mapInArrow(score, f"{schema}, sure struct<sum:double,words:bigint,chars:bigint>, light array<struct<h:bigint,o:float>>")
+    made = docs.select(*carried, text_col).mapInArrow(score, f"{schema}, sure struct<sum:double,words:bigint,chars:bigint>, light array<struct<h:bigint,o:float>>")
     places = F.concat(F.array(F.lit(None).cast("struct<h:bigint,o:float>")), F.col("light"))
-    long = made.select(*keys, "sure", F.posexplode(places).alias("pos", "g")).select(*keys, "g.h", "g.o", F.when(F.col("pos") == 0, F.col("sure")).alias("sure"))
+    long = made.select(*keys, F.struct("sure.*", *extra).alias("sure"), F.posexplode(places).alias("pos", "g")).select(*keys, "g.h", "g.o", F.when(F.col("pos") == 0, F.col("sure")).alias("sure"))
     joined = long.join(model.entries.select(F.col("h").alias("_h"), "v"), F.col("h") == F.col("_h"), "left")
     summed = joined.groupBy(*keys).agg(
-        F.count("sure.words").alias("rows"), F.max("sure.words").alias("words"), F.max("sure.chars").alias("chars"), F.max("sure.sum").alias("sum"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.coalesce(F.col("v"), F.col("o").cast("double")))), F.lit(0.0)).alias("rest")
+        *[F.max(f"sure.{c}").alias(c) for c in extra], F.count("sure.words").alias("rows"), F.max("sure.words").alias("words"), F.max("sure.chars").alias("chars"), F.max("sure.sum").alias("sum"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.coalesce(F.col("v"), F.col("o").cast("double")))), F.lit(0.0)).alias("rest")
     )
     nll = -(F.col("sum") + F.col("rest") / F.col("rows")) / F.col("chars")
-    return summed.select(*keys, "rows", "words", "chars", F.when(F.col("words") == 1, 0.0).otherwise(nll).alias("nll"))
+    out = cut(summed.select(*carried, "rows", "words", "chars", F.when(F.col("words") == 1, 0.0).otherwise(nll).alias("nll")))
+    shared.destroy()  # its users are done, and the driver's memory is bounded
+    return out
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -342,10 +393,10 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_tid")).agg(F.min(good).alias("_good")).where("_good").select("_tid")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """128 bits of a row's id and text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), text).alias(f"_k{seed}") for seed in (1, 2)]
+def _keyed(id_col: str, text_col: str, lang_col: str) -> list[Column]:
+    """96 bits of a row's id, language and text."""
+    parts = [F.col(id_col).isNull(), F.col(id_col), F.col(lang_col).isNull(), F.col(lang_col), F.coalesce(F.col(text_col), F.lit(""))]
+    return [F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).bitwiseAND((1 << 31) - 1).cast("int").alias("_k2")]
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -353,9 +404,10 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     good = cut(trusted_ids(labels))
     seen = F.pmod(F.xxhash64(F.lit("half"), "_tid"), F.lit(2)) == 0
     some = good.where(seen).orderBy(F.xxhash64("_tid"), "_tid").limit(TRUSTED_TEXTS)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), *_keyed(docs, id_col, text_col))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), *_keyed(id_col, text_col, lang_col))
     model = train(base.join(F.broadcast(some), F.col("doc_id") == F.col("_tid"), "left_semi"), "t")
-    scored = cut(scores(base, model, ["_k1", "_k2", "doc_id", "lang"], "t"))
+    scored = scores(base, model, ["_k1", "_k2"], "t", ("doc_id", "lang"))
+    del model
     trusted = scored.where("words > 1").join(good.where(~seen), F.col("doc_id") == F.col("_tid"), "left_semi").select("lang", "rows", (F.col("nll") - NOISE / F.sqrt("chars")).alias("x"))
     sketch = trusted.groupBy("lang", sketch_bucket(F.greatest(F.col("x"), F.lit(0.0))).alias("bucket")).agg(F.sum("rows").alias("n"))
     by_lang = sketch_quantiles(sketch, ["lang"], {"q": QUANTILE}).where(F.col("n") >= MIN_TEXTS).select(F.col("lang").alias("_l"), "q")
@@ -387,5 +439,5 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     gone = cut(_judged(docs, labels, id_col, text_col, lang_col).where(~_kept()).select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2")).distinct())
     few = F.broadcast(gone) if gone.count() <= BROADCAST else gone
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    keyed = packed.select("_row", *_keyed(packed, f"_row.{id_col}", f"_row.{text_col}"))
+    keyed = packed.select("_row", *_keyed(f"_row.{id_col}", f"_row.{text_col}", f"_row.{lang_col}"))
     return keyed.join(few, (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left_anti").select("_row.*")

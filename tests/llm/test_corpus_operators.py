@@ -10,6 +10,7 @@ from itertools import product
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import components, decontamination, lm_scoring, quality_classifier, sharding, simhash
 from graphloom.llm.queries import TOKENIZERS
@@ -195,6 +196,12 @@ def plain_perplexity(texts, train):
     return out
 
 
+def test_pair_hash(spark):
+    a, b = (np.random.default_rng(k).integers(-(2**63), 2**63 - 1, 50) for k in (1, 2))
+    got = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long").select(F.xxhash64("a", "b")).collect()
+    assert [x[0] for x in got] == list(quality_classifier.pair_hash(a.view(np.uint64), b.view(np.uint64)).view(np.int64))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_perplexity_against_plain(spark, monkeypatch, small):
     if small:  # most entries have to be joined, and the filter lets strangers pass
