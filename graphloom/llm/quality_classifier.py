@@ -38,9 +38,9 @@ QUANTILE, MARGIN, NOISE = 0.99, 0.01, 4.0
 #: A language with fewer trusted texts is judged by the quantile of all.
 MIN_TEXTS = 50
 #: Entries of the model that travel with the code, at most; slots for them, and bits of the filter, as powers of two.
-HEAVY, SLOTS, FILTER = 2_000_000, 21, 25
+HEAVY, SLOTS, FILTER = 1_300_000, 20, 25
 #: Words that a task keeps the hashes of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Rejected rows, and words of the model, that are broadcast, at most; more are joined by a shuffle.
 BROADCAST, BROADCAST_WORDS = 200_000, 500_000
 
