@@ -17,7 +17,6 @@ are rejected; those limits come from trusted texts that the model has not seen.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -331,23 +330,16 @@ def _packed(entries: DataFrame, spellings: np.ndarray, unknown: float, begin: fl
     return Model(entries, spellings, unknown, begin, slots, values, _filter(entries, FILTER), least)
 
 
-_KEPT: dict[str, _Words] = {}
-
-
 def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(keys, nll, words, chars) of the rows of docs: negative log probability for each character, 0 without a word. Equal keys must have equal texts, and equal extra columns, which are handed on; they share a row, with their number as ``rows``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.spellings, model.unknown, model.begin, model.slots, model.values, model.filter))
-    run = uuid.uuid4().hex
     carried = [*keys, *extra]
     schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in carried)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings, unknown, begin, slots, values, bits = shared.value
-        if run not in _KEPT:
-            _KEPT.clear()
-            _KEPT[run] = _Words(spellings)
-        known = _KEPT[run]
+        known = _Words(spellings)  # of this task alone: workers live on, and their memory is shared with other stages
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 rows = b.slice(k, 256)
