@@ -15,7 +15,7 @@ from graphloom.plans.parser import parse
 from graphloom.sources.dataset import TableGraph, TripleStore
 from graphloom.sources.results import bindings
 from graphloom.sources.tables import PREFIXES, table_graph
-from graphloom.streaming.paging import Budget, pages, progress, run_page
+from graphloom.streaming.paging import Budget, joined, progress, run_page
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -132,8 +132,7 @@ def _paged(text: str, schema: str, limit: int) -> Run:
     """All pages of a query, put together."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = [tuple(r) for p in pages(table_graph(spark, d), text, limit, PREFIXES) for r in p.rows]
-        return spark.createDataFrame(rows, schema)
+        return joined(table_graph(spark, d), text, limit, schema, PREFIXES)
 
     return run
 
@@ -298,8 +297,7 @@ def _progress(spark: SparkSession, d: str) -> DataFrame:
 def _repeated_rows(spark: SparkSession, d: str) -> DataFrame:
     """Pages over a table of a few distinct rows, each there thousands of times."""
     data = TableGraph(spark, {"flags": spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linestatus")}, {}, {})
-    rows = [tuple(r) for p in pages(data, "SELECT ?f ?s { ?x :l_returnflag ?f ; :l_linestatus ?s }", 20_000, PREFIXES) for r in p.rows]
-    return spark.createDataFrame(rows, "f string, s string")
+    return joined(data, "SELECT ?f ?s { ?x :l_returnflag ?f ; :l_linestatus ?s }", 20_000, "f string, s string", PREFIXES)
 
 
 def _unions(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,9 @@ exactly the whole result.
 The first key column is the first scan's. Where it is a number, a page asks for
 a range of it that should hold enough rows by what earlier pages found, so that
 this scan reads only its part, and goes on with a wider one if it doesn't. Rows
-are read ahead in growing steps and held for the next call.
+are read ahead in growing steps and held for the next call. Where the steps
+come to more than STREAMED rows, the executors sort all the rest, and what is
+held is a stream of it, of which the driver has a small part at a time.
 """
 
 from __future__ import annotations
@@ -21,13 +23,19 @@ import math
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property, reduce
+from itertools import chain, islice
 
-from pyspark.sql import Column, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphloom.functions.terms import node_id
+from graphloom.operators.lineage import cut
 from graphloom.plans.algebra import Op, Query, Slice
 from graphloom.plans.compiler import compile_select, sort_columns
 from graphloom.plans.parser import parse
@@ -39,6 +47,12 @@ CHUNK, UNTIMED_CHUNK = 10_000, 1_000_000
 AHEAD = 4
 #: Rows that all queries together hold ready for later calls, at most.
 READ_AHEAD = 1_000_000
+#: Rows that a call without a clock fetches at once, at most; where it would be more, they come out of a stream.
+STREAMED = 100_000
+#: Rows in a part of a stream, about; streams that are held for later calls.
+STREAM_PART, STREAMS = 50_000, 4
+#: Rows that joined() keeps before it writes them.
+JOINED = 1_000_000
 
 
 class TokenError(ValueError):
@@ -133,18 +147,21 @@ class _Ahead:
 
     def __init__(self) -> None:
         self._lock = threading.Lock()
-        self._held: dict[str, tuple[list[Row], bool]] = {}
+        self._held: dict[str, tuple[list[Row], bool, Iterator[Row] | None]] = {}
 
-    def put(self, token: str, rows: list[Row], last: bool) -> None:
+    def put(self, token: str, rows: list[Row], last: bool, stream: Iterator[Row] | None = None) -> None:
         with self._lock:
             self._held.pop(token, None)
-            self._held[token] = (rows, last)
-            while sum(len(r) for r, _ in self._held.values()) > READ_AHEAD:
+            self._held[token] = (rows, last, stream)
+            while sum(len(r) for r, _, _ in self._held.values()) > READ_AHEAD:
                 del self._held[next(iter(self._held))]
+            streams = [t for t, (_, _, s) in self._held.items() if s is not None]
+            for t in streams[: max(0, len(streams) - STREAMS)]:
+                del self._held[t]
 
-    def take(self, token: str) -> tuple[list[Row], bool]:
+    def take(self, token: str) -> tuple[list[Row], bool, Iterator[Row] | None]:
         with self._lock:
-            return self._held.pop(token, ([], False))
+            return self._held.pop(token, ([], False, None))
 
 
 _AHEAD = _Ahead()
@@ -154,13 +171,18 @@ class _Fetch:
     """Rows of a keyed result in key order, from a key on."""
 
     def __init__(self, data: Dataset, rel: Rel, names: list[str], last: list[object] | None, rate: float | None) -> None:
-        self.data, self.rel, self.names, self.rate = data, rel, names, rate
+        self.data, self.rel, self.names, self.rate, self.last = data, rel, names, rate, last
         self.types = [rel.df.schema[c].dataType.simpleString() for c, _ in rel.keys]
-        self.from_ = None if last is None else after(rel.keys, last, self.types)
         self.low = None if last is None else last[0]
         self.reach, self.done = 2.0, False
+        self.stream: Iterator[Row] | None = None
         self.ranged = self.types[0] in ("int", "bigint", "smallint", "double") and rel.keys[0][1]
 
+    @cached_property
+    def from_(self) -> Column | None:
+        """What rows have to meet; made when they are asked of the data."""
+        return None if self.last is None else after(self.rel.keys, self.last, self.types)
+
     def _high(self, want: int) -> object:
         """Where a range of the first key column that should hold so many rows ends; None if there is no telling."""
         if not self.ranged or self.rate is None or not isinstance(self.low, (int, float)) or self.reach > 100:
@@ -168,8 +190,27 @@ class _Fetch:
         high = self.low + max(1, self.reach * want / self.rate)
         return high if self.types[0] == "double" else int(high) if high < 2**31 or self.types[0] == "bigint" and high < 2**62 else None
 
+    def open(self, offset: int = 0) -> None:
+        """From now on rows come out of a stream of all that is left, in parts that executors sort."""
+        df = self.rel.df if self.from_ is None else self.rel.df.where(self.from_)
+        if offset:
+            df = df.orderBy(*sort_columns(self.rel.keys)).offset(offset)
+        rows = df.count()
+        rel = replace(self.rel, df=df)
+        shown = self.data.decode(rel, self.names)
+        order = sort_columns(tuple((f"k{n}", up) for n, (_, up) in enumerate(self.rel.keys)))
+        df = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(self.names)], *_keys_of(rel, shown, self.names))
+        # Parts by range of the whole key, which no two rows share, so that their sizes are about equal.
+        self.stream = df.repartitionByRange(1 + rows // STREAM_PART, *order).sortWithinPartitions(*order).toLocalIterator(prefetchPartitions=True)
+
     def take(self, want: int, offset: int = 0) -> list[Row]:
         """Up to so many rows; fewer than that don't mean the end, ``done`` does. Values of names, then the keys."""
+        if self.stream is not None:
+            got = list(islice(self.stream, want + 1))
+            self.done = len(got) <= want
+            if not self.done:
+                self.stream = chain(got[want:], self.stream)
+            return got[:want]
         df, high = self.rel.df, None if offset else self._high(want)
         if self.from_ is not None:
             df = df.where(self.from_)
@@ -202,12 +243,12 @@ class _Fetch:
         return got
 
 
-_COMPILED: dict[tuple[str, str], Rel] = {}
+_COMPILED: dict[tuple[int, str], Rel] = {}
 
 
 def _compiled(mark: str, op: Op, data: Dataset) -> Rel:
     """The keyed result, whose plan is made once for all pages of a session."""
-    key = (data.spark.sparkContext.applicationId, mark)
+    key = (id(data.spark.sparkContext), mark)  # which an entry keeps alive
     if key not in _COMPILED:
         while len(_COMPILED) >= 100:
             _COMPILED.pop(next(iter(_COMPILED)), None)
@@ -221,8 +262,8 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     At least one chunk is done in each call, so every call gets further; a later
     one that is still running at the deadline is cancelled. A query's own LIMIT and
     OFFSET count over all pages. At most ``limit`` rows are returned; without a
-    clock AHEAD times the rows given out before are read ahead, READ_AHEAD at
-    most. Without a limit or time the budget is UNTIMED_CHUNK rows.
+    clock AHEAD times the rows given out before are read ahead, or all as a stream
+    where that is more than STREAMED. Without a limit or time the budget is UNTIMED_CHUNK rows.
     """
     q = parse(query, prefixes) if isinstance(query, str) else query
     data = data.with_graphs(q.default_graphs, q.named_graphs)
@@ -239,21 +280,28 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     emitted, last, rate = _read_token(token, mark, len(rel.keys))
     names = [v for v in rel.vars if not v.startswith("?")]
     n = len(names)
-    held, ended = _AHEAD.take(token) if token is not None else ([], False)
+    held, ended, stream = _AHEAD.take(token) if token is not None else ([], False, None)
     given = emitted
     fetch = _Fetch(data, rel, names, list(held[-1][n:]) if held else last, rate)
+    fetch.stream = stream
     fetch.done = ended or cap is not None and emitted >= cap
     size = chunk or CHUNK
     room = min((x for x in (None if most.limit is None else max(1, most.limit), None if cap is None else cap - emitted) if x is not None), default=None)
     while not fetch.done and (room is None or len(held) < room):
         left = None if room is None else room - len(held)
-        if deadline is None:
-            want = left + min(READ_AHEAD, AHEAD * given if cap is None else min(AHEAD * given, cap - emitted - left)) if chunk is None else min(chunk, left)
-        else:
+        skip = offset if last is None and not held else 0
+        if deadline is not None:
             want = size if left is None else min(size, left)
+        elif chunk is not None:
+            want = min(chunk, left)
+        else:
+            want = left + (AHEAD * given if cap is None else min(AHEAD * given, cap - emitted - left))
+            if want > STREAMED and fetch.stream is None:
+                fetch.open(skip)
+            if fetch.stream is not None:
+                want = left
         if want <= 0:
             break
-        skip = offset if last is None and not held else 0
         got = _within(data, lambda want=want, skip=skip: fetch.take(want, skip), deadline if held else None)
         if got is None:
             break
@@ -271,8 +319,8 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     if out:
         last = list(out[-1][n:])
     following = json.dumps({"query": mark, "emitted": emitted, "last": [_pack(v) for v in last], "rate": fetch.rate})
-    if rest:
-        _AHEAD.put(following, rest, fetch.done)
+    if rest or fetch.stream is not None:
+        _AHEAD.put(following, rest, fetch.done, fetch.stream)
     return Page(names, rows, following, emitted)
 
 
@@ -322,14 +370,40 @@ def _sort_key(row: Row, n: int, keys: tuple[Key, ...]) -> list:
     return out
 
 
-def pages(data: Dataset, query: str, limit: int, prefixes: dict[str, str] | None = None) -> list[Page]:
-    """All pages of a query."""
-    out, token = [], None
+def each_page(data: Dataset, query: str, limit: int, prefixes: dict[str, str] | None = None) -> Iterator[Page]:
+    """All pages of a query, one after the other."""
+    q, token = parse(query, prefixes), None
     while True:
-        out.append(run_page(data, query, Budget(limit=limit), token, prefixes=prefixes))
-        token = out[-1].token
+        page = run_page(data, q, Budget(limit=limit), token)
+        yield page
+        token = page.token
         if token is None:
-            return out
+            return
+
+
+def pages(data: Dataset, query: str, limit: int, prefixes: dict[str, str] | None = None) -> list[Page]:
+    """All pages of a query."""
+    return list(each_page(data, query, limit, prefixes))
+
+
+def joined(data: Dataset, query: str, limit: int, schema: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """All pages of a query, put together. Of the rows that were given out the driver keeps JOINED at most; earlier ones are on disk."""
+    spark, kind = data.spark, StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    done: list[DataFrame] = []
+    held: list[pa.Table] = []
+
+    def part() -> DataFrame:
+        out = spark.createDataFrame(pa.concat_tables([arrow.empty_table(), *held]).combine_chunks(), kind)
+        held.clear()
+        return out
+
+    for p in each_page(data, query, limit, prefixes):
+        columns = list(zip(*p.rows)) or [()] * len(arrow)
+        held.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+        if sum(t.num_rows for t in held) >= JOINED:
+            done.append(cut(part()))
+    return reduce(DataFrame.unionAll, [*done, part()] if held or not done else done)
 
 
 def progress(page: Page, total: int) -> float:
