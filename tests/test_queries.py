@@ -302,3 +302,12 @@ def test_pages_from_a_stream_hold_little_in_the_driver(spark, tmp_path, monkeypa
     assert sorted(map(tuple, out.collect()), key=repr) == whole and out.schema.simpleString() == "struct<k:int,v:string>"
     assert paging.joined(data, 'SELECT ?v { ?s :v ?v FILTER(?v = "none") }', 2, "v string", prefix).count() == 0
     assert [tuple(r) for p in pages(data, query + " LIMIT 7 OFFSET 5", 4, prefix) for r in p.rows] == got[5:12]
+
+
+def test_a_held_page_makes_no_condition(spark, monkeypatch):
+    """A page whose rows are held already is given out without the condition that would ask the data for them."""
+    data = TableGraph(spark, {"t": spark.createDataFrame([(n,) for n in range(9)], "k int")}, {"t": ["k"]}, {})
+    pages_of = paging.each_page(data, "SELECT ?k { ?s :k ?k }", 1, {"": "urn:t:"})
+    next(pages_of), next(pages_of)  # the second reads four rows ahead
+    monkeypatch.setattr(paging, "after", None)
+    assert [next(pages_of).rows[0].k for _ in range(4)] == [2, 3, 4, 5]
