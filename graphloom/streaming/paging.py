@@ -12,6 +12,10 @@ this scan reads only its part, and goes on with a wider one if it doesn't. Rows
 are read ahead in growing steps and held for the next call. Where the steps
 come to more than STREAMED rows, the executors sort all the rest, and what is
 held is a stream of it, of which the driver has a small part at a time.
+
+Rows come to the driver as Arrow batches that executors have packed. A top-k is
+merged by an executor too, so that its parts never come here, and a row becomes
+a Python object only when its page is given out.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
-from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.conversion import ArrowTableToRowsConversion
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from graphloom.functions.terms import node_id
@@ -51,8 +55,8 @@ READ_AHEAD = 1_000_000
 STREAMED = 100_000
 #: Rows in a part of a stream, about; streams that are held for later calls.
 STREAM_PART, STREAMS = 50_000, 4
-#: Rows that joined() keeps before it writes them.
-JOINED = 1_000_000
+#: Rows, and bytes of them, that joined() keeps before it writes them.
+JOINED, JOINED_BYTES = 1_000_000, 32_000_000
 
 
 class TokenError(ValueError):
@@ -142,14 +146,68 @@ def _read_token(token: str | None, mark: str, n_keys: int) -> tuple[int, list[ob
     return emitted, last, rate
 
 
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as bytes, one to a row."""
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+
+def _unpack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other way round."""
+    for b in batches:
+        for x in b.column(0):
+            yield from pa.ipc.open_stream(x.as_buffer())
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with its rows packed, in their order. An operator above a top-k also has it merged by an executor."""
+    return df.mapInArrow(_pack_rows, "rows binary")
+
+
+def _unpacked(rows: Iterator[Row], kind: StructType) -> pa.Table:
+    parts = [pa.ipc.open_stream(r[0]).read_all() for r in rows]
+    # Of every column nulls are let be, as a filter may rule them out in one fetch and not in another.
+    return pa.concat_tables(pa.Table.from_arrays(t.columns, t.column_names) for t in parts) if parts else to_arrow_schema(kind).empty_table()
+
+
+def _values(t: pa.Table) -> list[tuple]:
+    """Rows with the values that collect() gives them."""
+    return ArrowTableToRowsConversion.convert(t, from_arrow_schema(t.schema), return_as_tuples=True)
+
+
+def _key_of_last(rows: pa.Table, n: int) -> list[object]:
+    """The key of the last row, which follows n other columns."""
+    return list(_values(rows.slice(len(rows) - 1).select(range(n, rows.num_columns)))[0])
+
+
+class _Stream:
+    """Rows that are left of a sorted result, of which a part is here."""
+
+    def __init__(self, rows: Iterator[Row], kind: StructType) -> None:
+        self.rows, self.kind, self.here = rows, kind, None
+
+    def take(self, want: int) -> tuple[pa.Table, bool]:
+        """So many rows, and whether these are the last."""
+        parts, n = ([], 0) if self.here is None else ([self.here], len(self.here))
+        while n <= want and (r := next(self.rows, None)) is not None:
+            parts.append(_unpacked(iter([r]), self.kind))
+            n += len(parts[-1])
+        every = pa.concat_tables(parts) if parts else _unpacked(iter(()), self.kind)
+        self.here = every.slice(want) if n > want else None
+        return every.slice(0, want), n <= want
+
+
 class _Ahead:
     """Rows that were fetched beyond a page, by the token that asks for them. A token that isn't here is answered by the data."""
 
     def __init__(self) -> None:
         self._lock = threading.Lock()
-        self._held: dict[str, tuple[list[Row], bool, Iterator[Row] | None]] = {}
+        self._held: dict[str, tuple[pa.Table | None, bool, _Stream | None]] = {}
 
-    def put(self, token: str, rows: list[Row], last: bool, stream: Iterator[Row] | None = None) -> None:
+    def put(self, token: str, rows: pa.Table, last: bool, stream: _Stream | None = None) -> None:
         with self._lock:
             self._held.pop(token, None)
             self._held[token] = (rows, last, stream)
@@ -159,9 +217,9 @@ class _Ahead:
             for t in streams[: max(0, len(streams) - STREAMS)]:
                 del self._held[t]
 
-    def take(self, token: str) -> tuple[list[Row], bool, Iterator[Row] | None]:
+    def take(self, token: str) -> tuple[pa.Table | None, bool, _Stream | None]:
         with self._lock:
-            return self._held.pop(token, ([], False, None))
+            return self._held.pop(token, (None, False, None))
 
 
 _AHEAD = _Ahead()
@@ -175,7 +233,7 @@ class _Fetch:
         self.types = [rel.df.schema[c].dataType.simpleString() for c, _ in rel.keys]
         self.low = None if last is None else last[0]
         self.reach, self.done = 2.0, False
-        self.stream: Iterator[Row] | None = None
+        self.stream: _Stream | None = None
         self.ranged = self.types[0] in ("int", "bigint", "smallint", "double") and rel.keys[0][1]
 
     @cached_property
@@ -199,18 +257,20 @@ class _Fetch:
         rel = replace(self.rel, df=df)
         shown = self.data.decode(rel, self.names)
         order = sort_columns(tuple((f"k{n}", up) for n, (_, up) in enumerate(self.rel.keys)))
-        df = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(self.names)], *_keys_of(rel, shown, self.names))
+        df = self._columns(rel, shown)
         # Parts by range of the whole key, which no two rows share, so that their sizes are about equal.
-        self.stream = df.repartitionByRange(1 + rows // STREAM_PART, *order).sortWithinPartitions(*order).toLocalIterator(prefetchPartitions=True)
+        parts = df.repartitionByRange(1 + rows // STREAM_PART, *order).sortWithinPartitions(*order)
+        self.stream = _Stream(packed(parts).toLocalIterator(prefetchPartitions=True), df.schema)
+
+    def _columns(self, rel: Rel, shown: Rel) -> DataFrame:
+        """Values of names, then the keys."""
+        return shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(self.names)], *_keys_of(rel, shown, self.names))
 
-    def take(self, want: int, offset: int = 0) -> list[Row]:
+    def take(self, want: int, offset: int = 0) -> pa.Table:
         """Up to so many rows; fewer than that don't mean the end, ``done`` does. Values of names, then the keys."""
         if self.stream is not None:
-            got = list(islice(self.stream, want + 1))
-            self.done = len(got) <= want
-            if not self.done:
-                self.stream = chain(got[want:], self.stream)
-            return got[:want]
+            got, self.done = self.stream.take(want)
+            return got
         df, high = self.rel.df, None if offset else self._high(want)
         if self.from_ is not None:
             df = df.where(self.from_)
@@ -220,14 +280,17 @@ class _Fetch:
         df = df.orderBy(*sort_columns(self.rel.keys))
         part = replace(self.rel, df=(df.offset(offset) if offset else df).limit(want + 1))
         shown = self.data.decode(part, self.names)
-        got = shown.df.select(*[F.col(v).alias(f"v{n}") for n, v in enumerate(self.names)], *_keys_of(part, shown, self.names)).collect()
+        df = self._columns(part, shown)
+        got = _unpacked(packed(df).collect(), df.schema)
         n = len(self.names)
         if any(shown.kinds[v] != part.kinds[v] for v in self.names):
-            got = sorted(got, key=lambda r: _sort_key(r, n, self.rel.keys))
+            keys = [_sort_key(r, n, self.rel.keys) for r in _values(got)]
+            got = got.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64()))
         if len(got) > want:
-            got = got[:want]
-            self.from_ = after(self.rel.keys, list(got[-1][n:]), self.types)
-            new_low = got[-1][n]
+            got = got.slice(0, want)
+            last = _key_of_last(got, n)
+            self.from_ = after(self.rel.keys, last, self.types)
+            new_low = last[0]
             self.reach = 2.0
         else:
             self.done = high is None
@@ -235,8 +298,8 @@ class _Fetch:
             if high is not None:
                 self.from_ = F.col(first) > F.lit(high).cast(self.types[0])
                 self.reach *= 8
-        if self.ranged and got and isinstance(new_low, (int, float)):
-            base = self.low if isinstance(self.low, (int, float)) else got[0][n]
+        if self.ranged and len(got) and isinstance(new_low, (int, float)):
+            base = self.low if isinstance(self.low, (int, float)) else got.column(n)[0].as_py()
             if isinstance(base, (int, float)) and 0 < new_low - base < math.inf:
                 self.rate = len(got) / float(new_low - base)
         self.low = new_low
@@ -280,16 +343,16 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
     emitted, last, rate = _read_token(token, mark, len(rel.keys))
     names = [v for v in rel.vars if not v.startswith("?")]
     n = len(names)
-    held, ended, stream = _AHEAD.take(token) if token is not None else ([], False, None)
-    given = emitted
-    fetch = _Fetch(data, rel, names, list(held[-1][n:]) if held else last, rate)
+    held, ended, stream = _AHEAD.take(token) if token is not None else (None, False, None)
+    given, ready = emitted, 0 if held is None else len(held)
+    fetch = _Fetch(data, rel, names, _key_of_last(held, n) if ready and stream is None else last, rate)
     fetch.stream = stream
     fetch.done = ended or cap is not None and emitted >= cap
     size = chunk or CHUNK
     room = min((x for x in (None if most.limit is None else max(1, most.limit), None if cap is None else cap - emitted) if x is not None), default=None)
-    while not fetch.done and (room is None or len(held) < room):
-        left = None if room is None else room - len(held)
-        skip = offset if last is None and not held else 0
+    while not fetch.done and (room is None or ready < room):
+        left = None if room is None else room - ready
+        skip = offset if last is None and not ready else 0
         if deadline is not None:
             want = size if left is None else min(size, left)
         elif chunk is not None:
@@ -302,29 +365,29 @@ def run_page(data: Dataset, query: str | Query, budget: Budget = Budget(), token
                 want = left
         if want <= 0:
             break
-        got = _within(data, lambda want=want, skip=skip: fetch.take(want, skip), deadline if held else None)
+        got = _within(data, lambda want=want, skip=skip: fetch.take(want, skip), deadline if ready else None)
         if got is None:
             break
-        held, size = held + got, size * 2
-        if held and deadline is not None and time.monotonic() >= deadline:
+        held, size = got if not ready else pa.concat_tables([held, got]) if len(got) else held, size * 2
+        ready = len(held)
+        if ready and deadline is not None and time.monotonic() >= deadline:
             break
-    out = held[:room]
-    rest = held[len(out) :]
-    emitted += len(out)
-    over = fetch.done and not rest or cap is not None and emitted >= cap
+    given_out = ready if room is None else min(ready, room)
+    emitted += given_out
+    over = fetch.done and ready == given_out or cap is not None and emitted >= cap
     row = Row(*names)
-    rows = [row(*r[:n]) for r in out]
+    rows = [row(*r) for r in _values(held.slice(0, given_out).select(range(n)))] if given_out else []
     if over:
         return Page(names, rows, None, emitted)
-    if out:
-        last = list(out[-1][n:])
+    if given_out:
+        last = _key_of_last(held.slice(0, given_out), n)
     following = json.dumps({"query": mark, "emitted": emitted, "last": [_pack(v) for v in last], "rate": fetch.rate})
-    if rest or fetch.stream is not None:
-        _AHEAD.put(following, rest, fetch.done, fetch.stream)
+    if ready > given_out or fetch.stream is not None:
+        _AHEAD.put(following, held.slice(given_out), fetch.done, fetch.stream)
     return Page(names, rows, following, emitted)
 
 
-def _within(data: Dataset, job: Callable[[], list[Row]], deadline: float | None) -> list[Row] | None:
+def _within(data: Dataset, job: Callable[[], pa.Table], deadline: float | None) -> pa.Table | None:
     """What a job returns, or None if it was still running at the deadline and is cancelled."""
     if deadline is None:
         return job()
@@ -361,7 +424,7 @@ class _Desc:
         return isinstance(other, _Desc) and other.v == self.v
 
 
-def _sort_key(row: Row, n: int, keys: tuple[Key, ...]) -> list:
+def _sort_key(row: tuple, n: int, keys: tuple[Key, ...]) -> list:
     """A page's rows in key order again, after the joins that looked up terms."""
     out = []
     for v, (_, up) in zip(row[n:], keys):
@@ -387,22 +450,27 @@ def pages(data: Dataset, query: str, limit: int, prefixes: dict[str, str] | None
 
 
 def joined(data: Dataset, query: str, limit: int, schema: str, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """All pages of a query, put together. Of the rows that were given out the driver keeps JOINED at most; earlier ones are on disk."""
+    """All pages of a query, put together. Of the rows that were given out the driver keeps JOINED at most, and JOINED_BYTES but for one page; earlier ones are on disk."""
     spark, kind = data.spark, StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
     done: list[DataFrame] = []
     held: list[pa.Table] = []
+    rows = size = 0
 
     def part() -> DataFrame:
-        out = spark.createDataFrame(pa.concat_tables([arrow.empty_table(), *held]).combine_chunks(), kind)
-        held.clear()
-        return out
+        # As bytes, that the JVM doesn't hold a row object for each.
+        batches = pa.concat_tables([arrow.empty_table(), *held]).combine_chunks().to_batches(CHUNK)
+        table = pa.Table.from_batches(_pack_rows(iter(batches)), pa.schema({"rows": pa.binary()}))
+        return spark.createDataFrame(table).mapInArrow(_unpack_rows, kind)
 
     for p in each_page(data, query, limit, prefixes):
         columns = list(zip(*p.rows)) or [()] * len(arrow)
         held.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
-        if sum(t.num_rows for t in held) >= JOINED:
+        rows, size = rows + len(p.rows), size + held[-1].nbytes
+        if rows >= JOINED or size >= JOINED_BYTES:
             done.append(cut(part()))
+            held.clear()
+            rows = size = 0
     return reduce(DataFrame.unionAll, [*done, part()] if held or not done else done)
 
 

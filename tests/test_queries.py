@@ -311,3 +311,29 @@ def test_a_held_page_makes_no_condition(spark, monkeypatch):
     next(pages_of), next(pages_of)  # the second reads four rows ahead
     monkeypatch.setattr(paging, "after", None)
     assert [next(pages_of).rows[0].k for _ in range(4)] == [2, 3, 4, 5]
+
+
+def test_values_of_pages_are_those_of_rows(spark, tmp_path, monkeypatch):
+    """Whatever its type, a value in a page or in the joined pages is the one that collect() gives; bytes alone can end a part of joined()."""
+    spark.sql(
+        "SELECT id AS k, IF(id % 3 = 0, NULL, cast(id / 8 AS double)) AS d, cast('nan' AS double) AS nan, cast(id AS decimal(20, 3)) AS c, id % 2 = 0 AS b, timestamp_seconds(id * 9999999) AS t, "
+        "cast(timestamp_seconds(id) AS timestamp_ntz) AS n, date_from_unix_date(id) AS y, array(id, NULL) AS a, named_struct('x', id, 's', 'é') AS s, map('m', id) AS m, cast('q' AS binary) AS z, cast(NULL AS string) AS e FROM range(40)"
+    ).write.parquet(str(tmp_path / "t"))
+    data = TableGraph(spark, {"t": spark.read.parquet(str(tmp_path / "t"))}, {"t": ["k"]}, {})
+    names = [c for c in data.tables["t"].columns if c != "e"]
+    query, prefix = f"SELECT {' '.join('?' + c for c in names)} ?e {{ ?r {' ; '.join(f':{c} ?{c}' for c in names if c != 'd')} OPTIONAL {{ ?r :d ?d }} OPTIONAL {{ ?r :e ?e }} }}", {"": "urn:t:"}
+    want = engine.select(data, query, prefix).orderBy("k")
+    whole = [repr(r) for r in want.collect()]
+    assert [repr(r) for p in pages(data, query, 7, prefix) for r in p.rows] == whole and len(whole) == 40
+    page = run_page(data, query, Budget(timeout_ms=60_000), prefixes=prefix, chunk=9)  # of several fetches
+    assert [repr(r) for r in page.rows] == whole and page.token is None
+    monkeypatch.setattr(paging, "STREAMED", 3)
+    assert [repr(r) for p in pages(data, query, 7, prefix) for r in p.rows] == whole
+    simple = "SELECT ?k ?d ?b ?e { ?r :k ?k ; :b ?b OPTIONAL { ?r :d ?d } OPTIONAL { ?r :e ?e } }"
+    cuts = []
+    monkeypatch.setattr(paging, "JOINED_BYTES", 100)
+    monkeypatch.setattr(paging, "cut", lambda df: cuts.append(df.count()) or df)
+    out = paging.joined(data, simple, 7, "k long, d double, b boolean, e string", prefix)
+    assert [repr(r) for r in out.orderBy("k").collect()] == [repr(r) for r in want.select("k", "d", "b", "e").collect()] and cuts == [7, 7, 7, 7, 7, 5]
+    # A pattern without variables has rows without columns.
+    assert [len(p.rows) for p in pages(data, "SELECT * { <urn:t:t/5> :b false }", 1, prefix)] == [1]
