@@ -313,6 +313,23 @@ def test_a_held_page_makes_no_condition(spark, monkeypatch):
     assert [next(pages_of).rows[0].k for _ in range(4)] == [2, 3, 4, 5]
 
 
+def test_a_top_k_is_merged_by_an_executor(spark, tmp_path):
+    """A page of a table without a key is a top-k over all its files. Only the page's rows come to the driver, not those of each task."""
+    spark.range(30_000, numPartitions=30).select((F.col("id") * 7919 % 30_011).alias("v")).write.parquet(str(tmp_path / "t"))
+    data = TableGraph(spark, {"t": spark.read.parquet(str(tmp_path / "t"))}, {}, {})
+    query, prefix, conf = "SELECT ?v { ?s :v ?v }", {"": "urn:t:"}, spark.sparkContext._jsc.sc().conf()
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    paging.fingerprint(paging.parse(query, prefix), data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    conf.set("spark.driver.maxResultSize", "600k")
+    try:
+        page = run_page(data, query, Budget(limit=1000), prefixes=prefix)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert len({r.v for r in page.rows}) == len(page.rows) == 1000
+
+
 def test_values_of_pages_are_those_of_rows(spark, tmp_path, monkeypatch):
     """Whatever its type, a value in a page or in the joined pages is the one that collect() gives; bytes alone can end a part of joined()."""
     spark.sql(
