@@ -8,7 +8,7 @@ all of them as well, in three rounds over disjoint parts of growing size: each
 task trains on its own texts of a part, and the weights are averaged after it.
 
 The output is factored: a subword belongs to a leaf (frequent ones have their
-own), leaves belong to groups of those with like neighbours, and log P(subword) =
+own), leaves belong to equal groups of those with like neighbours, and log P(subword) =
 log P(group) + log P(leaf in group) + log P(subword in leaf). Attention decides
 on the first two; the last is by counts. The model sees windows of WINDOW
 subwords that overlap; each subword is scored once, in the window that gives it
@@ -62,7 +62,12 @@ class Vocabulary:
     group: np.ndarray | None = None  # of each leaf, ascending
     starts: np.ndarray | None = None  # first leaf of each group, and the end
     by_group: np.ndarray | None = None  # log P(group after leaf), for LEAVES + 1 contexts, the last a word's start
-    in_group: list[np.ndarray] | None = None  # log P(leaf in group after leaf) for each group, contexts x leaves of the group
+    in_each: np.ndarray | None = None  # log P(leaf in group after leaf), a row for each context and group
+
+    @property
+    def in_group(self) -> list[np.ndarray]:
+        """log P(leaf in group after leaf) for each group, contexts x leaves of the group."""
+        return [self.in_each[g::GROUPS] for g in range(GROUPS)]
 
 
 class _Numbers(dict):
@@ -197,21 +202,25 @@ def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context:
     """log P(target leaf) for places with hidden state h, bias context and target leaf."""
     order, cuts = _sorted(voc, target)
     h, context, target = h[order], context[order], target[order]
+    g = voc.group[target]
     one = h @ w["group"]
     one += np.take(voc.by_group, context, axis=0)
-    out = _picked(one, voc.group[target])
-    for i in range(GROUPS):
-        a, b = cuts[i], cuts[i + 1]
-        if a < b:
-            lo, hi = voc.starts[i], voc.starts[i + 1]
-            two = h[a:b] @ w["leaf"][:, lo:hi]
-            two += np.take(voc.in_group[i], context[a:b], axis=0)
-            out[a:b] += _picked(two, target[a:b] - lo)
+    out = _picked(one, g)
+    out += _picked(_leaf_logits(w, voc, h, context * GROUPS + g, cuts), target - voc.starts[g])
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
+def _leaf_logits(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Logits of the leaves of each place's group, for places in order of groups; row: of in_each."""
+    out = np.take(voc.in_each, row, axis=0).astype(h.dtype, copy=False)
+    for a, b, lo, hi in zip(cuts, cuts[1:], voc.starts, voc.starts[1:]):
+        if a < b:
+            out[a:b] += h[a:b] @ w["leaf"][:, lo:hi]
+    return out
+
+
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log softmax of the rows of x, which is overwritten, at one column each."""
     own = x[np.arange(len(x)), at]
@@ -244,11 +253,15 @@ def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of rows, in place."""
-    x -= x.max(axis=1)[:, None]
-    np.exp(x, out=x)
-    x /= (x @ _ONES[: x.shape[1]].astype(x.dtype, copy=False))[:, None]
-    return x
+    """Softmax of rows. Their maxima are looked for only where sums can't be told without."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = e @ _ONES[: x.shape[1]].astype(x.dtype, copy=False)
+    if not np.isfinite(total).all() or not (total > 1e-30).all():
+        e = np.exp(x - x.max(axis=1)[:, None])
+        total = e.sum(axis=1)
+    e *= (1 / total)[:, None]
+    return e
 
 
 def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -256,27 +269,23 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due
     h, x, q, k, v, a, z = _hidden(w, before)
     order, cuts = _sorted(voc, target)
     scored, context, target = h[due][order], context[order], target[order]
-    n = max(1, len(target))
+    n, g = max(1, len(target)), voc.group[target]
     d1 = scored @ w["group"]
     d1 += np.take(voc.by_group, context, axis=0)
-    _softmax(d1)
-    at = np.arange(len(target)), voc.group[target]
+    d1 = _softmax(d1)
+    at = np.arange(len(target)), g
     logp = np.log(d1[at])
     d1[at] -= 1
     out = {"group": scored.T @ d1 / n, "leaf": np.zeros_like(w["leaf"])}
     dh = d1 @ w["group"].T
-    for i in range(GROUPS):
-        s = slice(cuts[i], cuts[i + 1])
-        if s.start < s.stop:
-            leaves = slice(voc.starts[i], voc.starts[i + 1])
-            d2 = scored[s] @ w["leaf"][:, leaves]
-            d2 += np.take(voc.in_group[i], context[s], axis=0)
-            _softmax(d2)
-            at = np.arange(len(d2)), target[s] - leaves.start
-            logp[s] += np.log(d2[at])
-            d2[at] -= 1
-            out["leaf"][:, leaves] = scored[s].T @ d2 / n
-            dh[s] += d2 @ w["leaf"][:, leaves].T
+    d2 = _softmax(_leaf_logits(w, voc, scored, context * GROUPS + g, cuts))
+    at = at[0], target - voc.starts[g]
+    logp += np.log(d2[at])
+    d2[at] -= 1
+    for i, j, lo, hi in zip(cuts, cuts[1:], voc.starts, voc.starts[1:]):
+        if i < j:
+            out["leaf"][:, lo:hi] = scored[i:j].T @ d2[i:j] / n
+            dh[i:j] += d2[i:j] @ w["leaf"][:, lo:hi].T
     back = np.empty_like(dh)
     back[order] = dh
     full = np.zeros_like(h)
@@ -321,10 +330,20 @@ def fit(w: dict[str, np.ndarray], voc: Vocabulary, streams: Iterator[tuple[np.nd
             due = (at >= scored[pick, None]) & (at < stop[pick, None])
             _, grad = gradients(w, voc, before[np.minimum(at, len(ids) - 1)], due, context[at[due]], leaf[at[due]])
             step += 1
+            one, two = rate / (1 - 0.9**step), 1 / (1 - 0.99**step)
             for n, d in grad.items():
-                m1[n] += 0.1 * (d - m1[n])
-                m2[n] += 0.01 * (d * d - m2[n])
-                w[n] -= rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-6)
+                m1[n] *= 0.9
+                m1[n] += 0.1 * d
+                m2[n] *= 0.99
+                d *= d
+                d *= 0.01
+                m2[n] += d
+                np.multiply(m2[n], two, out=d)
+                np.sqrt(d, out=d)
+                d += 1e-6
+                np.divide(m1[n], d, out=d)
+                d *= one
+                w[n] -= d
         seen += len(begin)
     return w, seen
 
@@ -364,7 +383,11 @@ def _word_counts(train: DataFrame, text_col: str) -> DataFrame:
 
 
 def group_leaves(two: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
-    """Group of each leaf, from counts two (contexts x leaves), by what comes before and after it: k-means on directions, the same each time."""
+    """Group of each leaf, from counts two (contexts x leaves), by what comes before and after it: k-means on directions, the same each time.
+
+    Groups are of one size, so that a subword costs the same in each and those of
+    all groups are worked out together. Frequent leaves choose first.
+    """
     after = two[: two.shape[1]]
     x = np.hstack([np.sqrt(c / c.sum(axis=1, keepdims=True)) for c in (after, two.T)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -373,11 +396,21 @@ def group_leaves(two: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
     centres = often[:1]
     while len(centres) < groups:  # next the frequent leaf that is furthest from all
         centres = np.vstack([centres, often[(often @ centres.T).max(axis=1).argmin()]])
+    turn = np.argsort(-weight[:, 0], kind="stable").tolist()
+
+    def nearest() -> np.ndarray:
+        ranked = np.argsort(-(x @ centres.T), axis=1, kind="stable").tolist()
+        out, room = np.empty(len(x), np.int64), [-(-len(x) // groups)] * groups
+        for leaf in turn:
+            out[leaf] = g = next(g for g in ranked[leaf] if room[g])
+            room[g] -= 1
+        return out
+
     for _ in range(rounds):
-        group = (x @ centres.T).argmax(axis=1)
+        group = nearest()
         sums = np.stack([(weight * x)[group == g].sum(axis=0) if (group == g).any() else centres[g] for g in range(groups)])
         centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    return (x @ centres.T).argmax(axis=1)
+    return nearest()
 
 
 def learn_vocabulary(counts: DataFrame, n_texts: int, spec: str) -> Vocabulary:
@@ -438,10 +471,10 @@ def with_bias(voc: Vocabulary, two: np.ndarray, by_leaf: np.ndarray) -> Vocabula
     voc.starts = np.searchsorted(voc.group, np.arange(GROUPS + 1))
     two = two[np.append(order, LEAVES)][:, order]
     joint = two / two.sum(axis=1, keepdims=True)
-    parts = [slice(a, b) for a, b in zip(voc.starts, voc.starts[1:])]
-    by_group = np.maximum(np.stack([joint[:, s].sum(axis=1) for s in parts], axis=1), 1e-30)  # a group may have no leaf
+    joint = joint.reshape(LEAVES + 1, GROUPS, LEAVES // GROUPS)
+    by_group = joint.sum(axis=2)
     voc.by_group = np.log(by_group).astype(np.float32)
-    voc.in_group = [(np.log(joint[:, s]) - np.log(by_group[:, g, None])).astype(np.float32) for g, s in enumerate(parts)]
+    voc.in_each = (np.log(joint) - np.log(by_group)[:, :, None]).astype(np.float32).reshape(-1, LEAVES // GROUPS)
     return voc
 
 

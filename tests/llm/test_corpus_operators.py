@@ -269,6 +269,26 @@ def test_attention_gradients(monkeypatch):
     assert same.all()
 
 
+def test_groups_are_of_one_size():
+    """However alike most leaves are, a subword's group is small; groups are still of those with like neighbours."""
+    r = np.random.default_rng(4)
+    n, even = lm_scoring.LEAVES, lm_scoring.LEAVES // lm_scoring.GROUPS
+    two = 0.01 * r.random((n + 1, n)) + np.where(np.arange(n) < n // 2, 50.0, 0.0)
+    two[:n, -even:] += 200 * (np.arange(n) >= n - even)[:, None]  # these come after each other only
+    voc = lm_scoring.with_bias(lm_scoring.Vocabulary(np.arange(n), np.zeros(n)), two, np.ones(n))
+    assert (np.diff(voc.starts) == even).all() and sorted(voc.leaf) == list(range(n)) and len(set(voc.group[voc.leaf[-even:]])) == 1
+    context, target = np.array([3, n]), np.array([5, 700])
+    joint = [voc.by_group[c][voc.group[x]] + voc.in_group[voc.group[x]][c][x - voc.starts[voc.group[x]]] for c, x in zip(context, target)]
+    got = lm_scoring.log_probs(lm_scoring.new_weights(), voc, np.zeros((2, lm_scoring.WIDTH), np.float32), context, target)
+    assert np.allclose(got, joint, atol=1e-4)
+
+
+def test_softmax_of_large_and_small_rows():
+    x = np.array([[1000.0, 999.0], [-1000.0, -1001.0], [0.0, 1.0]], np.float32)
+    want = np.exp([[0, -1], [0, -1], [-1, 0]]) / (1 + np.exp(-1))
+    assert np.allclose(lm_scoring._softmax(x.copy()), want, rtol=1e-5) and np.allclose(lm_scoring._softmax(x[2:].copy()), want[2:], rtol=1e-5)
+
+
 def test_each_subword_is_scored_once():
     for n in (0, 1, 5, 15, 16, 17, 28, 29, 100):
         bounds = np.array([0, n, n, n + 3])
