@@ -23,7 +23,7 @@ import base64
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -170,22 +170,37 @@ def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {"embed": make(LEAVES + 1, d, scale=0.3), "place": make(WINDOW, d, scale=0.1), "q": make(d, d, scale=d**-0.5), "k": make(d, d, scale=d**-0.5), "v": make(d, d, scale=d**-0.5), "o": make(d, d, scale=d**-0.5), "group": np.zeros((d, GROUPS), np.float32), "leaf": np.zeros((d, LEAVES), np.float32)}
 
 
-_CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def _hidden(w: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention over windows; before: leaf before each place (LEAVES: none)."""
-    x = w["embed"][before] + w["place"]
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ w[n]).reshape(x.shape) for n in "qkv")
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(WIDTH**-0.5)
-    a += _CAUSAL
-    np.minimum(a, 40, out=a)
-    np.exp(a, out=a)
-    a /= a.sum(axis=-1, keepdims=True)
-    z = np.matmul(a, v)
-    return x + (z.reshape(-1, WIDTH) @ w["o"]).reshape(x.shape), x, q, k, v, a, z
+def _hidden(w: dict[str, np.ndarray], before: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+    """Masked attention over windows; before: leaf before each place (LEAVES: none). The first ``skip`` places of each are only looked at.
+
+    q and k come as their product, which takes the place of both projections, and
+    so do v and o: 1 and 1 product with the states instead of 3 and 1.
+    """
+    n, long = before.shape
+    x = np.take(w["embed"], before, axis=0)
+    x += w["place"][:long]
+    own = np.ascontiguousarray(x[:, skip:]).reshape(-1, WIDTH)
+    t = (own @ (w["q"] @ w["k"].T * np.float32(WIDTH**-0.5))).reshape(n, long - skip, WIDTH)
+    a = np.matmul(t, x.transpose(0, 2, 1))
+    seen, ones = _CAUSAL[skip:long, :long], np.ones(long, x.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        a *= seen
+        total = a.reshape(-1, long) @ ones
+    if not np.isfinite(total).all() or not (total > 1e-30).all():
+        a = np.where(seen > 0, np.matmul(t, x.transpose(0, 2, 1)), -np.inf).astype(x.dtype)
+        a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        total = a.reshape(-1, long) @ ones
+    part = (1 / total)[:, None]
+    z = np.matmul(a, x).reshape(-1, WIDTH)
+    z *= part
+    h = z @ (w["v"] @ w["o"])
+    h += own
+    return h.reshape(n, long - skip, WIDTH), x, own, t, a, z, part
 
 
 def _sorted(voc: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,18 +221,24 @@ def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context:
     one = h @ w["group"]
     one += np.take(voc.by_group, context, axis=0)
     out = _picked(one, g)
-    out += _picked(_leaf_logits(w, voc, h, context * GROUPS + g, cuts), target - voc.starts[g])
+    out += _picked(_leaf_logits(_by_group(w["leaf"]), voc, h, context * GROUPS + g, cuts), target - voc.starts[g])
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-def _leaf_logits(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Logits of the leaves of each place's group, for places in order of groups; row: of in_each."""
-    out = np.take(voc.in_each, row, axis=0).astype(h.dtype, copy=False)
-    for a, b, lo, hi in zip(cuts, cuts[1:], voc.starts, voc.starts[1:]):
+def _by_group(leaf: np.ndarray) -> np.ndarray:
+    """Output weights of leaves as a matrix for each group, all in a row."""
+    return np.ascontiguousarray(leaf.reshape(WIDTH, GROUPS, -1).transpose(1, 0, 2))
+
+
+def _leaf_logits(leaf: np.ndarray, voc: Vocabulary, h: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Logits of the leaves of each place's group, for places in order of groups; leaf: by group; row: of in_each."""
+    out = np.empty((len(h), leaf.shape[2]), h.dtype)
+    for a, b, own in zip(cuts, cuts[1:], leaf):
         if a < b:
-            out[a:b] += h[a:b] @ w["leaf"][:, lo:hi]
+            np.matmul(h[a:b], own, out=out[a:b])
+    out += np.take(voc.in_each, row, axis=0)
     return out
 
 
@@ -232,22 +253,39 @@ def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(total)
 
 
-def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Natural log probability of every subword of a stream."""
-    out = voc.in_leaf[ids].astype(np.float64)
+def _leaves(voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each subword, the leaf before it (LEAVES: none; as many more as a window may reach past the end) and its bias context."""
     leaf = voc.leaf[ids]
-    before = np.concatenate([[LEAVES], leaf[:-1]])
+    before = np.concatenate([[LEAVES], leaf[:-1], np.full(WINDOW, LEAVES)])
     before[bounds[:-1][np.diff(bounds) > 0]] = LEAVES
-    context = np.where(first, LEAVES, before)
-    begin, scored = windows(bounds)
+    return leaf, before, np.where(first, LEAVES, before[: len(ids)])
+
+
+def _batches(bounds: np.ndarray, size: int, turn: Callable[[int], np.ndarray] = np.arange) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(places, how many of each row are only looked at, which of the others are due) of so many windows at a time; turn: the order for a number of them.
+
+    A text's first OVERLAP places, where nothing stands before, are rows of their
+    own, so that the first OVERLAP places of windows never are worked out in vain.
+    """
+    some = np.diff(bounds) > 0
+    begin = windows(bounds)[0]
     stop = bounds[np.searchsorted(bounds, begin, side="right")]
-    place = np.arange(WINDOW)
-    for k in range(0, len(begin), SCORE_BATCH):
-        b = begin[k : k + SCORE_BATCH]
-        at = b[:, None] + place
-        due = (at >= scored[k : k + SCORE_BATCH, None]) & (at < stop[k : k + SCORE_BATCH, None])
-        h = _hidden(w, before[np.minimum(at, len(ids) - 1)])[0]
-        pick = at[due]
+    later = begin + OVERLAP < stop
+    for start, end, long, skip, n in ((bounds[:-1][some], bounds[1:][some], OVERLAP, 0, size * (WINDOW - OVERLAP) // OVERLAP), (begin[later], stop[later], WINDOW, OVERLAP, size)):
+        order = turn(len(start))
+        for c in range(0, len(order), n):
+            pick = order[c : c + n]
+            at = start[pick, None] + np.arange(long)
+            yield at, skip, at[:, skip:] < end[pick, None]
+
+
+def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Natural log probability of every subword of a stream."""
+    out = voc.in_leaf[ids].astype(np.float64)
+    leaf, before, context = _leaves(voc, ids, first, bounds)
+    for at, skip, due in _batches(bounds, SCORE_BATCH):
+        h = _hidden(w, before[at], skip)[0]
+        pick = at[:, skip:][due]
         out[pick] += log_probs(w, voc, h[due], context[pick], leaf[pick])
     return out
 
@@ -264,11 +302,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e
 
 
-def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradients for a batch of windows."""
-    h, x, q, k, v, a, z = _hidden(w, before)
+def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due: np.ndarray, context: np.ndarray, target: np.ndarray, skip: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss and its gradients for a batch of windows, of which the first ``skip`` places are only looked at; due: which of the others count."""
+    h, x, own, t, a, z, part = _hidden(w, before, skip)
     order, cuts = _sorted(voc, target)
-    scored, context, target = h[due][order], context[order], target[order]
+    rows = np.flatnonzero(due)[order]
+    scored, context, target = np.take(h.reshape(-1, WIDTH), rows, axis=0), context[order], target[order]
     n, g = max(1, len(target)), voc.group[target]
     d1 = scored @ w["group"]
     d1 += np.take(voc.by_group, context, axis=0)
@@ -276,75 +315,80 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due
     at = np.arange(len(target)), g
     logp = np.log(d1[at])
     d1[at] -= 1
-    out = {"group": scored.T @ d1 / n, "leaf": np.zeros_like(w["leaf"])}
+    out = {"group": scored.T @ d1 / n}
     dh = d1 @ w["group"].T
-    d2 = _softmax(_leaf_logits(w, voc, scored, context * GROUPS + g, cuts))
+    leaf = _by_group(w["leaf"])
+    d2 = _softmax(_leaf_logits(leaf, voc, scored, context * GROUPS + g, cuts))
     at = at[0], target - voc.starts[g]
     logp += np.log(d2[at])
     d2[at] -= 1
-    for i, j, lo, hi in zip(cuts, cuts[1:], voc.starts, voc.starts[1:]):
+    d_leaf, back = np.zeros_like(leaf), np.empty_like(dh)
+    for i, j, own_leaf, d in zip(cuts, cuts[1:], leaf, d_leaf):
         if i < j:
-            out["leaf"][:, lo:hi] = scored[i:j].T @ d2[i:j] / n
-            dh[i:j] += d2[i:j] @ w["leaf"][:, lo:hi].T
-    back = np.empty_like(dh)
-    back[order] = dh
-    full = np.zeros_like(h)
-    full[due] = back / n
-    flat = full.reshape(-1, WIDTH)
-    out["o"] = z.reshape(-1, WIDTH).T @ flat
-    dz = (flat @ w["o"].T).reshape(z.shape)
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dz)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+            np.matmul(scored[i:j].T, d2[i:j], out=d)
+            np.matmul(d2[i:j], own_leaf.T, out=back[i:j])
+    out["leaf"] = d_leaf.transpose(1, 0, 2).reshape(w["leaf"].shape) / n
+    dh += back
+    dh /= n
+    flat = np.zeros_like(own)
+    flat[rows] = dh
+    d_vo = z.T @ flat
+    out["v"], out["o"] = d_vo @ w["o"].T, w["v"].T @ d_vo
+    dz = flat @ (w["v"] @ w["o"]).T
+    dz *= part  # a isn't divided by its sums
+    less = np.einsum("ij,ij->i", dz, z)
+    dz = dz.reshape(t.shape)
+    da = np.matmul(dz, x.transpose(0, 2, 1))
+    da -= less.reshape(*due.shape, 1)
     da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    dx, flat_x = full.reshape(-1, WIDTH), x.reshape(-1, WIDTH)
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        d = d.reshape(-1, WIDTH)
-        out[name] = flat_x.T @ d
-        dx += d @ w[name].T
-    out["place"] = full.sum(axis=0)
-    cell = before.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    out["embed"] = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(dx.dtype)
+    dt = np.matmul(da, x).reshape(-1, WIDTH)
+    dx = np.matmul(a.transpose(0, 2, 1), dz)
+    dx += np.matmul(da.transpose(0, 2, 1), t)
+    scale = np.float32(WIDTH**-0.5)
+    flat += dt @ (w["k"] @ w["q"].T * scale)
+    dx[:, skip:] += flat.reshape(t.shape)
+    d_qk = own.T @ dt * scale
+    out["q"], out["k"] = d_qk @ w["k"], d_qk.T @ w["q"]
+    out["place"] = np.zeros_like(w["place"])
+    out["place"][: before.shape[1]] = dx.sum(axis=0)
+    leaf = before.ravel().astype(np.int16)
+    turn = np.argsort(leaf, kind="stable")
+    leaf = leaf[turn]
+    start = np.concatenate([[0], 1 + np.flatnonzero(leaf[1:] != leaf[:-1])])
+    out["embed"] = np.zeros_like(w["embed"])
+    out["embed"][leaf[start]] = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), turn, axis=0), start, axis=0)
     return -float(logp.mean()) if len(logp) else 0.0, out
 
 
 def fit(w: dict[str, np.ndarray], voc: Vocabulary, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
     """One pass of Adam over streams (ids, first, bounds): new weights and the number of windows seen."""
-    w = {n: a.copy() for n, a in w.items()}
-    m1, m2 = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
+    # All weights stand in one array, so that a step is a few calls.
+    every = _pack(w)
+    w, d = _views(every, w), np.empty_like(every)
+    grad, m1, m2 = _views(d, w), np.zeros_like(every), np.zeros_like(every)
     seen = step = 0
     r = np.random.default_rng(11)
     for ids, first, bounds in streams:
-        leaf = voc.leaf[ids]
-        before = np.concatenate([[LEAVES], leaf[:-1]])
-        before[bounds[:-1][np.diff(bounds) > 0]] = LEAVES
-        context = np.where(first, LEAVES, before)
-        begin, scored = windows(bounds)
-        stop = bounds[np.searchsorted(bounds, begin, side="right")]
-        turn = r.permutation(len(begin))
-        for c in range(0, len(turn), TRAIN_BATCH):
-            pick = turn[c : c + TRAIN_BATCH]
-            at = begin[pick, None] + np.arange(WINDOW)
-            due = (at >= scored[pick, None]) & (at < stop[pick, None])
-            _, grad = gradients(w, voc, before[np.minimum(at, len(ids) - 1)], due, context[at[due]], leaf[at[due]])
+        leaf, before, context = _leaves(voc, ids, first, bounds)
+        for at, skip, due in _batches(bounds, TRAIN_BATCH, r.permutation):
+            pick = at[:, skip:][due]
+            for n, a in gradients(w, voc, before[at], due, context[pick], leaf[pick], skip)[1].items():
+                grad[n][...] = a
             step += 1
             one, two = rate / (1 - 0.9**step), 1 / (1 - 0.99**step)
-            for n, d in grad.items():
-                m1[n] *= 0.9
-                m1[n] += 0.1 * d
-                m2[n] *= 0.99
-                d *= d
-                d *= 0.01
-                m2[n] += d
-                np.multiply(m2[n], two, out=d)
-                np.sqrt(d, out=d)
-                d += 1e-6
-                np.divide(m1[n], d, out=d)
-                d *= one
-                w[n] -= d
-        seen += len(begin)
+            m1 *= 0.9
+            m1 += 0.1 * d
+            m2 *= 0.99
+            d *= d
+            d *= 0.01
+            m2 += d
+            np.multiply(m2, two, out=d)
+            np.sqrt(d, out=d)
+            d += 1e-6
+            np.divide(m1, d, out=d)
+            d *= one
+            every -= d
+        seen += len(windows(bounds)[0])
     return w, seen
 
 
@@ -482,16 +526,19 @@ def _pack(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[n].ravel() for n in sorted(w)])
 
 
-def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays that _pack() put into flat, which they share."""
     out, at = {}, 0
-    shapes = {n: a.shape for n, a in new_weights().items()}
-    for n in sorted(shapes):
-        size = math.prod(shapes[n])
-        out[n] = flat[at : at + size].reshape(shapes[n]).astype(np.float32)
-        at += size
+    for n in sorted(like):
+        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
+        at += like[n].size
     return out
 
 
+def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    return {n: a.astype(np.float32) for n, a in _views(flat, new_weights()).items()}
+
+
 def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[float, ...] = PARTS) -> dict[str, np.ndarray]:
     """Attention weights fitted on a table with one text column: every task fits its own texts of a part, the mean by windows goes on.
 
@@ -499,7 +546,7 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[flo
     """
     spark = texts.sparkSession
     w = new_weights()
-    shared_voc = spark.sparkContext.broadcast(voc)
+    shared_voc, run_id = spark.sparkContext.broadcast(voc), uuid.uuid4().hex
     # Of a seed of its own, as equal texts are alike in every hash.
     place = F.pmod(F.xxhash64(F.lit("part"), F.coalesce(F.col(texts.columns[0]), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     for k, (low, high) in enumerate(zip((0.0, *parts), parts)):
@@ -507,7 +554,7 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[flo
         rate = RATE / (1 + k)
 
         def one(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            splitter = Splitter(spec)
+            splitter = _shared_splitter(run_id, spec)
 
             def streams() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for b in batches:
@@ -532,7 +579,7 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[flo
 _SPLITTERS: dict[str, Splitter] = {}
 
 
-def _shared_splitter(run_id: str, spec: str, heavy: tuple[np.ndarray, np.ndarray]) -> Splitter:
+def _shared_splitter(run_id: str, spec: str, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> Splitter:
     """A worker's splitter for one run, which its tasks share one after the other."""
     if run_id not in _SPLITTERS:
         _SPLITTERS.clear()

@@ -298,6 +298,27 @@ def test_each_subword_is_scored_once():
         assert times == Counter(range(n + 3))
 
 
+def test_lm_places_that_are_only_looked_at():
+    """A window's first places need no states of their own: with and without them the rest have the same states and gradients; each place is due once."""
+    r = np.random.default_rng(9)
+    n, size, skip = lm_scoring.LEAVES, lm_scoring.WINDOW, lm_scoring.OVERLAP
+    voc = lm_scoring.with_bias(lm_scoring.Vocabulary(np.arange(n), np.zeros(n)), r.random((n + 1, n)), np.ones(n))
+    w = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.1 for k, v in lm_scoring.new_weights().items()}
+    before = r.integers(0, n, (5, size))
+    assert np.allclose(lm_scoring._hidden(w, before, skip)[0], lm_scoring._hidden(w, before)[0][:, skip:])
+    due = r.random((5, size)) < 0.8
+    due[:, :skip] = False
+    context, target = r.integers(0, n, due.sum()), r.integers(0, n, due.sum())
+    (loss, want), (same, got) = lm_scoring.gradients(w, voc, before, due, context, target), lm_scoring.gradients(w, voc, before, due[:, skip:], context, target, skip)
+    assert np.isclose(loss, same) and all(np.allclose(want[k], got[k]) for k in want)
+    large = {k: v * 100 if k in "qk" else v for k, v in w.items()}  # sums that no float holds
+    assert np.isfinite(lm_scoring._hidden({k: v.astype(np.float32) for k, v in large.items()}, before)[0]).all()
+    bounds = np.cumsum([0, 0, 1, 8, 9, 32, 33, 56, 57, 200, 0])
+    places = np.concatenate([at[:, k:][here] for at, k, here in lm_scoring._batches(bounds, 4, r.permutation)])
+    assert sorted(places.tolist()) == list(range(bounds[-1]))
+
+
+
 def test_lm_scores(spark):
     r = random.Random(7)
     words = ["the", "river", "house", "Wald", "und", "xyzzy,", "É", "\x85", "naïve"]
