@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from graphloom.llm.bpe import PATTERN
 from graphloom.llm.common import cut, repeated
 
 WINDOW, OVERLAP = 32, 8
-WIDTH, GROUPS, LEAVES = 16, 32, 1024
+WIDTH, GROUPS, LEAVES = 16, 32, 1024  # as many groups as leaves in each, so that both softmaxes are rows of one array
 #: Parts of the training texts, by hash, that the attention weights are fitted on one after the other, each text being in one; the rate of the first.
 PARTS, RATE = (1 / 64, 1 / 8, 1), 0.01
 #: A word with at least this share of all tokens travels with the code, as a hash and a number; there can't be more than 1 / HEAVY of them.
@@ -46,8 +47,10 @@ HEAVY = 1 / 1_000_000
 COUNTED = 500_000
 #: Words that a task keeps the subwords of.
 CACHE_WORDS = 700_000
-#: Windows per step of training and of scoring.
-TRAIN_BATCH, SCORE_BATCH = 64, 512
+#: Windows per step of the first part's training, which doubles with each part, and of scoring.
+TRAIN_BATCH, SCORE_BATCH = 64, 256
+#: Texts, and bytes of them unless one alone has more, that are taken apart at a time.
+PIECE_TEXTS, PIECE_BYTES = 256, 1 << 19
 #: Part of the attention model in the probability of a word that the training texts have; the rest is the word's own frequency.
 MIXED = 0.5
 _PRIOR = 20.0  # weight of the unigram distribution in that of pairs
@@ -61,8 +64,21 @@ class Vocabulary:
     in_leaf: np.ndarray  # log P(subword in its leaf)
     group: np.ndarray | None = None  # of each leaf, ascending
     starts: np.ndarray | None = None  # first leaf of each group, and the end
-    by_group: np.ndarray | None = None  # log P(group after leaf), for LEAVES + 1 contexts, the last a word's start
-    in_each: np.ndarray | None = None  # log P(leaf in group after leaf), a row for each context and group
+    bias: np.ndarray | None = None  # by_group and then in_each
+
+    @property
+    def by_group(self) -> np.ndarray:
+        """log P(group after leaf), for LEAVES + 1 contexts, the last a word's start."""
+        return self.bias[: LEAVES + 1]
+
+    @by_group.setter
+    def by_group(self, value: np.ndarray) -> None:
+        self.bias = np.concatenate([value, self.in_each])
+
+    @property
+    def in_each(self) -> np.ndarray:
+        """log P(leaf in group after leaf), a row for each context and group."""
+        return self.bias[LEAVES + 1 :]
 
     @property
     def in_group(self) -> list[np.ndarray]:
@@ -70,14 +86,40 @@ class Vocabulary:
         return [self.in_each[g::GROUPS] for g in range(GROUPS)]
 
 
+def pieces(texts: pa.Array) -> Iterator[slice]:
+    """Rows in a row that are taken apart together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        b = np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE_BYTES, side="right")
+        yield slice(a, a := min(max(int(b), a + 1), a + PIECE_TEXTS))
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, A-Z in lower case, the place of each word of the texts among them, and words in each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    bounds, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+    place, counts = coded.indices.to_numpy(), np.diff(bounds).astype(np.int64)
+    _, offsets, data = coded.dictionary.buffers()
+    offsets, data = np.frombuffer(offsets or bytes(4), np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+    words = [data[a:b] for a, b in zip(offsets, offsets[1:])]
+    if b"" in words:  # what stands before white space at the start of a text, or after that at its end
+        words.pop(k := words.index(b""))
+        empty = np.flatnonzero(place == k)
+        counts -= np.bincount(np.searchsorted(bounds, empty, side="right") - 1, minlength=len(counts))
+        place = np.delete(place, empty)
+        place -= place > k
+    return words, place, counts
+
+
 class _Numbers(dict):
-    """Words to numbers; a new word gets the next one and is noted."""
+    """Words to numbers from 1; a new word gets the next one and is noted."""
 
     def __init__(self) -> None:
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+        n = self[word] = len(self) + 1
         self.fresh.append(word)
         return n
 
@@ -91,19 +133,34 @@ class Splitter:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in spec.splitlines() if line)}
         self._encode = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
+        self._spaced = np.zeros(self.end, dtype=bool)  # subwords that begin with a space, as the first of each word and no other
+        self._spaced[[n for x, n in ranks.items() if x[:1] == b" "]] = True
         self.heavy = heavy or (np.zeros(0, np.int64), np.zeros(0))  # hashes, ascending, and log10 of (count + 0.1)
         self._clear()
 
     def _clear(self) -> None:
         self.ids = _Numbers()
-        self.used = self.filled = 0
+        self.used = self.filled = 1  # number 0 is the end of a text
         self.flat, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.hash, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+        self.flat[0], self.length[0] = self.end, 1
 
     def split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The subwords of words in a row, and how many each word has."""
-        encode = self._encode
-        parts = [encode(" " + w.decode("utf-8", "replace")) for w in words]
+        # A few thousand at a time, as the encoder is slower on long texts.
+        parts = [self._split(words[k : k + 2000]) for k in range(0, len(words), 2000)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        flat, lengths = zip(*parts)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = b" ".join([b"", *words]).decode("utf-8", "replace")
+        # All at once, unless a word has white space beyond ASCII in it, at which the pattern parts it.
+        if len(text.split()) == len(words):
+            flat = np.array(self._encode(text), dtype=np.int32)
+            starts = np.flatnonzero(self._spaced[flat])
+            if len(starts) == len(words):
+                return flat, np.diff(starts, append=len(flat))
+        parts = [self._encode(" " + w.decode("utf-8", "replace")) for w in words]
         lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         return np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(lengths.sum())), lengths
 
@@ -115,7 +172,7 @@ class Splitter:
         fresh = self.ids.fresh
         if fresh:
             flat, n = self.split(fresh)
-            while self.filled + len(flat) + 1 > len(self.flat):
+            while self.filled + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.used + len(fresh) > len(self.start):
                 self.start, self.length, self.hash, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hash, self.known))
@@ -133,23 +190,26 @@ class Splitter:
             self.ids.fresh = []
         return out
 
-    def stream(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stream(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Subwords of all texts, each text closed by the end; whether each starts a word; bounds of texts; word numbers; words in each text."""
-        parts = [(t or "").encode().lower().split() for t in texts]
-        counts = np.array([len(p) for p in parts], dtype=np.int64)
-        number = self.numbers([w for p in parts for w in p])
-        length, start = self.length[number], self.start[number]
-        # One more, of length 1, for the end of each text.
-        ends = np.cumsum(counts)
-        length, start = np.insert(length, ends, 1), np.insert(start, ends, self.filled)
-        flat = self.flat  # which has room for one more
-        flat[self.filled] = self.end
+        words, place, counts = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        number = self.numbers(words)[place]
+        # One more, of number 0, for the end of each text.
+        closing = np.cumsum(counts + 1) - 1
+        own = np.ones(len(number) + len(counts), dtype=bool)
+        own[closing] = False
+        every = np.zeros(len(own), np.int64)
+        every[own] = number
+        length, start = np.take(self.length, every), np.take(self.start, every)
         cum = np.cumsum(length)
-        out = flat[np.repeat(start - (cum - length), length) + np.arange(cum[-1] if len(cum) else 0)]
+        begin = cum - length
+        start -= begin
+        at = np.repeat(start, length)
+        at += np.arange(len(at))
+        out = np.take(self.flat, at)
         first = np.zeros(len(out), dtype=bool)
-        first[cum - length] = True
-        bounds = np.concatenate([[0], cum[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
-        return out, first, bounds, number, counts
+        first[begin] = True
+        return out, first, np.concatenate([[0], cum[closing]]), number, counts
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,38 +273,48 @@ def _sorted(voc: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _ONES = np.ones(LEAVES, np.float32)
 
 
-def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target leaf) for places with hidden state h, bias context and target leaf."""
+def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """log P(target leaf) for places with hidden state h, bias context and target leaf; rows: the places' own of h, else all."""
     order, cuts = _sorted(voc, target)
-    h, context, target = h[order], context[order], target[order]
-    g = voc.group[target]
-    one = h @ w["group"]
-    one += np.take(voc.by_group, context, axis=0)
-    out = _picked(one, g)
-    out += _picked(_leaf_logits(_by_group(w["leaf"]), voc, h, context * GROUPS + g, cuts), target - voc.starts[g])
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    h, context, target = np.take(h, order if rows is None else rows[order], axis=0), np.take(context, order), np.take(target, order)
+    out = np.empty(len(order), h.dtype)
+    out[order] = _picked(_logits(_by_group(w), voc, h, context, target, cuts), _at(voc, target)).reshape(-1, 2).sum(axis=1)
+    return out
 
 
-def _by_group(leaf: np.ndarray) -> np.ndarray:
-    """Output weights of leaves as a matrix for each group, all in a row."""
-    return np.ascontiguousarray(leaf.reshape(WIDTH, GROUPS, -1).transpose(1, 0, 2))
+def _by_group(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Output weights as a matrix for each group, with those of all groups and then those of its leaves, all in a row."""
+    out = np.empty((GROUPS, WIDTH, 2 * GROUPS), w["leaf"].dtype)
+    out[:, :, :GROUPS] = w["group"]
+    out[:, :, GROUPS:] = w["leaf"].reshape(WIDTH, GROUPS, GROUPS).transpose(1, 0, 2)
+    return out
 
 
-def _leaf_logits(leaf: np.ndarray, voc: Vocabulary, h: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Logits of the leaves of each place's group, for places in order of groups; leaf: by group; row: of in_each."""
-    out = np.empty((len(h), leaf.shape[2]), h.dtype)
-    for a, b, own in zip(cuts, cuts[1:], leaf):
+def _logits(weights: np.ndarray, voc: Vocabulary, h: np.ndarray, context: np.ndarray, target: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Two rows for each place, logits of the groups and of the leaves of the target's, for places in order of groups; weights: by group."""
+    out = np.empty((len(h), 2 * GROUPS), h.dtype)
+    for a, b, own in zip(cuts, cuts[1:], weights):
         if a < b:
             np.matmul(h[a:b], own, out=out[a:b])
-    out += np.take(voc.in_each, row, axis=0)
+    row = np.empty((len(h), 2), np.int64)
+    row[:, 0] = context
+    row[:, 1] = context * GROUPS + voc.group[target] + (LEAVES + 1)
+    out = out.reshape(-1, GROUPS)
+    out += np.take(voc.bias, row.ravel(), axis=0)
     return out
 
 
+def _at(voc: Vocabulary, target: np.ndarray) -> np.ndarray:
+    """The targets' columns in the rows that _logits() gives."""
+    at = np.empty((len(target), 2), np.int64)
+    at[:, 0] = voc.group[target]
+    at[:, 1] = target - voc.starts[at[:, 0]]
+    return at.ravel()
+
+
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of the rows of x, which is overwritten, at one column each."""
-    own = x[np.arange(len(x)), at]
+    """Log softmax of the rows of x, at one column each."""
+    own = np.take(x, at + np.arange(0, x.size, x.shape[1]))
     with np.errstate(over="ignore"):
         total = np.exp(x) @ _ONES[: x.shape[1]]
     if not np.isfinite(total).all() or not total.all():
@@ -286,7 +356,7 @@ def score_stream(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
     for at, skip, due in _batches(bounds, SCORE_BATCH):
         h = _hidden(w, before[at], skip)[0]
         pick = at[:, skip:][due]
-        out[pick] += log_probs(w, voc, h[due], context[pick], leaf[pick])
+        out[pick] += log_probs(w, voc, h.reshape(-1, WIDTH), context[pick], leaf[pick], np.flatnonzero(due))
     return out
 
 
@@ -308,27 +378,19 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due
     order, cuts = _sorted(voc, target)
     rows = np.flatnonzero(due)[order]
     scored, context, target = np.take(h.reshape(-1, WIDTH), rows, axis=0), context[order], target[order]
-    n, g = max(1, len(target)), voc.group[target]
-    d1 = scored @ w["group"]
-    d1 += np.take(voc.by_group, context, axis=0)
-    d1 = _softmax(d1)
-    at = np.arange(len(target)), g
-    logp = np.log(d1[at])
-    d1[at] -= 1
-    out = {"group": scored.T @ d1 / n}
-    dh = d1 @ w["group"].T
-    leaf = _by_group(w["leaf"])
-    d2 = _softmax(_leaf_logits(leaf, voc, scored, context * GROUPS + g, cuts))
-    at = at[0], target - voc.starts[g]
-    logp += np.log(d2[at])
-    d2[at] -= 1
-    d_leaf, back = np.zeros_like(leaf), np.empty_like(dh)
-    for i, j, own_leaf, d in zip(cuts, cuts[1:], leaf, d_leaf):
+    n, weights, at = max(1, len(target)), _by_group(w), _at(voc, target)
+    d = _softmax(_logits(weights, voc, scored, context, target, cuts))
+    at += np.arange(0, d.size, GROUPS)
+    likely = np.take(d, at)
+    np.put(d, at, likely - 1)
+    d = d.reshape(-1, 2 * GROUPS)
+    d_weights, dh = np.zeros_like(weights), np.empty_like(scored)
+    for i, j, own_weights, d_own in zip(cuts, cuts[1:], weights, d_weights):
         if i < j:
-            np.matmul(scored[i:j].T, d2[i:j], out=d)
-            np.matmul(d2[i:j], own_leaf.T, out=back[i:j])
-    out["leaf"] = d_leaf.transpose(1, 0, 2).reshape(w["leaf"].shape) / n
-    dh += back
+            np.matmul(scored[i:j].T, d[i:j], out=d_own)
+            np.matmul(d[i:j], own_weights.T, out=dh[i:j])
+    d_weights /= n
+    out = {"group": d_weights[:, :, :GROUPS].sum(axis=0), "leaf": d_weights[:, :, GROUPS:].transpose(1, 0, 2).reshape(w["leaf"].shape)}
     dh /= n
     flat = np.zeros_like(own)
     flat[rows] = dh
@@ -357,11 +419,11 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, before: np.ndarray, due
     start = np.concatenate([[0], 1 + np.flatnonzero(leaf[1:] != leaf[:-1])])
     out["embed"] = np.zeros_like(w["embed"])
     out["embed"][leaf[start]] = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), turn, axis=0), start, axis=0)
-    return -float(logp.mean()) if len(logp) else 0.0, out
+    return -float(np.log(likely).sum()) / n, out
 
 
-def fit(w: dict[str, np.ndarray], voc: Vocabulary, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of Adam over streams (ids, first, bounds): new weights and the number of windows seen."""
+def fit(w: dict[str, np.ndarray], voc: Vocabulary, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE, batch: int = TRAIN_BATCH) -> tuple[dict[str, np.ndarray], int]:
+    """One pass of Adam over streams (ids, first, bounds), so many windows a step: new weights and the number of windows seen."""
     # All weights stand in one array, so that a step is a few calls.
     every = _pack(w)
     w, d = _views(every, w), np.empty_like(every)
@@ -370,7 +432,7 @@ def fit(w: dict[str, np.ndarray], voc: Vocabulary, streams: Iterator[tuple[np.nd
     r = np.random.default_rng(11)
     for ids, first, bounds in streams:
         leaf, before, context = _leaves(voc, ids, first, bounds)
-        for at, skip, due in _batches(bounds, TRAIN_BATCH, r.permutation):
+        for at, skip, due in _batches(bounds, batch, r.permutation):
             pick = at[:, skip:][due]
             for n, a in gradients(w, voc, before[at], due, context[pick], leaf[pick], skip)[1].items():
                 grad[n][...] = a
@@ -517,8 +579,7 @@ def with_bias(voc: Vocabulary, two: np.ndarray, by_leaf: np.ndarray) -> Vocabula
     joint = two / two.sum(axis=1, keepdims=True)
     joint = joint.reshape(LEAVES + 1, GROUPS, LEAVES // GROUPS)
     by_group = joint.sum(axis=2)
-    voc.by_group = np.log(by_group).astype(np.float32)
-    voc.in_each = (np.log(joint) - np.log(by_group)[:, :, None]).astype(np.float32).reshape(-1, LEAVES // GROUPS)
+    voc.bias = np.concatenate([np.log(by_group), (np.log(joint) - np.log(by_group)[:, :, None]).reshape(-1, GROUPS)]).astype(np.float32)
     return voc
 
 
@@ -551,18 +612,17 @@ def train_weights(texts: DataFrame, voc: Vocabulary, spec: str, parts: tuple[flo
     place = F.pmod(F.xxhash64(F.lit("part"), F.coalesce(F.col(texts.columns[0]), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     for k, (low, high) in enumerate(zip((0.0, *parts), parts)):
         shared = spark.sparkContext.broadcast(w)
-        rate = RATE / (1 + k)
+        rate, batch = RATE / (1 + k), TRAIN_BATCH << k
 
-        def one(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+        def one(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, batch=batch) -> Iterator[pa.RecordBatch]:
             splitter = _shared_splitter(run_id, spec)
 
             def streams() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for b in batches:
-                    rows = b.column(0).to_pylist()
-                    for i in range(0, len(rows), 64):
-                        yield splitter.stream(rows[i : i + 64])[:3]
+                    for rows in pieces(column := b.column(0)):
+                        yield splitter.stream(column[rows])[:3]
 
-            new, seen = fit(shared.value, shared_voc.value, streams(), rate)
+            new, seen = fit(shared.value, shared_voc.value, streams(), rate, batch)
             if seen:
                 flat = _pack(new).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), seen, dtype=np.int64))], names=["i", "w", "n"])
@@ -582,6 +642,9 @@ _SPLITTERS: dict[str, Splitter] = {}
 def _shared_splitter(run_id: str, spec: str, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> Splitter:
     """A worker's splitter for one run, which its tasks share one after the other."""
     if run_id not in _SPLITTERS:
+        # Once a large block has come and gone, glibc keeps freed memory of up to twice its size, so that the
+        # arrays of each batch needn't be mapped and cleared anew. The block itself is never touched.
+        np.empty(30 << 20, np.uint8)
         _SPLITTERS.clear()
         _SPLITTERS[run_id] = Splitter(spec, heavy)
     return _SPLITTERS[run_id]
@@ -623,9 +686,9 @@ def score(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
         weights, voc, heavy = shared.value
         splitter = _shared_splitter(run_id, spec, heavy)
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                rows = b.slice(k, 64)
-                ids, first, bounds, number, words = splitter.stream(rows.column(1).to_pylist())
+            for part in pieces(b.column(1)):
+                rows = b.slice(part.start, part.stop - part.start)
+                ids, first, bounds, number, words = splitter.stream(rows.column(1))
                 by_word = np.add.reduceat(score_stream(weights, voc, ids, first, bounds), np.flatnonzero(first)) / math.log(10)
                 closing = np.cumsum(words + 1) - 1
                 ends, by_word = by_word[closing], np.delete(by_word, closing)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -319,6 +320,41 @@ def test_lm_places_that_are_only_looked_at():
 
 
 
+def test_lm_words_are_taken_apart_together():
+    """Whole columns at once give what each word gives alone, also beside white space that only Unicode knows."""
+    r = random.Random(3)
+    texts = [None, "", " ", "\n a", "It's 'S 12ab!! $$", "\x0b\x0c", "x" * 3000, "tail ", *("".join(r.choice([" ", "\n", "a", "B", "'s", "É", "1", "!", "\u200b", "日"]) for _ in range(30)) for _ in range(200))]
+    for more in ([], ["a\x1cb \x85", "ｘ\u3000ｙ a\xa0 \u2003"]):
+        splitter, rows = lm_scoring.Splitter(SPEC), texts + more
+        words = [(t or "").encode().lower().split() for t in rows]
+        # Words are encoded one by one only where one has such white space.
+        calls, encode = [], splitter._encode
+        splitter._encode = lambda x, calls=calls, encode=encode: calls.append(x) or encode(x)
+        ids, first, bounds, number, counts = splitter.stream(rows)
+        assert more or len(calls) < 10
+        parts = [[*(encode(" " + w.decode()) for w in own), [splitter.end]] for own in words]
+        assert ids.tolist() == [x for own in parts for p in own for x in p] and first.tolist() == [k == 0 for own in parts for p in own for k in range(len(p))]
+        assert np.diff(bounds).tolist() == [sum(map(len, own)) for own in parts] and counts.tolist() == list(map(len, words)) and len(number) == sum(counts)
+    column = pa.array([*rows, "y" * (2 * lm_scoring.PIECE_BYTES), *["a"] * 600])
+    got = list(lm_scoring.pieces(column))
+    assert [i for s in got for i in range(s.start, s.stop)] == list(range(len(column))) and all(s.stop - s.start <= lm_scoring.PIECE_TEXTS for s in got)
+
+
+def test_lm_logits_of_groups_and_leaves():
+    r = np.random.default_rng(15)
+    n, d, places = lm_scoring.LEAVES, lm_scoring.WIDTH, 1000
+    voc = lm_scoring.with_bias(lm_scoring.Vocabulary(np.arange(n), np.zeros(n)), r.random((n + 1, n)), np.ones(n))
+    w = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.1 for k, v in lm_scoring.new_weights().items()}
+    h, context, target, rows = r.standard_normal((2 * places, d)), r.integers(0, n + 1, places), r.integers(0, n, places), r.permutation(2 * places)[:places]
+    one, two = h[rows] @ w["group"] + voc.by_group[context], h[rows] @ w["leaf"]
+    for k, (c, x) in enumerate(zip(context, target)):
+        g = voc.group[x]
+        one[k, 0] = one[k, g] - np.log(np.exp(one[k]).sum())
+        own = two[k, voc.group == g] + voc.in_group[g][c]
+        one[k, 0] += own[x - voc.starts[g]] - np.log(np.exp(own).sum())
+    assert np.allclose(lm_scoring.log_probs(w, voc, h, context, target, rows), one[:, 0])
+
+
 def test_lm_scores(spark):
     r = random.Random(7)
     words = ["the", "river", "house", "Wald", "und", "xyzzy,", "É", "\x85", "naïve"]
