@@ -477,9 +477,10 @@ def _word_counts(train: DataFrame, text_col: str) -> DataFrame:
             return out
 
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                words = chain.from_iterable((t or "").encode().lower().split() for t in b.column(0).slice(k, 64).to_pylist())
-                found.update(words)
+            for rows in pieces(texts := b.column(0)):
+                words, place, _ = words_of(texts[rows])
+                for w, n in zip(words, np.bincount(place, minlength=len(words)).tolist()):
+                    found[w] += n
                 if len(found) > COUNTED:
                     yield flushed()
         if found:
